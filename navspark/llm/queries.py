@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sstable
+from . import decontamination, packing, sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sstable_ids": sstable.query,
+        "op7_fm_decontamination": decontamination.query,
         "op6_ffd_packing": packing.query,
     }
 
