@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, sstable
+from . import decontamination, packing, quality, sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sstable_ids": sstable.query,
         "op7_fm_decontamination": decontamination.query,
+        "op8_risk_quality": quality.query,
         "op6_ffd_packing": packing.query,
     }
 
