@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality, sstable
+from . import chat, decontamination, licenses, packing, quality, sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": licenses.query,
         "op2_sstable_ids": sstable.query,
         "op7_fm_decontamination": decontamination.query,
         "op8_risk_quality": quality.query,
+        "op3_prefix_targets": chat.query,
         "op6_ffd_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_prefix_targets": chat.ORACLE_SQL}
