@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, packing, quality, sstable
+from . import chat, decontamination, licenses, packing, quality, sstable, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_fm_decontamination": decontamination.query,
         "op8_risk_quality": quality.query,
         "op3_prefix_targets": chat.query,
+        "op9_mil_toxicity": toxicity.query,
         "op6_ffd_packing": packing.query,
     }
 
