@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, fold, table, text_bytes
 
-SAMPLE, LEAST_DOCS, STEPS, RATE, RIDGE, START = 3000, 3, 120, 0.15, 1e-3, -8.0
+SAMPLE, STEPS, RATE, RIDGE, START = 5000, 400, 0.15, 1e-2, -8.0
+#: Features are in so many documents of the sample at least (whichever is more), and this much likelier in one class.
+LEAST_DOCS, LEAST_SHARE, ODDS = 3, 0.002, 3.0
 CACHED_WORDS = 300_000
 #: As WORD_BYTES, but the ends of sentences become a mark that no word holds.
 MARK = b"\x00"
@@ -43,24 +45,33 @@ def features(word: bytes) -> list[str]:
     return [w, "4" + w[:4], "5" + w[:5]] if len(w) > 5 else [w, "4" + w[:4]] if len(w) > 4 else [w]
 
 
-def train(bags: list[list[list[bytes]]], toxic: np.ndarray) -> tuple[dict[str, float], float]:
-    """Weights of features and the bias; features in fewer than LEAST_DOCS documents have none."""
-    docs_with: dict[str, int] = {}
-    known: dict[bytes, list[str]] = {}
-    for bag in bags:
-        words = {w for s in bag for w in s}
-        for w in words:
-            if w not in known:
-                known[w] = features(w)
-        for f in {f for w in words for f in known[w]}:
-            docs_with[f] = docs_with.get(f, 0) + 1
-    index = {f: i for i, f in enumerate(f for f, n in docs_with.items() if n >= LEAST_DOCS)}
-    codes = {w: [index[f] for f in fs if f in index] for w, fs in known.items()}
+def train(bags: list[list[np.ndarray]], vocabulary: list[bytes], toxic: np.ndarray) -> tuple[dict[str, float], float]:
+    """Weights of features and the bias, from documents' sentences as numbers of vocabulary words.
+
+    Features that are rare or about as likely in both classes have no weight.
+    """
+    docs_with: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    known = [features(w) for w in vocabulary]
+    for bag, y in zip(bags, toxic.tolist()):
+        tally = docs_with[y]
+        for f in {f for w in {w for s in bag for w in s.tolist()} for f in known[w]}:
+            tally[f] = tally.get(f, 0) + 1
+    least, (clean, bad) = max(LEAST_DOCS, LEAST_SHARE * len(bags)), docs_with
+    n_bad = int(toxic.sum())
+    ratio = (len(bags) - n_bad + 1) / (n_bad + 1)
+    chosen = []
+    for f in sorted(clean.keys() | bad.keys()):
+        c, t = clean.get(f, 0), bad.get(f, 0)
+        odds = ratio * (t + 0.5) / (c + 0.5)
+        if c + t >= least and (odds >= ODDS or odds <= 1 / ODDS):
+            chosen.append(f)
+    index = {f: i for i, f in enumerate(chosen)}
+    codes = [[index[f] for f in fs if f in index] for fs in known]
     flat, lengths, sizes = [], [], []
     for bag in bags:
         sizes.append(len(bag))
         for s in bag:
-            f = {i for w in s for i in codes[w]}
+            f = {i for w in s.tolist() for i in codes[w]}
             flat.append(np.fromiter(f, np.int32, len(f)))
             lengths.append(len(f))
     at = np.concatenate(flat) if flat else np.zeros(0, np.int32)
@@ -91,15 +102,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[
     # at most twice the sample, so its side of the join is bounded
     both = F.broadcast(drawn[0].unionByName(drawn[1]))
     rows = docs.select("doc_id", text_bytes().alias("text")).join(both, F.col("doc_id") == F.col("id")).select("text", "toxic")
+    numbers: dict[bytes, int] = {}
     bags, toxic = [], []
     for text, y in rows.toLocalIterator():
-        bags.append(sentences(bytes(text)))
+        bag = sentences(bytes(text))
+        bags.append([np.array([numbers.setdefault(w, len(numbers)) for w in s], np.int32) for s in bag])
         toxic.append(y > 0)
         if len(bags) >= 3 * sample:  # repeated rows of the drawn ids add nothing
             break
     if all(toxic) or not any(toxic):
         return None
-    return train(bags, np.array(toxic))
+    return train(bags, list(numbers), np.array(toxic))
 
 
 class Scorer:
