@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, packing, quality, sstable, toxicity
+from . import chat, decontamination, licenses, lm, packing, quality, sstable, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_risk_quality": quality.query,
         "op3_prefix_targets": chat.query,
         "op9_mil_toxicity": toxicity.query,
+        "op5_ctw_scores": lm.query,
         "op6_ffd_packing": packing.query,
     }
 
