@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, lm, packing, quality, sstable, toxicity
+from . import chat, decontamination, licenses, lm, neardup, packing, quality, sstable, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_prefix_targets": chat.query,
         "op9_mil_toxicity": toxicity.query,
         "op5_ctw_scores": lm.query,
+        "op10_dart_neardup": neardup.query,
         "op6_ffd_packing": packing.query,
     }
 
