@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, lm, neardup, packing, quality, sstable, toxicity
+from . import chat, decontamination, licenses, lm, neardup, packing, quality, repeats, sstable, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mil_toxicity": toxicity.query,
         "op5_ctw_scores": lm.query,
         "op10_dart_neardup": neardup.query,
+        "op4_repeat_removal": repeats.query,
         "op6_ffd_packing": packing.query,
     }
 
