@@ -1,19 +1,56 @@
-"""The corpus pipeline: quality rules, near copies, repeated passages, benchmark passages, packing."""
+"""The corpus pipeline: quality rules, near copies, repeated strings, benchmark passages, packing.
+
+Each stage reads what the stage before kept, as Parquet, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from navspark.llm import packing
+from navspark.llm import decontamination, neardup, packing, quality, repeats
+from navspark.llm.common import new_path, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or a calibrated cutoff go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays: that with the smallest doc_id."""
+    return neardup.deduplicate(docs)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 200 that also start elsewhere go; the documents stay."""
+    return repeats.remove(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in benchmark windows go; the documents stay."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the tokenized documents with their sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("packing", pack),
+]
+#: SQL can express none of the learned, hashed and tokenized stages; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = new_path(spark, "pipeline")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
