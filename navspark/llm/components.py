@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum labels with pointer jumping."""
+"""Connected components of an edge table, by contraction along smallest neighbours."""
 
 from __future__ import annotations
 
@@ -11,20 +11,25 @@ from .common import stored
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the component's smallest node) of all nodes in edges (a, b).
 
-    Each round takes the smallest label among a node and its neighbours, then the label's own label, and stores the
-    labels; stars of any size take a few rounds, a path a logarithm of its length.
+    Each round points every node at the smallest of itself and its neighbours, follows the pointers once more, and
+    contracts the edges; those inside a contracted node go, so a round works on what the one before left.
+    Stars of any size take one or two rounds, a path a logarithm of its length.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stored(both.distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    edges = stored(edges.select("a", "b").where("a != b").distinct(), "edges")
+    reverse = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    labels = labels.withColumn("label", F.col("node"))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
-        lower = labels.join(near.agg(F.min("label").alias("near")), "node").select(
-            "node", "label", F.least("label", "near").alias("new")
-        )
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
-        after = lower.join(jump, "new").select("node", "label", F.least("new", "jump").alias("new"))
-        after = stored(after, "labels")
-        labels = after.select("node", F.col("new").alias("label"))
-        if after.where(F.col("label") != F.col("new")).isEmpty():
+        near = edges.union(reverse).groupBy("a").agg(F.least("a", F.min("b")).alias("to"))
+        near = stored(near, "pointers")
+        step = near.select(F.col("a").alias("to"), F.col("to").alias("then"))
+        jump = near.join(step, "to").select("a", F.col("then").alias("to"))
+        jump = stored(jump, "pointers")
+        moved = labels.join(jump.select(F.col("a").alias("label"), "to"), "label", "left")
+        labels = stored(moved.select("node", F.coalesce("to", "label").alias("label")), "labels")
+        left = edges.join(jump, "a").select(F.col("to").alias("a"), "b")
+        left = left.join(jump.select(F.col("a").alias("b"), "to"), "b").select("a", F.col("to").alias("b"))
+        edges = stored(left.where("a != b").distinct(), "edges")
+        if edges.isEmpty():
             return labels
+        reverse = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))

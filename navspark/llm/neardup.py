@@ -33,7 +33,7 @@ from .common import WORD_BYTES, mix64, sliced, stored, table, text_bytes
 from .components import components
 from .dart import signatures
 
-SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 32, 6, 256
+SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 32, 6, 512
 #: A side of a join that is at most this large is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 SLICE = 1 << 18
