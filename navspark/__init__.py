@@ -1,0 +1 @@
+"""navspark: analytics over daily fund NAVs, as Spark DataFrame plans."""
