@@ -27,11 +27,15 @@ def regression(aligned: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     both = aligned.select("scheme_code", f.alias("f"), b.alias("b")).where(F.col("f").isNotNull())
     found = both.groupBy("scheme_code").agg(
         F.count("f").alias("n"), F.covar_samp("f", "b").alias("cov"), F.var_samp("b").alias("var"),
-        F.avg("f").alias("mf"), F.avg("b").alias("mb"), F.corr("f", "b").alias("corr"),
+        F.avg("f").alias("mf"), F.avg("b").alias("mb"), F.stddev_samp("f").alias("sf"),
         F.stddev_samp(F.col("f") - F.col("b")).alias("te"), F.avg(F.col("f") - F.col("b")).alias("active"),
     )
     ok = (F.col("n") >= MIN_OBS_REGRESSION) & (F.col("var") > 0)
-    found = found.withColumn("beta", F.when(ok, F.try_divide(F.col("cov"), F.col("var"))))
+    # corr() fails on a flat series, where the correlation is unknown
+    found = found.withColumns({
+        "beta": F.when(ok, F.try_divide(F.col("cov"), F.col("var"))),
+        "corr": F.try_divide(F.col("cov"), F.col("sf") * F.sqrt("var")),
+    })
     daily = (F.col("mf") - rd) - F.col("beta") * (F.col("mb") - rd)
     te = F.when(F.col("beta").isNotNull(), F.col("te") * math.sqrt(TRADING_DAYS) * 100)
     return found.select(
