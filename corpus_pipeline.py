@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from navspark.llm import decontamination, neardup, packing, quality, repeats
-from navspark.llm.common import new_path, table
+from navspark.llm.common import bounded_batches, new_path, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: that with the smallest doc_id."""
+    bounded_batches(spark)
     return neardup.deduplicate(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in strings of 200 that also start elsewhere go; the documents stay."""
+    bounded_batches(spark)
     return repeats.remove(docs)
 
 
@@ -33,6 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the tokenized documents with their sequences."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 
