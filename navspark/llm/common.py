@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a helper turns into arrays at once; bounds a task's memory whatever Arrow batch arrives.
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
+#: Size of the bitmaps over hashes: 2**BITS bits.
+BITS = 27
 
 #: Lower-cases A-Z and turns every ASCII byte that is neither a digit nor a letter into a space.
 WORD_BYTES = bytes(
@@ -21,7 +24,13 @@ WORD_BYTES = bytes(
 )
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: hand them to Python tasks in Arrow batches of BATCH_ROWS at most."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -43,7 +52,52 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder, so that a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables from which nothing will be read any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def top_bits(c: str) -> Column:
+    """The first BITS bits of a 64-bit hash."""
+    return F.shiftrightunsigned(F.col(c), 64 - BITS)
+
+
+def _parts(keys: DataFrame, bit: Column) -> DataFrame:
+    bit = bit + 1  # buckets hold values from 1 on
+    return keys.groupBy(F.bitmap_bucket_number(bit).alias("__k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__v")
+    )
+
+
+def bitmap(keys: DataFrame, bit: Column) -> bytes:
+    """A bitmap of 2**BITS bits with those set that occur in keys: at most 2**BITS / 8 bytes reach the driver."""
+    out = bytearray(1 << BITS - 3)
+    for k, v in _parts(keys, bit).toLocalIterator():
+        out[(k - 1) << 12 : k << 12] = v
+    return bytes(out)
+
+
+def likely(df: DataFrame, hash_: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose hash may be among the keys' hashes, and the rest, by a bitmap of fixed size.
+
+    Only the first need a join with the keys, so only they are exchanged.
+    """
+    parts = _parts(keys, top_bits(column))
+    # at most 2**BITS / 2**15 rows of 4 kB
+    tested = df.withColumn("__h", F.shiftrightunsigned(hash_, 64 - BITS) + 1).withColumn("__k", F.bitmap_bucket_number("__h")).join(F.broadcast(parts), "__k", "left")
+    place = F.bitmap_bit_position("__h")
+    byte = F.conv(F.hex(F.substring("__v", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    tested = tested.withColumn("__in", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+    out = [tested.where(c).select(*df.columns) for c in (F.col("__in"), ~F.col("__in"))]
+    return out[0], out[1]
 
 
 def ascii_lower(c: Column) -> Column:

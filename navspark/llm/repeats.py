@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flat, mix64, sliced, stored, table, text_bytes
+from .common import BITS, bitmap, flat, forget, likely, mix64, sliced, stored, table, text_bytes, top_bits
 
 THRESHOLD, GRAM, CELLS = 200, 48, (40, 8, 1)
-BITS, BROADCAST_ROWS, SLICE = 27, 2_000_000, 1 << 18
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: A pseudo-random odd number for each byte.
@@ -81,16 +81,6 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return of[first], lo, count, at[first] - lo, grams[at[first]], run
 
 
-def bitmap(keys: DataFrame, column: str) -> bytes:
-    """A bitmap of 2**BITS bits over the top bits of hashes: at most 2**BITS / 8 bytes reach the driver."""
-    bit = F.shiftrightunsigned(F.col(column), 64 - BITS) + 1  # buckets hold values from 1 on
-    parts = keys.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("v"))
-    out = bytearray(1 << BITS - 3)
-    for k, v in parts.toLocalIterator():
-        out[(k - 1) << 12 : k << 12] = v
-    return bytes(out)
-
-
 def marked(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = (h >> np.uint64(64 - BITS)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
@@ -164,21 +154,25 @@ def split(rows: DataFrame, size: int) -> DataFrame:
     return cut.withColumns({"common": F.xxhash64(common), "whole": F.xxhash64("dlo", "dhi", "text")})
 
 
-def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The runs (see runs()), and their repeated distances: gram, run, dlo, dhi."""
+def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The runs (see runs()), their repeated distances (gram, run, dlo, dhi), and the stored tables behind both."""
     context = docs.sparkSession.sparkContext
     twice = grams(docs).groupBy("gram").count().where("count > 1")
-    found = stored(runs(docs, context.broadcast(bitmap(twice, "gram"))), "repeat-runs")
+    found = stored(runs(docs, context.broadcast(bitmap(twice, top_bits("gram")))), "repeat-runs")
     kinds = found.groupBy("gram", "run").agg(F.count("*").alias("m"), F.min("dlo").alias("dlo"), F.max("dhi").alias("dhi"))
     kinds = stored(kinds, "repeat-kinds")
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
     # runs that come twice are repeated as they are, and stay as witnesses for others with their gram
     out = [kinds.where("m > 1").select("gram", "run", "dlo", "dhi")]
+    tables = [found, kinds]
     open_ = stored(kinds.join(mixed, "gram"), "repeat-mixed")
-    wanted = texts(docs, context.broadcast(bitmap(open_, "run"))).groupBy("gram", "run").agg(F.first("text").alias("text"))
+    wanted = texts(docs, context.broadcast(bitmap(open_, top_bits("run")))).groupBy("gram", "run").agg(F.first("text").alias("text"))
     rows = open_.withColumn("done", F.col("m") > 1).join(wanted, ["gram", "run"])
+    before = open_
     for size in CELLS:
         rows = stored(split(rows, size), "repeat-cells")
+        forget(before)
+        before = rows
         ranks = rows.select("gram", "run", "cell", "dlo", "dhi", "m", "done", "common", "whole")
         by_common = ranks.groupBy("gram", "cell", "common").agg(
             (F.min("whole") != F.max("whole")).alias("differ"), F.min("done").alias("all_done"), F.sum("m").alias("of_common")
@@ -192,28 +186,33 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         else:
             hit = F.col("of_common") > 1
         judged = stored(judged.withColumn("hit", hit), "repeat-judged")
+        tables.append(judged)
         out.append(judged.where("hit and not done").select("gram", "run", "dlo", "dhi"))
         if size > 1:
             # needed: cells with different texts of which some are not known to be repeated
             some = judged.groupBy("gram", "cell", "common").agg(F.min("hit").alias("all_hit"))
             again = judged.where("differ").join(some.where("not all_hit"), ["gram", "cell", "common"])
             again = again.select("gram", "run", "cell", (F.col("done") | F.col("hit")).alias("done_now"))
+            cell = F.xxhash64("gram", "run", "cell")
+            rows, _ = likely(rows, cell, again.select(cell.alias("h")), "h")
             rows = rows.join(again, ["gram", "run", "cell"]).withColumn("done", F.col("done_now")).drop("done_now", "cell", "common", "whole")
+    forget(before)
     both = out[0]
     for more in out[1:]:
         both = both.unionByName(more)
-    return found, both
+    return found, both, tables
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """key (md5 of a text), spans: repeated byte ranges (start, end), which may overlap."""
-    found, distances = repeated(docs)
+    found, distances, tables = repeated(docs)
     hits = found.select("key", "lo", F.col("dhi").alias("top"), "gram", "run").join(distances, ["gram", "run"])
     start = F.col("lo") + F.col("top")
-    hits = hits.select(
-        "key", (start - F.col("dhi")).alias("start"), (start - F.col("dlo") + THRESHOLD).alias("end")
-    ).distinct()
-    return stored(hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans")), "repeat-spans")
+    hits = hits.select("key", (start - F.col("dhi")).alias("start"), (start - F.col("dlo") + THRESHOLD).alias("end"))
+    out = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
+    out = stored(out, "repeat-spans")
+    forget(*tables)
+    return out
 
 
 def merged(spans_: list[dict] | None) -> list[tuple[int, int]]:
@@ -232,16 +231,19 @@ def text_key(c: Column) -> Column:
 
 def with_spans(docs: DataFrame) -> DataFrame:
     """The input rows with __bytes and __spans."""
-    found = spans(docs)
-    n = found.select(F.sum(F.size("__spans") + 2)).first()[0] or 0
-    side = F.broadcast(found) if n <= BROADCAST_ROWS else found
-    keyed = docs.withColumn("__bytes", text_bytes())
-    return keyed.withColumn("key_", text_key(F.col("__bytes"))).join(side.withColumnRenamed("key", "key_"), "key_", "left").drop("key_")
+    found = spans(docs).withColumnRenamed("key", "__key")
+    keyed = docs.withColumn("__bytes", text_bytes()).withColumn("__key", text_key(F.col("__bytes")))
+    mark = F.xxhash64("__key")
+    some, none = likely(keyed, mark, found.select(mark.alias("h")), "h")
+    empty = F.lit(None).cast(found.schema["__spans"].dataType)
+    return some.join(found, "__key", "left").unionByName(none.withColumn("__spans", empty)).drop("__key")
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """The documents without repeated strings; n_chars, where present, follows the text."""
 
+    columns = docs.columns
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -259,7 +261,7 @@ def remove(docs: DataFrame) -> DataFrame:
                 else:
                     out.append(text.as_py())
             i = batch.schema.get_field_index("text")
-            yield batch.set_column(i, "text", pa.array(out, pa.string())).select(docs.columns)
+            yield batch.set_column(i, "text", pa.array(out, pa.string())).select(columns)
 
     clean = with_spans(docs).mapInArrow(cut, docs.schema)
     if "n_chars" in docs.columns:
