@@ -198,8 +198,26 @@ ADDED = [
 ]
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The rows of docs with __n_words, merged hit __spans of words and the __items found."""
+def without(text: str, spans: list[dict]) -> str:
+    """The text without spans of its words."""
+    raw = text.encode()
+    place = [m.span() for m in WORD.finditer(raw)]
+    kept, at = [], 0
+    for s in spans:
+        kept.append(raw[at : place[s["first"]][0]])
+        at = place[s["first"] + s["words"] - 1][1]
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+def annotate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    block_windows: int = BLOCK_WINDOWS,
+    remove: bool = False,
+) -> DataFrame:
+    """The rows of docs with __n_words, merged hit __spans of words and the __items found; with remove, the texts have
+    lost the hit words."""
     spark = docs.sparkSession
     sets = [spark.sparkContext.broadcast(p) for p in blocks(benchmark, window, block_windows)]
 
@@ -232,6 +250,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
                 new = [pa.array(sizes), spans, [sorted(i) for i in items]]
                 kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])), pa.list_(pa.string())]
                 batch = batch.drop_columns("__bytes")
+                if remove:
+                    i = batch.schema.get_field_index("text")
+                    texts = [without(t, s) if s else t for t, s in zip(batch.column(i).to_pylist(), spans)]
+                    batch = batch.set_column(i, "text", pa.array(texts, pa.string()))
                 for f, c, kind in zip(ADDED, new, kinds):
                     batch = batch.append_column(f.name, c if isinstance(c, pa.Array) else pa.array(c, kind))
                 yield batch
@@ -243,23 +265,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without the words of benchmark passages; n_chars, where present, follows the text."""
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
-                if spans:
-                    raw = text.encode()
-                    place = [m.span() for m in WORD.finditer(raw)]
-                    kept, at = [], 0
-                    for s in spans:
-                        kept.append(raw[at : place[s["first"]][0]])
-                        at = place[s["first"] + s["words"] - 1][1]
-                    text = b"".join([*kept, raw[at:]]).decode()
-                texts.append(text)
-            i = batch.schema.get_field_index("text")
-            yield batch.set_column(i, "text", pa.array(texts, pa.string())).select(docs.columns)
-
-    clean = annotate(docs, benchmark, window).mapInArrow(cut, docs.schema)
+    clean = annotate(docs, benchmark, window, remove=True).select(*docs.columns)
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), n).otherwise(F.col("n_chars")))

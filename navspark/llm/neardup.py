@@ -29,13 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, mix64, sliced, stored, table, text_bytes
+from .common import BITS, WORD_BYTES, bitmap, likely, mix64, sliced, stored, table, text_bytes
 from .components import components
 from .dart import signatures
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 32, 6, 512
-#: A side of a join that is at most this large is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
 SLICE = 1 << 18
 
 
@@ -46,7 +44,7 @@ def key_of(text: bytes) -> tuple[bytes | None, list[bytes]]:
 
 def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     """Hashes that do not differ between processes; known keeps those of frequent words."""
-    if len(known) > 300_000:
+    if len(known) > 100_000:
         known.clear()
     for w in set(words).difference(known):
         known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
@@ -106,30 +104,37 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__bytes", text_bytes()).mapInArrow(run, schema)
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, items: sorted hashes of (shingle, number of its place), of one document for each wanted key."""
+    """key, items: sorted hashes of (shingle, number of its place), of one document for each wanted key.
+
+    One pass over the texts: a bitmap of fixed size leaves out most keys that are not wanted, the join the others.
+    """
+    first_bits = (F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long") / (1 << 32 - BITS)).cast("long")
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, first_bits))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
+        bits = held.value
         for whole in batches:
             for batch in sliced(whole, "text", SLICE):
-                items = []
+                keys, items = [], []
                 for text in batch.column("text").to_pylist():
-                    s = np.sort(shingles(word_hashes(key_of(text)[1], known)))
-                    first = np.r_[True, s[1:] != s[:-1]]
-                    nth = np.arange(len(s)) - np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
-                    items.append(np.sort(mix64(s + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)))
+                    key, words = key_of(text)
+                    if key:
+                        at = int.from_bytes(key[:4], "big") >> 32 - BITS
+                        if bits[at >> 3] >> (at & 7) & 1:
+                            s = np.sort(shingles(word_hashes(words, known)))
+                            place = np.arange(len(s))
+                            nth = place - np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], place, 0))
+                            hashes = mix64(s + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                            keys.append(key)
+                            items.append(np.sort(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key"), pa.array(items, pa.list_(pa.int64()))], ["key", "items"]
+                    [pa.array(keys, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["key", "items"]
                 )
 
-    first = with_key(docs.select("doc_id", "text")).select(F.col("__key").alias("key"), text_bytes().alias("text"))
-    rows = first.join(maybe_broadcast(wanted), "key").mapInArrow(run, "key binary, items array<long>")
-    return rows.dropDuplicates(["key"])
+    found = docs.select(text_bytes().alias("text")).mapInArrow(run, "key binary, items array<long>")
+    return found.join(wanted, "key").dropDuplicates(["key"])
 
 
 class Forest:
@@ -200,7 +205,7 @@ def classes_of(seen: DataFrame, docs: DataFrame) -> DataFrame:
         "key", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     sets = shingle_sets(docs, groups.select(F.col("node").alias("key")))
-    of = seen.where("key is not null").select("key", "bands").join(maybe_broadcast(groups.select(F.col("node").alias("key"))), "key")
+    of = seen.where("key is not null").select("key", "bands").join(groups.select(F.col("node").alias("key")), "key")
     full = stored(sets.join(of.dropDuplicates(["key"]), "key"), "neardup-sets")
     links = full.join(dealt, "key").groupBy("label", "i", "j").applyInPandas(linked, "a binary, b binary")
     return components(stored(links, "neardup-links")).withColumnsRenamed({"node": "key", "label": "class"})
@@ -223,21 +228,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a document with a smaller id, or an equal row before, in their class."""
+    """The documents without those that have a document with a smaller id, or an equal row before, in their class.
+
+    Documents that are alone in their class are kept where they are; only others are joined with the classes' heads.
+    """
     seen = stored(signed(docs), "neardup-signed")
-    named = seen.select("doc_id", "key").join(classes_of(seen, docs), "key", "left")
-    heads = (
-        named.where("key is not null")
-        .groupBy(F.coalesce("class", "key").alias("c"))
-        .agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("head"))
-        .select(F.col("head.doc_id").alias("__head_id"), F.col("head.key").alias("__head_key"))
-    )
-    keyed = with_key(docs)
-    kept = keyed.where("__key is not null").join(
-        heads, F.col("doc_id").eqNullSafe(F.col("__head_id")) & (F.col("__key") == F.col("__head_key")), "left_semi"
-    )
-    once = kept.dropDuplicates(["__key"])
-    return once.unionByName(keyed.where("__key is null")).select(*docs.columns)
+    named = seen.select("doc_id", "key").where("key is not null").join(classes_of(seen, docs), "key", "left")
+    first = F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    classes = named.groupBy(F.coalesce("class", "key").alias("c")).agg(first.alias("head"), F.count("*").alias("n"))
+    groups = stored(classes.where("n > 1"), "neardup-heads")
+    shared = named.withColumn("c", F.coalesce("class", "key")).join(groups, "c").groupBy(F.col("key").alias("__key"))
+    shared = stored(shared.agg(F.first("head").alias("__head")), "neardup-shared")
+    mark = F.xxhash64(F.coalesce("__key", F.lit(b"").cast("binary")))
+    some, alone = likely(with_key(docs), mark, shared.select(F.xxhash64("__key").alias("h")), "h")
+    head = F.col("doc_id").eqNullSafe(F.col("__head.doc_id")) & (F.col("__key") == F.col("__head.key"))
+    kept = some.join(shared, "__key", "left").where(F.col("__head").isNull() | head)
+    # equal rows share id and key; texts without words are no copies of each other
+    kept = kept.withColumn("__once", F.when(F.col("__key").isNull(), F.monotonically_increasing_id()))
+    kept = kept.dropDuplicates(["__key", "__once"])
+    return alone.select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import table, text_bytes
-from .tokens import default_tokenizer, encoder
+from .tokens import WordEncoder, default_tokenizer
 
 LENGTH, GROUP = 2048, 16_384
 END = (1).to_bytes(4, "little")
@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None,
     tokenizer = tokenizer or default_tokenizer()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, step = encoder(tokenizer), 4 * length
+        encode, step = WordEncoder(tokenizer), 4 * length
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

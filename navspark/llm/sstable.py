@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from .common import mix64, new_path, table, text_bytes
-from .tokens import default_tokenizer, encoder
+from .tokens import WordEncoder, default_tokenizer
 
 BLOCK_BYTES, SHARD_BYTES = 1 << 16, 4 << 20
 END = (1).to_bytes(4, "little")
@@ -64,8 +64,8 @@ def probes(keys: list[bytes], bits: int) -> np.ndarray:
 class ShardWriter:
     """Entries in key order to the bytes of one shard."""
 
-    def __init__(self, part: int, seq: int, width: int):
-        self.part, self.seq, self.width = part, seq, width
+    def __init__(self, part: int, seq: int, width: int, block_bytes: int = BLOCK_BYTES):
+        self.part, self.seq, self.width, self.block_bytes = part, seq, width, block_bytes
         self.data, self.index, self.keys = bytearray(), [], []
         self.block, self.last, self.ids, self.block_ids = bytearray(), b"", 0, 0
         self.zstd = zstandard.ZstdCompressor(level=1)
@@ -79,7 +79,7 @@ class ShardWriter:
         self.last = key
         self.keys.append(key)
         self.ids += len(ids)
-        if len(self.block) >= BLOCK_BYTES:
+        if len(self.block) >= self.block_bytes:
             self.close_block()
 
     def close_block(self) -> None:
@@ -150,19 +150,25 @@ class Shard:
         return found
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
+def write(
+    docs: DataFrame,
+    path: str,
+    tokenizer: str | None = None,
+    shard_bytes: int = SHARD_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+) -> None:
     """Tokenize whole texts, append id 1 to each, and write shards in ascending doc_id order."""
     tokenizer = tokenizer or default_tokenizer()
 
     def shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        part, seq, encode = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer)
         width = 2 if encode.tokenizer.get_vocab_size() <= 1 << 16 else 4
         out = None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out = out or ShardWriter(part, seq, width)
+                out = out or ShardWriter(part, seq, width, block_bytes)
                 out.add(key_of(doc_id), np.frombuffer(encode(text.as_py()) + END, "<u4"))
-                if len(out.data) >= SHARD_BYTES:
+                if len(out.data) >= shard_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([out.finish()], pa.binary())], ["shard"])
                     out, seq = None, seq + 1
         if out:

@@ -14,7 +14,7 @@ import regex
 
 #: The pre-tokenizer's pattern of word_bpe_49k.json (fixed value).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -24,8 +24,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Words(dict):
+    """Words' ids in two generations of CACHED_WORDS: when the young one is full it becomes the old one, from which
+    words that come again return."""
+
+    def __init__(self, encode):
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        self[word] = ids = self.encode(word) if ids is None else ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
-    """Texts as UTF-8 bytes to ids as little-endian uint32 bytes; at most CACHED_WORDS words are kept."""
+    """Texts as UTF-8 bytes to ids as little-endian uint32 bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,26 +53,25 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words = Words(self.word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            spelled = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
-            raw = self.raw
-            got = self.pieces[piece] = b"".join([raw[t.id] for t in self.model.tokenize(spelled)])
-        return got
+        spelled = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.letters)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(spelled)])
 
     def word(self, word: bytes) -> bytes:
-        text = word.decode()
         if word.isalpha():
-            return self.piece(text)
+            return self.piece(word.decode())
         if word[:-1].isalpha():  # a mark after letters, never part of a contraction
-            return self.piece(text[:-1]) + self.piece(text[-1])
+            return self.words[word[:-1]] + self.piece(word[-1:].decode()) if word.isascii() else self.latin(word)
+        return self.latin(word)
+
+    def latin(self, word: bytes) -> bytes:
+        text = word.decode()
         low = text.lower()
         # Latin words need no more than this; others take the library's own normalizer
         if word.isascii() or (max(low) < "ɐ" and max(text) < "ɐ" and unicodedata.is_normalized("NFC", text)):
@@ -65,27 +82,8 @@ class WordEncoder:
         # special tokens are found before lower-casing, and marks may compose differently after it
         if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
             return self.whole(text.decode())
-        words = text.lower().split()
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                self.pieces.clear()
-            for w in set(words).difference(known):
-                known[w] = self.word(w)
-            return b"".join(map(known.__getitem__, words))
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder, loaded once."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        self.words.age()
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
 def default_tokenizer() -> str:
