@@ -14,7 +14,7 @@ import regex
 
 #: The pre-tokenizer's pattern of word_bpe_49k.json (fixed value).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-CACHED_WORDS = 100_000
+CACHED_WORDS = 250_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -86,6 +86,16 @@ class WordEncoder:
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder, loaded once: its words serve all of the worker's tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
