@@ -176,3 +176,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined("labels").alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
+
+
+def oracle_sql() -> str:
+    """The same result by comparing every block with every template."""
+
+    def rows(texts: dict[str, str], phrase: bool) -> list[str]:
+        return [f"('{label}', {str(phrase).lower()}, string_split('{t}', ' '))" for t, label in texts.items()]
+
+    values = ", ".join(rows(TEMPLATES, False) + rows(PHRASES, True))
+    step = BLOCK // 2
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT label, phrase, seq, list_distinct(seq) AS tokens FROM (VALUES {values}) AS v(label, phrase, seq)),
+places AS (SELECT doc_id, label, i - 1 AS i FROM w, t, unnest(range(1, len(w) - len(seq) + 2)) AS u(i)
+    WHERE phrase AND w[i:i + len(seq) - 1] = seq),
+b AS (SELECT doc_id, w[k * {step} + 1:k * {step} + {BLOCK}] AS words FROM w, unnest(range(0, (len(w) + {step} - 1) // {step})) AS u(k)),
+m AS (SELECT doc_id, label, len(list_intersect(list_distinct(words), tokens)) / len(tokens) AS share FROM b, t WHERE NOT phrase),
+found AS (SELECT doc_id, label, share FROM m WHERE share >= {THRESHOLD} - 1e-9 UNION ALL SELECT doc_id, label, 1.0 FROM places),
+base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+    (SELECT string_agg(DISTINCT p.label, ',' ORDER BY p.label) FROM places p WHERE p.doc_id = q.doc_id) AS base_labels
+    FROM places q GROUP BY doc_id),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+    coalesce(labels, '') AS labels, CAST(coalesce(score, 0.0) AS DOUBLE) AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id)
+"""

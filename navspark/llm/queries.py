@@ -25,4 +25,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_prefix_targets": chat.ORACLE_SQL}
+    return {
+        "op1_license_scan": licenses.oracle_sql(),
+        "op3_prefix_targets": chat.ORACLE_SQL,
+        "op7_fm_decontamination": decontamination.ORACLE_SQL,
+    }
