@@ -49,6 +49,14 @@ def mirror_slice(nav: DataFrame, today: datetime.date, years: float = DEFAULT.mi
     return nav.where(F.col("date") >= F.lit(cutoff))
 
 
+def mirror_check(nav: DataFrame) -> DataFrame:
+    """One row: rows, schemes, first_date and last_date of a mirror."""
+    return nav.agg(
+        F.count("*").alias("rows"), F.count_distinct("scheme_code").alias("schemes"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+    )
+
+
 def latest_runs(events: DataFrame, limit: int = 10) -> DataFrame:
     """Audit events (run_id, seq, ...) to the latest state of each run, newest first."""
     rest = [c for c in events.columns if c != "run_id"]

@@ -447,6 +447,15 @@ def _(spark, sf_dir):
     return merge.mirror_slice(star_nav(spark, sf_dir), TODAY)
 
 
+@query(
+    "mirror_check",
+    """SELECT count(*) AS rows, count(DISTINCT scheme_code) AS schemes, min(date) AS first_date, max(date) AS last_date
+    FROM nav WHERE date >= DATE '2001-11-05' - 1826""",
+)
+def _(spark, sf_dir):
+    return merge.mirror_check(merge.mirror_slice(star_nav(spark, sf_dir), TODAY))
+
+
 @query(
     "recent_runs",
     """SELECT run_id, seq, status, CAST(rows_written AS BIGINT) AS rows_written, started_seq FROM (
@@ -504,6 +513,18 @@ def _(spark, sf_dir):
     return peers.category_summary(_peers(spark, sf_dir))
 
 
+@query(
+    "peer_comparison",
+    """SELECT scheme_code, max(peers) AS peers, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (quartile = 1), '') AS top_quartile,
+    coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (quartile = 4), '') AS bottom_quartile,
+    round(max(percentile) FILTER (metric = 'sharpe_ratio'), 1) AS pct_sharpe_ratio FROM ranked GROUP BY scheme_code""",
+)
+def _(spark, sf_dir):
+    wide = peers.comparisons(peers.peer_ranks(_peers(spark, sf_dir)))
+    told = [F.array_join(c, ",").alias(c) for c in ("top_quartile", "bottom_quartile")]
+    return wide.select("scheme_code", "peers", *told, "pct_sharpe_ratio")
+
+
 SCORE = ["score_returns", "score_risk_adjusted", "score_drawdown", "score_consistency"]
 
 

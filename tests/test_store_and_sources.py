@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from navspark.functions.expr import business_gap
 from navspark.operators import catalogue, merge
 from navspark.panel import load_panel
-from navspark.plans import cli
+from navspark.plans import bootstrap, cli
 from navspark.plans.analysis import analyse
 from navspark.plans.report import write_reports
-from navspark.sources import history, navall, synthetic
+from navspark.sources import history, landing, navall, synthetic
 from navspark.store import Store
 from navspark.streaming.ingest import ingest
 
@@ -176,3 +176,40 @@ def test_queries_run_on_driver_tables(spark, name):
     from navspark import queries
 
     assert queries.queries()[name](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_landing_retries_and_budget(tmp_path):
+    waits, calls = [], {"a": 0}
+
+    def flaky():
+        calls["a"] += 1
+        if calls["a"] < 3:
+            raise OSError("no")
+        return {"data": []}
+
+    assert landing.with_retries(flaky, 3, 2.0, waits.append, lambda: 1.0) == {"data": []} and waits == [2.0, 4.0]
+    with pytest.raises(landing.FetchError):
+        landing.with_retries(lambda: 1 / 0, 2, 0, lambda _: None)
+
+    def fetch(code):
+        if code == "bad":
+            raise OSError("gone")
+        return {"data": [{"date": "02-01-2024", "nav": "10"}]}
+
+    got = landing.land_histories(fetch, ["1", "bad", "2"], str(tmp_path / "in"), delay=0, tries=1, sleep=lambda _: None)
+    assert (got.landed, list(got.failed), got.status) == (["1", "2"], ["bad"], "partial")
+    ticks = iter(range(10))
+    got = landing.land_histories(fetch, ["1", "2", "3"], str(tmp_path / "in"), budget_seconds=2, delay=0, clock=lambda: next(ticks), sleep=lambda _: None)
+    assert got.landed == ["1"] and got.left == ["2", "3"]
+    assert landing.land_histories(fetch, ["bad"], str(tmp_path / "none"), tries=1, sleep=lambda _: None).status == "failed"
+    assert not landing.reachable("127.0.0.1", 1, 0.2)
+
+
+def test_bootstrap(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert bootstrap.ensure(store, lambda s: None, enabled=False).status == "skipped"
+    assert bootstrap.ensure(store, lambda s: None).status == "failed"
+    assert bootstrap.ensure(store, lambda s: 1 / 0).message == "division by zero"
+    load = lambda s: s.upsert_nav(navs(spark, [("1", 1, 10.0)]), "amfi", "seq")
+    assert bootstrap.ensure(store, load) == bootstrap.BootstrapResult("loaded", "", 1)
+    assert bootstrap.ensure(store, lambda s: 1 / 0).ok
