@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,10 +87,12 @@ def bitmap(keys: DataFrame, bit: Column) -> bytes:
     return bytes(out)
 
 
-def likely(df: DataFrame, hash_: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+def likely(
+    df: DataFrame, hash_: Column, keys: DataFrame, column: str, only: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose hash may be among the keys' hashes, and the rest, by a bitmap of fixed size.
 
-    Only the first need a join with the keys, so only they are exchanged.
+    Rows outside ``only`` are never among the first.  Only the first need a join with the keys, so only they are exchanged.
     """
     parts = _parts(keys, top_bits(column))
     # at most 2**BITS / 2**15 rows of 4 kB
@@ -96,10 +100,28 @@ def likely(df: DataFrame, hash_: Column, keys: DataFrame, column: str) -> tuple[
     place = F.bitmap_bit_position("__h")
     byte = F.conv(F.hex(F.substring("__v", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     tested = tested.withColumn("__in", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+    if only is not None:
+        tested = tested.withColumn("__in", F.col("__in") & only)
     out = [tested.where(c).select(*df.columns) for c in (F.col("__in"), ~F.col("__in"))]
     return out[0], out[1]
 
 
+def released(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task function f; when a task ends, its worker gives freed memory back, as it lives on for other tasks."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return run
+
+
 def ascii_lower(c: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(c, upper, upper.lower())

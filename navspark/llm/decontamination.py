@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, sliced, table, text_bytes
+from .common import WORD_BYTES, released, sliced, table, text_bytes
 
 WINDOW, BLOCK_WINDOWS, SHARD_BYTES, SAMPLE, BITMAP_BITS = 10, 200_000, 4 << 20, 8, 22
 #: A word in UTF-8 bytes, see WORD_BYTES.
@@ -259,7 +259,7 @@ def annotate(
                 yield batch
 
     schema = T.StructType([*docs.schema.fields, *ADDED])
-    return docs.withColumn("__bytes", text_bytes()).mapInArrow(find, schema)
+    return docs.withColumn("__bytes", text_bytes()).mapInArrow(released(find), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, sliced, stored, table, text_bytes
+from .common import WORD_BYTES, released, sliced, stored, table, text_bytes
 
 BLOCK, THRESHOLD, MOST_TEMPLATE_WORDS = 64, 0.8, 20_000
 
@@ -68,7 +68,7 @@ def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> list[int]:
         seen = np.flatnonzero(total[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["word", "n"])
 
-    counted = docs.select(text_bytes()).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n"))
+    counted = docs.select(text_bytes()).mapInArrow(released(count), "word long, n long").groupBy("word").agg(F.sum("n"))
     found = dict(counted.collect())  # a row a template word at most
     return [found.get(i, 0) for i in range(len(vocabulary))]
 
@@ -101,7 +101,7 @@ def blocks(docs: DataFrame, codes: dict[bytes, int], prefixes: set[int]) -> Data
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text_bytes().alias("__bytes"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        cut, f"doc_id {kind}, row long, n_words long, blocks array<struct<block: long, size: int, words: array<int>>>"
+        released(cut), f"doc_id {kind}, row long, n_words long, blocks array<struct<block: long, size: int, words: array<int>>>"
     )
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITS, WORD_BYTES, bitmap, likely, mix64, sliced, stored, table, text_bytes
+from .common import BITS, WORD_BYTES, bitmap, likely, mix64, released, sliced, stored, table, text_bytes
 from .components import components
 from .dart import signatures
 
@@ -89,7 +89,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(sign, f"doc_id {kind}, key binary, bands array<long>")
+    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(released(sign), f"doc_id {kind}, key binary, bands array<long>")
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def with_key(docs: DataFrame) -> DataFrame:
             yield batch.drop_columns("__bytes").append_column("__key", pa.array(keys, pa.binary()))
 
     schema = docs.withColumn("__key", F.lit(None).cast("binary")).schema
-    return docs.withColumn("__bytes", text_bytes()).mapInArrow(run, schema)
+    return docs.withColumn("__bytes", text_bytes()).mapInArrow(released(run), schema)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [pa.array(keys, pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["key", "items"]
                 )
 
-    found = docs.select(text_bytes().alias("text")).mapInArrow(run, "key binary, items array<long>")
+    found = docs.select(text_bytes().alias("text")).mapInArrow(released(run), "key binary, items array<long>")
     return found.join(wanted, "key").dropDuplicates(["key"])
 
 
@@ -237,16 +237,20 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     classes = named.groupBy(F.coalesce("class", "key").alias("c")).agg(first.alias("head"), F.count("*").alias("n"))
     groups = stored(classes.where("n > 1"), "neardup-heads")
-    shared = named.withColumn("c", F.coalesce("class", "key")).join(groups, "c").groupBy(F.col("key").alias("__key"))
-    shared = stored(shared.agg(F.first("head").alias("__head")), "neardup-shared")
-    mark = F.xxhash64(F.coalesce("__key", F.lit(b"").cast("binary")))
-    some, alone = likely(with_key(docs), mark, shared.select(F.xxhash64("__key").alias("h")), "h")
-    head = F.col("doc_id").eqNullSafe(F.col("__head.doc_id")) & (F.col("__key") == F.col("__head.key"))
-    kept = some.join(shared, "__key", "left").where(F.col("__head").isNull() | head)
-    # equal rows share id and key; texts without words are no copies of each other
-    kept = kept.withColumn("__once", F.when(F.col("__key").isNull(), F.monotonically_increasing_id()))
-    kept = kept.dropDuplicates(["__key", "__once"])
-    return alone.select(*docs.columns).unionByName(kept.select(*docs.columns))
+    head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("key") == F.col("head.key"))
+    shared = named.withColumn("c", F.coalesce("class", "key")).join(groups, "c").withColumn("__head", head)
+    rows = shared.groupBy("doc_id", "key").agg(F.max("__head").alias("__head"), F.count("*").alias("n"))
+    # rows that go, and heads that stand there more than once; every other row stays where it is
+    special = stored(rows.where("not __head or n > 1"), "neardup-special")
+    pair = lambda key: F.xxhash64("doc_id", key)
+    some, rest = likely(
+        with_key(docs), pair("__key"), special.select(pair("key").alias("h")), "h", F.col("__key").isNotNull()
+    )
+    # equal rows share id and key; rows let through by chance are alone with theirs
+    once = some.dropDuplicates(["doc_id", "__key"])
+    gone = special.where("not __head").select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone"))
+    kept = once.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
+    return rest.select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

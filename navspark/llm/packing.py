@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import table, text_bytes
-from .tokens import default_tokenizer, encoder
+from .common import released, table, text_bytes
+from .tokens import WordEncoder, default_tokenizer
 
 LENGTH, GROUP = 2048, 16_384
 END = (1).to_bytes(4, "little")
@@ -71,7 +71,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None,
     tokenizer = tokenizer or default_tokenizer()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, step = encoder(tokenizer), 4 * length
+        encode, step = WordEncoder(tokenizer), 4 * length
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None,
             yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    return rows.mapInArrow(cut, PIECES + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(released(cut), PIECES + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, wi
     # a hash of the row's number deals a piece, so that copies and repeated ids spread too
     hashed = cut.withColumn("__deal", F.xxhash64(F.monotonically_increasing_id()))
     dealt = hashed.repartition("__deal").sortWithinPartitions("__deal", "doc_id", "start")
-    return dealt.mapInArrow(deal, schema)
+    return dealt.mapInArrow(released(deal), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, sliced, stored, table, text_bytes
+from .common import mix64, released, sliced, stored, table, text_bytes
 
 RISK, DELTA, MAX_STRATA, BINS = 0.02, 0.05, 4096, 64
 REPEAT_WORDS = 8
@@ -97,7 +97,7 @@ def counts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         *keep, text_bytes().alias("__bytes")
     )
     kept = [f for f in docs.schema.fields if f.name in keep]
-    return rows.mapInArrow(count, T.StructType(sorted(kept, key=lambda f: keep.index(f.name)) + [T.StructField(c, T.LongType()) for c in COUNTS]))
+    return rows.mapInArrow(released(count), T.StructType(sorted(kept, key=lambda f: keep.index(f.name)) + [T.StructField(c, T.LongType()) for c in COUNTS]))
 
 
 def base_failed() -> Column:

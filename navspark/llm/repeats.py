@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BITS, bitmap, flat, forget, likely, mix64, sliced, stored, table, text_bytes, top_bits
+from .common import BITS, bitmap, flat, forget, likely, mix64, released, sliced, stored, table, text_bytes, top_bits
 
 THRESHOLD, GRAM, CELLS = 200, 48, (40, 8, 1)
 SLICE = 1 << 18
@@ -93,7 +93,7 @@ def grams(docs: DataFrame) -> DataFrame:
                 gram = anchors(*flat(batch.column("text")))[4]
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], ["gram"])
 
-    return docs.select(text_bytes().alias("text")).mapInArrow(run, "gram long")
+    return docs.select(text_bytes().alias("text")).mapInArrow(released(run), "gram long")
 
 
 def runs(docs: DataFrame, held_grams) -> DataFrame:
@@ -117,7 +117,7 @@ def runs(docs: DataFrame, held_grams) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["key", "lo", "dlo", "dhi", "gram", "run"])
 
     return docs.select(text_bytes().alias("text")).mapInArrow(
-        run, "key binary, lo int, dlo int, dhi int, gram long, run long"
+        released(run), "key binary, lo int, dlo int, dhi int, gram long, run long"
     )
 
 
@@ -138,7 +138,7 @@ def texts(docs: DataFrame, held_runs) -> DataFrame:
                 cols = [pa.array([k[i] for k in found], pa.int64()) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(found.values(), pa.binary())], ["gram", "run", "text"])
 
-    return docs.select(text_bytes().alias("text")).mapInArrow(run, "gram long, run long, text binary")
+    return docs.select(text_bytes().alias("text")).mapInArrow(released(run), "gram long, run long, text binary")
 
 
 def split(rows: DataFrame, size: int) -> DataFrame:
@@ -263,7 +263,7 @@ def remove(docs: DataFrame) -> DataFrame:
             i = batch.schema.get_field_index("text")
             yield batch.set_column(i, "text", pa.array(out, pa.string())).select(columns)
 
-    clean = with_spans(docs).mapInArrow(cut, docs.schema)
+    clean = with_spans(docs).mapInArrow(released(cut), docs.schema)
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), n).otherwise(F.col("n_chars")))
@@ -291,4 +291,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = with_spans(docs).select("doc_id", "__bytes", "__spans")
-    return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(released(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import mix64, new_path, table, text_bytes
+from .common import mix64, new_path, released, table, text_bytes
 from .tokens import default_tokenizer, encoder
 
 BLOCK_BYTES, SHARD_BYTES = 1 << 16, 4 << 20
@@ -178,7 +178,7 @@ def write(
     order = ["doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # the text writer stores a string's bytes as they are
-    rows.mapInArrow(shards, "shard binary").select(F.col("shard").cast("string")).write.option(
+    rows.mapInArrow(released(shards), "shard binary").select(F.col("shard").cast("string")).write.option(
         "maxRecordsPerFile", 1
     ).text(path)
 
@@ -215,7 +215,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     found = files(spark, path)
     foot = F.expr(f"substring(content, -{FOOTER_SIZE + 1}, {FOOTER_SIZE + 1})")
-    totals = found.select(foot).mapInArrow(feet, "part long, seq long, ids long")
+    totals = found.select(foot).mapInArrow(released(feet), "part long, seq long, ids long")
     parts = totals.groupBy("part").agg(F.sum("ids").alias("ids"))
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("ids").over(running), F.lit(0)).alias("part_start"))
@@ -223,7 +223,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     shards = totals.withColumn("shard_start", F.coalesce(F.sum("ids").over(within), F.lit(0)))
     starts = shards.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("shard_start")).alias("at"))
     rows = found.select("content").mapInArrow(
-        decode, "part long, seq long, doc_id long, before long, n_tokens long, ids_crc32 long"
+        released(decode), "part long, seq long, doc_id long, before long, n_tokens long, ids_crc32 long"
     )
     return rows.join(starts, ["part", "seq"]).select(
         "doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
@@ -247,7 +247,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFra
                     ["doc_id", "ids"],
                 )
 
-    return files(spark, path).select("content").mapInArrow(search, "doc_id long, ids array<long>")
+    return files(spark, path).select("content").mapInArrow(released(search), "doc_id long, ids array<long>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

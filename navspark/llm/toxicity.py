@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, fold, table, text_bytes
+from .common import WORD_BYTES, fold, released, table, text_bytes
 
 SAMPLE, STEPS, RATE, RIDGE, START = 5000, 400, 0.15, 1e-2, -8.0
 #: Features are in so many documents of the sample at least (whichever is more), and this much likelier in one class.
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float] | None) -> Data
     schema = docs.select(*rest).withColumns(
         {"score": F.lit(0.0), "offending": F.lit(None).cast("array<struct<sentence: long, score: double>>")}
     ).schema
-    return docs.withColumn("text", text_bytes()).select(*rest, "text").mapInArrow(run, schema)
+    return docs.withColumn("text", text_bytes()).select(*rest, "text").mapInArrow(released(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
