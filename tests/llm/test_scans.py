@@ -267,3 +267,65 @@ def test_context_tree_is_the_weighted_mixture():
                 prefix = prefix << 1 | bit
             got = tree.logp[leaf[int.from_bytes(ctx, "big")], byte]
             assert got == pytest.approx(want, abs=1e-3)
+
+
+def test_scores_are_those_of_every_context(make, monkeypatch):
+    """Against the definition with all contexts of DEPTH bytes: rare ones count, also among many bytes of others."""
+    monkeypatch.setattr(lm, "CHUNK", 3000)
+    monkeypatch.setattr(lm, "HELD_GRAMS", 500)
+    rng, depth = random.Random(12), lm.DEPTH
+    rows = [(i, "".join(rng.choice("ab ") for _ in range(150))) for i in range(300)]
+    rows += [(400, "a rare phrase, twice"), (401, "a rare phrase, twice"), (402, None), (403, "qqé"), (404, "zzzz zz"), (405, "")]
+    rows += [(500, "another rare phrase, twice"), (500, "a rare phrasing unseen \u0001"), (None, "ab ba")]
+    docs = make(rows).withColumn("held_out", F.coalesce(F.col("doc_id"), F.lit(500)) == 500)
+    got = {}
+    for r in lm.score(docs, lm.counted(docs.where("not held_out"))).collect():
+        got.setdefault(r.doc_id, []).append((r.score, r.bits_per_byte))
+
+    def grams(text):
+        raw = bytes(depth) + (text or "").encode() + b"\0"
+        return [(raw[j - depth : j], raw[j]) for j in range(depth, len(raw))]
+
+    tally, kids = {}, {}
+    for i, t in rows:
+        for ctx, byte in grams(t) if i not in (500, None) else ():
+            for d in range(depth + 1):
+                suffix = ctx[depth - d :]
+                if d:
+                    kids.setdefault(suffix[1:], set()).add(suffix)
+                for bit in range(8):
+                    tally.setdefault((suffix, (byte | 256) >> (8 - bit)), [0, 0])[byte >> (7 - bit) & 1] += 1
+    memo = {}
+
+    def weighted(suffix, prefix):
+        """Log weighted probability, share of the own estimate and the estimate of a one."""
+        if (suffix, prefix) not in memo:
+            z, o = tally.get((suffix, prefix), (0, 0))
+            own = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi)
+            if len(suffix) == depth:
+                memo[suffix, prefix] = own, 1.0, (o + 0.5) / (z + o + 1)
+            else:
+                below = sum(weighted(k, prefix)[0] for k in kids.get(suffix, ()))
+                memo[suffix, prefix] = np.logaddexp(own, below) - math.log(2), 1 / (1 + math.exp(min(700, below - own))), (o + 0.5) / (z + o + 1)
+        return memo[suffix, prefix]
+
+    def log10p(ctx, byte):
+        out = 0.0
+        for bit in range(8):
+            p = 0.5
+            for d in range(depth, -1, -1):
+                _, share, one = weighted(ctx[depth - d :], (byte | 256) >> (8 - bit))
+                p = share * one + (1 - share) * p
+            out += math.log10(p if byte >> (7 - bit) & 1 else 1 - p)
+        return out
+
+    want = {}
+    for i, t in rows:
+        s = sum(log10p(*g) for g in grams(t))
+        want.setdefault(i, []).append((s, -s / math.log10(2) / len(grams(t))))
+    assert got.keys() == want.keys()
+    for i in want:
+        assert np.allclose(sorted(got[i]), sorted(want[i]), rtol=1e-4), i
+    # without training every decision is even
+    even = lm.score(docs, lm.counted(docs.limit(0))).collect()
+    assert len(even) == len(rows) and all(r.bits_per_byte == pytest.approx(8) for r in even)
