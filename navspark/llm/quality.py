@@ -6,7 +6,12 @@ lenient on; a cutoff is valid while the exact binomial tail P(Bin(good, risk / r
 the level, and testing stops at the first that is not (fixed-sequence testing needs no further correction).  The level
 is ``delta / (rules * strata)``, Bonferroni's correction over the families.  So with probability 1 - delta no stratum
 loses more than the share ``risk`` of its good documents to all rules together.  A valid cutoff is used only if it also
-rejects some labelled bad document.  A stratum with few labels has no valid cutoff, and the rules keep everything.
+rejects some labelled bad document.
+
+A stratum needs ln(level) / ln(1 - risk / rules) good labels for that (1,495 with four strata).  One with fewer is given one
+sequence of whole rule sets, all rules cut at the same bin, from the most lenient on: the documents that any rule rejects
+are tested at ``risk`` and ``delta / strata``.  The number of good labels alone chooses, so the guarantee is the same.
+That takes ln(delta / strata) / ln(1 - risk) good labels (217 with four strata); below it, the rules keep everything.
 
 Strata with less than 1 / MAX_STRATA of the labelled documents are pooled in one, so at most MAX_STRATA + 1 rows are
 collected and broadcast, whatever the tables hold.
@@ -143,7 +148,7 @@ def fit(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     seen = seen.select(
         F.coalesce("lang", F.lit("")).alias("__stratum"),
         (F.col("__good") > 0).cast("int").alias("__good"),
-        F.array(*[rate_bin(r) for r in RULES]).alias("__bins"),
+        F.array(*[rate_bin(r) for r in RULES], F.greatest(*[rate_bin(r) for r in RULES])).alias("__bins"),
     )
     seen = stored(seen, "quality-labelled")
     total = seen.count()
@@ -160,12 +165,16 @@ def fit(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
     )
     table_: dict[str | None, np.ndarray] = {}
     for s, rule, b, good, n in cells:
-        table_.setdefault(s, np.zeros((len(RULES), 2, BINS + 1), np.int64))[rule, good, b] = n
-    level = delta / max(1, len(RULES) * len(table_))
-    rows = [
-        (s, *[cutoff(t[k, 1], t[k, 0], risk / len(RULES), level) for k in range(len(RULES))])
-        for s, t in table_.items()
-    ]
+        table_.setdefault(s, np.zeros((len(RULES) + 1, 2, BINS + 1), np.int64))[rule, good, b] = n
+    level = delta / max(1, len(table_))
+
+    def cutoffs(t: np.ndarray) -> list[int | None]:
+        each = risk / len(RULES), level / len(RULES)
+        if t[0, 1].sum() * math.log1p(-each[0]) <= math.log(each[1]):
+            return [cutoff(t[k, 1], t[k, 0], *each) for k in range(len(RULES))]
+        return [cutoff(t[-1, 1], t[-1, 0], risk, level)] * len(RULES)
+
+    rows = [(s, *cutoffs(t)) for s, t in table_.items()]
     return own, rows
 
 

@@ -150,6 +150,18 @@ def test_quality_cutoffs_hold_their_risk(spark, make):
     assert quality.keep(make([]), labels).count() == 0
 
 
+def test_quality_cutoffs_of_small_strata(spark, make):
+    """A few hundred good labels reject bad documents, as whole rule sets are tested."""
+    rng = random.Random(7)
+    good = [" ".join(rng.choice(("plain", "words", "here", "again", "now")) + str(rng.randrange(99)) for _ in range(40)) for _ in range(300)]
+    bad = [" ".join(x + "###" for x in t.split()) for t in good[:60]]
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(360)], "doc_id long, quality int")
+    docs = make(list(enumerate(good + bad)))
+    assert {r.doc_id for r in quality.keep(docs, labels).collect()} == set(range(300))
+    # one label under the minimum of a single stratum keeps everything: 0.98 ** 148 > 0.05
+    assert quality.keep(docs, labels.where("doc_id >= 152")).count() == 360
+
+
 def test_binomial_tail_is_exact():
     for n, p, k in ((20, 0.1, 0), (20, 0.1, 3), (200, 0.02, 5)):
         want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
