@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime
 import os
 import sys
 from pathlib import Path
@@ -28,15 +27,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def business_days(start: str, n: int) -> list[datetime.date]:
-    day, out = datetime.date.fromisoformat(start), []
-    while len(out) < n:
-        if day.weekday() < 5:
-            out.append(day)
-        day += datetime.timedelta(days=1)
-    return out
-
-
 @pytest.fixture(scope="session")
 def series(spark):
     """Dictionary of code -> [(date, nav)] to a cleaned NAV frame."""

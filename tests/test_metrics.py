@@ -7,8 +7,8 @@ import math
 import statistics
 
 import pytest
-from conftest import business_days
 from pyspark.sql import functions as F
+from trading_days import business_days
 
 from navspark.config import EngineConfig
 from navspark.operators import benchmark as bm

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 
 import pytest
-from conftest import business_days
+from trading_days import business_days
 
 from navspark.config import EngineConfig
 from navspark.operators import peers, screener, validation

@@ -6,8 +6,8 @@ import datetime
 import json
 
 import pytest
-from conftest import business_days
 from pyspark.sql import functions as F
+from trading_days import business_days
 
 from navspark.functions.expr import business_gap
 from navspark.operators import catalogue, merge
