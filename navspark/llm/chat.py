@@ -9,12 +9,17 @@ A turn is written ``<|turn|>role<|text|>text<|end|>``; ``&``, ``<`` and ``[`` in
 the three in reverse order gives the text back exactly.
 
 Defined cases: a null role or text is empty; turns are ordered by turn, then role, then text, repeated rows stay; a row
-without conv_id is a conversation of its own, told apart by ``lone``; an empty table gives no example; other columns are ignored.
+without conv_id is a conversation of its own, told apart by ``lone``; an empty table gives no example; other columns are
+ignored, whatever their names.
+
+An example is one string by nature, so a conversation is one too: it may have 2^31 - 1 bytes, and examples of a
+conversation of n turns have characters in proportion to n^2.  The examples of a conversation are cut from its one string
+as rows, without copies of the turns beside them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -42,42 +47,35 @@ def expand(turns: DataFrame) -> DataFrame:
     trainable text is given by code point offsets.
     """
     empty = F.lit("")
-    row = F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    turns = turns.withColumn("lone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
-    conversations = turns.groupBy("conv_id", "lone").agg(F.array_sort(F.collect_list(row)).alias("turns"))
-    written = F.transform(
-        "turns",
-        lambda t: F.struct(
-            (t["role"] == "assistant").alias("train"),
-            F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)).alias("head"),
-            escape(t["text"]).alias("body"),
-        ),
-    )
-    # ends[i]: characters up to and with turn i
-    sizes = F.transform("w", lambda t: F.length(t["head"]) + F.length(t["body"]) + len(END))
-    ends = F.aggregate(
-        sizes,
-        F.array().cast("array<int>"),
-        lambda done, n: F.array_append(done, F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + n),
-    )
-    full = F.concat_ws("", F.transform("w", lambda t: F.concat(t["head"], t["body"], F.lit(END))))
-    laid = conversations.select("conv_id", "lone", written.alias("w")).select(
-        "conv_id", "lone", "w", full.alias("full"), ends.alias("ends"), F.size("w").alias("n")
-    )
+    turns = turns.select(
+        "conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("lone"), "turn",
+        F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"),
+    )
+    laid = turns.select(
+        "conv_id", "lone", "turn", "role", "text", (F.col("role") == "assistant").alias("train"),
+        F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)).alias("head"), escape(F.col("text")).alias("body"),
+    )
+    order = Window.partitionBy("conv_id", "lone").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    laid = laid.withColumns({
+        "k": F.row_number().over(Window.partitionBy("conv_id", "lone").orderBy("turn", "role", "text")),
+        # characters up to and with the turn
+        "end": F.sum(F.length("head") + F.length("body") + len(END)).over(order).cast("int"),
+    })
+    turn = F.struct("k", "train", F.length("body").alias("chars"), "end", F.concat("head", "body", F.lit(END)).alias("written"))
+    laid = laid.groupBy("conv_id", "lone").agg(F.array_sort(F.collect_list(turn)).alias("w"))
+    laid = laid.select("conv_id", "lone", "w", F.concat_ws("", F.col("w.written")).alias("full"), F.size("w").alias("n"))
     targets = F.filter(
-        F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("w", i)["train"] | (i == F.col("n") - 1)
+        F.transform("w", lambda t: t.dropFields("written")), lambda t: t["train"] | (t["k"] == F.col("n"))
     )
-    examples = laid.select("conv_id", "lone", "w", "full", "ends", "n", F.posexplode(targets).alias("example", "at"))
-    target, end = F.get("w", F.col("at")), F.get("ends", F.col("at"))
-    chars = F.length(target["body"])
+    examples = laid.select("conv_id", "lone", "full", "n", F.posexplode(targets).alias("example", "t"))
     return examples.select(
         "conv_id",
         "lone",
         "example",
-        (F.col("at") == F.col("n") - 1).alias("last"),
-        F.substring("full", F.lit(1), end).alias("formatted"),
-        F.when(target["train"], end - len(END) - chars).alias("loss_start"),
-        F.when(target["train"], chars).otherwise(0).alias("loss_chars"),
+        (F.col("t.k") == F.col("n")).alias("last"),
+        F.substring("full", F.lit(1), F.col("t.end")).alias("formatted"),
+        F.when(F.col("t.train"), F.col("t.end") - len(END) - F.col("t.chars")).alias("loss_start"),
+        F.when(F.col("t.train"), F.col("t.chars")).otherwise(0).alias("loss_chars"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a helper turns into arrays at once; bounds a task's memory whatever Arrow batch arrives.
 SLICE_BYTES = 1 << 20
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
 #: Size of the bitmaps over hashes: 2**BITS bits.
 BITS = 27
 
@@ -27,8 +28,9 @@ WORD_BYTES = bytes(
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Whole texts are long rows: hand them to Python tasks in Arrow batches of BATCH_ROWS at most."""
+    """Whole texts are long rows: hand them to Python tasks in Arrow batches of BATCH_ROWS rows and BATCH_BYTES at most."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is configured."""
+    """The folder that the driver and all executors share; where none is configured, a temporary one if all tasks run
+    in this machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="navspark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
@@ -74,8 +79,8 @@ def top_bits(c: str) -> Column:
 
 def _parts(keys: DataFrame, bit: Column) -> DataFrame:
     bit = bit + 1  # buckets hold values from 1 on
-    return keys.groupBy(F.bitmap_bucket_number(bit).alias("__k")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("__v")
+    return keys.groupBy(F.bitmap_bucket_number(bit).alias("h_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("h_bits")
     )
 
 
@@ -93,16 +98,18 @@ def likely(
     """The rows of df whose hash may be among the keys' hashes, and the rest, by a bitmap of fixed size.
 
     Rows outside ``only`` are never among the first.  Only the first need a join with the keys, so only they are exchanged.
+    df is a frame of an operator (see carried): no column of it is called h_bit, h_bucket, h_bits or h_in.
     """
     parts = _parts(keys, top_bits(column))
     # at most 2**BITS / 2**15 rows of 4 kB
-    tested = df.withColumn("__h", F.shiftrightunsigned(hash_, 64 - BITS) + 1).withColumn("__k", F.bitmap_bucket_number("__h")).join(F.broadcast(parts), "__k", "left")
-    place = F.bitmap_bit_position("__h")
-    byte = F.conv(F.hex(F.substring("__v", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    tested = tested.withColumn("__in", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
+    tested = df.withColumn("h_bit", F.shiftrightunsigned(hash_, 64 - BITS) + 1)
+    tested = tested.withColumn("h_bucket", F.bitmap_bucket_number("h_bit")).join(F.broadcast(parts), "h_bucket", "left")
+    place = F.bitmap_bit_position("h_bit")
+    byte = F.conv(F.hex(F.substring("h_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    tested = tested.withColumn("h_in", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False)))
     if only is not None:
-        tested = tested.withColumn("__in", F.col("__in") & only)
-    out = [tested.where(c).select(*df.columns) for c in (F.col("__in"), ~F.col("__in"))]
+        tested = tested.withColumn("h_in", F.col("h_in") & only)
+    out = [tested.where(c).select(*df.columns) for c in (F.col("h_in"), ~F.col("h_in"))]
     return out[0], out[1]
 
 
@@ -132,6 +139,20 @@ def text_bytes(c: str = "text") -> Column:
     return F.coalesce(F.col(c).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """row: all input columns as one struct, beside which an operator's own columns have no names to clash with; text:
+    the text's bytes.  ``select("row.*")`` gives the input columns back."""
+    return docs.select(F.struct("*").alias("row"), text_bytes().alias("text"))
+
+
+def with_text(docs: DataFrame, text: Column) -> DataFrame:
+    """The input columns of a frame with ``row``, with another text; n_chars, where present, follows it."""
+    fields = docs.schema["row"].dataType.fields
+    chars = F.when(text.isNotNull(), F.length(text)).otherwise(F.col("row.n_chars")) if "n_chars" in docs.schema["row"].dataType.names else None
+    new = {"text": text, "n_chars": chars}
+    return docs.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in new else F.col("row").getField(f.name).alias(f.name) for f in fields])
+
+
 def fold(c: str, n: int) -> Column:
     """crc32 of an id's decimal digits, modulo n; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % n

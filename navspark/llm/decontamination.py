@@ -5,14 +5,18 @@ matrix, sampled suffix positions) is built over them, all windows of the benchma
 their occurrences located from the samples, and the covered words merged to spans for removal.
 
 Before that, words that cannot lie in any occurrence are left out: a window of two words or more needs each pair of
-neighbours to be a pair of neighbours of some window.  This loses no occurrence, and clean shards index nothing.
+neighbours to be a pair of neighbours of some window.  This loses no occurrence, and clean shards index nothing
+(``whole=True`` indexes all words).
 
-The benchmark is the stated query set.  It is taken in blocks of at most ``BLOCK_WINDOWS`` different windows, the size
-bound of what is broadcast; each block is searched in all documents.
+The benchmark is the stated query set.  Spark cuts it into different windows with their items.  Windows are dealt by
+hash into blocks of about ``BLOCK_WINDOWS``, the size bound of what is broadcast: one block is searched in all
+documents, its spans are written, and its broadcast goes before the next.  Windows that are found are joined with their
+items by key.
 
 Defined cases: null texts and texts without words are never contaminated; items without words are ignored; repeated
 items count once per item_id, a null item_id as the empty string; repeated document rows are each searched; an empty
-table on either side gives rows without hits or no rows.  Input columns other than ``text`` pass through untouched.
+table on either side gives rows without hits or no rows.  Input columns other than ``text`` and ``n_chars`` pass through
+untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, released, sliced, table, text_bytes
+from .common import WORD_BYTES, carried, released, sliced, stored, table, text_bytes, with_text
 
 WINDOW, BLOCK_WINDOWS, SHARD_BYTES, SAMPLE, BITMAP_BITS = 10, 200_000, 4 << 20, 8, 22
 #: A word in UTF-8 bytes, see WORD_BYTES.
@@ -39,21 +43,22 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Patterns:
-    """A block of windows: symbols from 2 (0 ends a text, 1 parts runs), windows by length, the items of each, and neighbouring pairs."""
+    """A block of windows (words with spaces between): symbols from 2 (0 ends a text, 1 parts runs), windows by length,
+    and neighbouring pairs."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], set[str]]):
+    def __init__(self, windows: Iterable[bytes]):
         self.symbols: dict[bytes, int] = {}
-        by_length: dict[int, list[tuple[list[int], set[str]]]] = {}
+        by_length: dict[int, list[tuple[list[int], bytes]]] = {}
         pairs, self.single = set(), set()
-        for window, items in windows.items():
-            codes = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in window]
-            by_length.setdefault(len(codes), []).append((codes, items))
+        for window in windows:
+            codes = [self.symbols.setdefault(w, len(self.symbols) + 2) for w in window.split()]
+            by_length.setdefault(len(codes), []).append((codes, window))
             pairs.update(zip(codes, codes[1:]))
             if len(codes) == 1:
                 self.single.add(codes[0])
         self.size = len(self.symbols) + 2
         self.by_length = {
-            m: (np.array([c for c, _ in rows], np.int64), [sorted(i) for _, i in rows])
+            m: (np.array([c for c, _ in rows], np.int64), [w for _, w in rows])
             for m, rows in by_length.items()
         }
         self.shortest = min((m for m in by_length if m > 1), default=0)
@@ -158,15 +163,15 @@ class FMIndex:
         return places
 
 
-def occurrences(symbols: np.ndarray, patterns: Patterns) -> Iterator[tuple[int, int, int]]:
+def occurrences(symbols: np.ndarray, patterns: Patterns, whole: bool = False) -> Iterator[tuple[int, int, int]]:
     """(length, window, places) of all windows in a shard's symbols."""
-    keep = patterns.kept(symbols)
+    keep = np.ones(len(symbols), bool) if whole else patterns.kept(symbols)
     if not keep.any():
         return
     # runs of kept words with a mark between them, and the end
     at = np.flatnonzero(keep)
     gaps = np.flatnonzero(np.diff(at) != 1) + 1
-    text, place = np.insert(symbols[at], gaps, 1), np.insert(at, gaps, -1)
+    text, place = np.insert(np.maximum(symbols[at], 1), gaps, 1), np.insert(at, gaps, -1)
     index = FMIndex(np.r_[text, 0], patterns.size)
     for length, (windows, _) in patterns.by_length.items():
         which, lo, hi = index.search(windows)
@@ -176,31 +181,35 @@ def occurrences(symbols: np.ndarray, patterns: Patterns) -> Iterator[tuple[int,
             yield length, np.repeat(which, n), place[index.locate(rows)]
 
 
-def blocks(benchmark: DataFrame, window: int, limit: int) -> Iterator[Patterns]:
-    windows: dict[tuple[bytes, ...], set[str]] = {}
-    for row in benchmark.select(F.col("item_id").cast("string"), text_bytes()).toLocalIterator():
-        words = words_of(bytes(row[1]))
-        if words:
-            for i in range(max(1, len(words) - window + 1)):
-                windows.setdefault(tuple(words[i : i + window]), set()).add(row[0] or "")
-            if len(windows) >= limit:
-                yield Patterns(windows)
-                windows = {}
-    if windows:
-        yield Patterns(windows)
+def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """window (words with spaces between), item: different rows, stored."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows, items = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                found = {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))} if words else ()
+                windows.extend(found)
+                items.extend([item or ""] * len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(items, pa.string())], ["window", "item"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), text_bytes().alias("text"))
+    return stored(items.mapInArrow(released(cut), "window binary, item string").distinct(), "benchmark-windows")
 
 
 SPAN = T.StructType([T.StructField("first", T.LongType()), T.StructField("words", T.LongType())])
-ADDED = [
-    T.StructField("__n_words", T.LongType()),
-    T.StructField("__spans", T.ArrayType(SPAN)),
-    T.StructField("__items", T.ArrayType(T.StringType())),
+FOUND = [
+    T.StructField("n_words", T.LongType()),
+    T.StructField("spans", T.ArrayType(SPAN)),
+    T.StructField("windows", T.ArrayType(T.BinaryType())),
+    T.StructField("clean", T.StringType()),
 ]
+SPANS = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
 
 
-def without(text: str, spans: list[dict]) -> str:
+def without(raw: bytes, spans: list[dict]) -> str:
     """The text without spans of its words."""
-    raw = text.encode()
     place = [m.span() for m in WORD.finditer(raw)]
     kept, at = [], 0
     for s in spans:
@@ -209,37 +218,30 @@ def without(text: str, spans: list[dict]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def annotate(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    window: int = WINDOW,
-    block_windows: int = BLOCK_WINDOWS,
-    remove: bool = False,
-) -> DataFrame:
-    """The rows of docs with __n_words, merged hit __spans of words and the __items found; with remove, the texts have
-    lost the hit words."""
-    spark = docs.sparkSession
-    sets = [spark.sparkContext.broadcast(p) for p in blocks(benchmark, window, block_windows)]
+def search(rows: DataFrame, patterns: Patterns, remove: bool, whole: bool) -> DataFrame:
+    """FOUND for rows (..., text): words, merged spans of hit words, windows found and, with remove, the text without
+    hit words where there are some.  The columns beside the text stay."""
+    held = rows.sparkSession.sparkContext.broadcast(patterns)
+    beside = [c for c in rows.columns if c != "text"]
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in sliced(whole, "__bytes", SHARD_BYTES):
-                words = [words_of(t) for t in batch.column("__bytes").to_pylist()]
+        patterns = held.value
+        for whole_batch in batches:
+            for batch in sliced(whole_batch, "text", SHARD_BYTES):
+                texts = batch.column("text").to_pylist()
+                words = [words_of(t) for t in texts]
                 sizes = np.array([len(w) for w in words], np.int64)
                 starts = np.r_[0, np.cumsum(sizes + 1)]
-                items: list[set[str]] = [set() for _ in words]
-                edge = np.zeros(starts[-1] + 1, np.int64)
-                for held in sets:
-                    patterns = held.value
-                    symbols = np.zeros(starts[-1], np.int64)
-                    for s, w in zip(starts, words):
-                        symbols[s : s + len(w)] = np.fromiter(map(patterns.symbols.get, w, repeat(0)), np.int64, len(w))
-                    for length, which, places in occurrences(symbols, patterns):
-                        np.add.at(edge, places, 1)
-                        np.add.at(edge, places + length, -1)
-                        row = np.searchsorted(starts, places, side="right") - 1
-                        for r, k in np.unique(np.c_[row, which], axis=0).tolist():
-                            items[r].update(patterns.by_length[length][1][k])
+                found: list[set[bytes]] = [set() for _ in words]
+                edge, symbols = np.zeros(starts[-1] + 1, np.int64), np.zeros(starts[-1], np.int64)
+                for s, w in zip(starts, words):
+                    symbols[s : s + len(w)] = np.fromiter(map(patterns.symbols.get, w, repeat(0)), np.int64, len(w))
+                for length, which, places in occurrences(symbols, patterns, whole):
+                    np.add.at(edge, places, 1)
+                    np.add.at(edge, places + length, -1)
+                    row = np.searchsorted(starts, places, side="right") - 1
+                    for r, k in np.unique(np.c_[row, which], axis=0).tolist():
+                        found[r].add(patterns.by_length[length][1][k])
                 hit = np.cumsum(edge[:-1]) > 0
                 turn = np.diff(np.r_[0, hit.view(np.int8), 0])
                 first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
@@ -247,44 +249,96 @@ def annotate(
                 spans: list[list[dict]] = [[] for _ in words]
                 for r, f, l in zip(row.tolist(), first.tolist(), last.tolist()):
                     spans[r].append({"first": f - int(starts[r]), "words": l - f})
-                new = [pa.array(sizes), spans, [sorted(i) for i in items]]
-                kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])), pa.list_(pa.string())]
-                batch = batch.drop_columns("__bytes")
-                if remove:
-                    i = batch.schema.get_field_index("text")
-                    texts = [without(t, s) if s else t for t, s in zip(batch.column(i).to_pylist(), spans)]
-                    batch = batch.set_column(i, "text", pa.array(texts, pa.string()))
-                for f, c, kind in zip(ADDED, new, kinds):
-                    batch = batch.append_column(f.name, c if isinstance(c, pa.Array) else pa.array(c, kind))
-                yield batch
-
-    schema = T.StructType([*docs.schema.fields, *ADDED])
-    return docs.withColumn("__bytes", text_bytes()).mapInArrow(released(find), schema)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without the words of benchmark passages; n_chars, where present, follows the text."""
+                clean = [without(t, s) if s and remove else None for t, s in zip(texts, spans)]
+                new = [pa.array(sizes), pa.array(spans, SPANS), pa.array([sorted(x) for x in found], pa.list_(pa.binary())), pa.array(clean, pa.string())]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in beside], *new], [*beside, *[f.name for f in FOUND]])
+
+    return rows.mapInArrow(released(find), T.StructType([*[rows.schema[c] for c in beside], *FOUND]))
 
-    clean = annotate(docs, benchmark, window, remove=True).select(*docs.columns)
-    if "n_chars" in docs.columns:
-        n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        clean = clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), n).otherwise(F.col("n_chars")))
-    return clean
+
+def united(rows: DataFrame, parts: list[DataFrame], remove: bool) -> DataFrame:
+    """FOUND for rows (row_id, row, text) from the stored parts (row_id, spans, windows) of several blocks."""
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    both = both.groupBy("row_id").agg(
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.flatten(F.collect_list("windows"))).alias("windows")
+    )
+
+    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, spans, clean = [], [], []
+            for text, parted in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                sizes.append(len(words_of(text)))
+                one: list[dict] = []
+                for s in parted or ():
+                    if one and s["first"] <= one[-1]["first"] + one[-1]["words"]:
+                        one[-1]["words"] = max(one[-1]["words"], s["first"] + s["words"] - one[-1]["first"])
+                    else:
+                        one.append(dict(s))
+                spans.append(one)
+                clean.append(without(text, one) if one and remove else None)
+            new = [pa.array(sizes, pa.int64()), pa.array(spans, SPANS), batch.column("windows"), pa.array(clean, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("row"), *new], ["row_id", "row", *[f.name for f in FOUND]])
+
+    none = F.array().cast("array<binary>")
+    joined = rows.join(both, "row_id", "left").select("row_id", "row", "text", "spans", F.coalesce("windows", none).alias("windows"))
+    return joined.mapInArrow(released(finish), T.StructType([rows.schema["row_id"], rows.schema["row"], *FOUND]))
+
+
+def annotate(
+    docs: DataFrame,
+    windows: DataFrame,
+    block_windows: int = BLOCK_WINDOWS,
+    remove: bool = False,
+    whole: bool = False,
+) -> DataFrame:
+    """row_id, row (a struct of the input columns) and FOUND; windows: of windows_of."""
+    different = windows.select("window").distinct()
+    blocks = max(1, -(-different.count() // block_windows))
+    rows = carried(docs).withColumn("row_id", F.monotonically_increasing_id()).select("row_id", "row", "text")
+    if blocks == 1:
+        # at most block_windows rows
+        return search(rows, Patterns([bytes(r[0]) for r in different.toLocalIterator()]), remove, whole)
+    rows, parts = stored(rows, "decontamination-rows"), []
+    for b in range(blocks):
+        block = different.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
+        found = search(rows.select("row_id", "text"), Patterns([bytes(r[0]) for r in block.toLocalIterator()]), False, whole)
+        parts.append(stored(found.where("size(spans) > 0").select("row_id", "spans", "windows"), "decontamination-spans"))
+    return united(rows, parts, remove)
+
+
+def items_of(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """row_id, items: sorted, of found rows (row_id, windows) with a window."""
+    each = found.select("row_id", F.explode("windows").alias("window")).join(windows, "window")
+    return each.groupBy("row_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The documents without the words of benchmark passages; n_chars, where present, follows the text."""
+    found = annotate(docs, windows_of(benchmark, window), block_windows, remove=True)
+    return with_text(found, F.coalesce("clean", "row.text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = annotate(docs, table(spark, sf_dir, "benchmark"))
-    hit = F.coalesce(F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["words"]), F.lit(0))
-    return found.select(
+    windows = windows_of(table(spark, sf_dir, "benchmark"))
+    found = annotate(docs, windows).select("row_id", "row.doc_id", "n_words", "spans", "windows")
+    found = stored(found, "decontamination-found")
+    # only rows with a window meet the items
+    none = found.where("size(windows) = 0").withColumn("items", F.array().cast("array<string>"))
+    items = found.where("size(windows) > 0").join(items_of(found, windows), "row_id").unionByName(none)
+    hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["words"]), F.lit(0))
+    return items.select(
         "doc_id",
-        F.col("__n_words").alias("n_words"),
+        "n_words",
         hit.alias("n_hit"),
-        F.size("__items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("__items", ",").cast("binary"), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
 
+
 ORACLE_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -4,18 +4,21 @@ Texts are their words (A-Z lower-cased, digits, letters); five words in a row ar
 places as weight; texts of one to four words are one shingle.  Two texts are linked if their weighted Jaccard similarity
 is at least ``SIMILARITY``; classes are the connected components.
 
-1. Texts get a signature of BANDS * ROWS coordinates; equal texts (by md5 of their words) are one node from here on.
-2. Texts that share a band are candidates.  Each bucket is a star around its smallest node, so its rows are linear in
-   its size, and the components of these stars hold all candidate pairs.
-3. Each such group is cut into blocks of ``BLOCK`` texts; a task takes two blocks, finds the pairs that share a band,
-   compares whole shingle sets, and returns only a spanning forest of the links.  No bucket or group meets in one task,
-   no pairs are emitted, and no partner is left out.
-4. Components of the links are the classes.
+1. Equal texts (by md5 of their words) are one node from here on; each gets a signature of BANDS * ROWS coordinates.
+2. Texts that share a band are candidates.  A bucket is a star around its smallest node, so its rows are linear in its
+   size.  The stars of one centre are a group: it holds every pair that shares a bucket with that centre.
+3. A group of up to ``BLOCK`` texts is compared in one task.  A larger one is cut into blocks, each with the centre
+   beside it.  Components of the links so far then tell which texts of a large group still stand outside its largest
+   component; only these meet the group's other blocks, so a group of copies costs rows in proportion to its size.
+   Every candidate pair in different components is compared; no pair is emitted but links of a spanning forest.
+4. Components of all links are the classes.
 
 A pair at similarity s shares no band with probability (1 - s^ROWS)^BANDS: 6e-5 at 0.8, nothing at 0.9.
 
 Defined cases: texts without words (null too) are alone, each row; repeated rows share a class; the class id is the
-smallest doc_id in it (null only if all are); an empty table gives no row; input columns pass through ``deduplicate``.
+smallest doc_id in it (null only if all are); an empty table gives no row; of rows with one id and the same words
+``deduplicate`` keeps the one with the smallest text (by bytes; then by a hash of the whole row); input columns pass
+through it, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BITS, WORD_BYTES, bitmap, likely, mix64, released, sliced, stored, table, text_bytes
+from .common import BITS, WORD_BYTES, bitmap, carried, forget, likely, mix64, released, sliced, stored, table, text_bytes
 from .components import components
 from .dart import signatures
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 32, 6, 512
 SLICE = 1 << 18
+#: A key with 1 / HOT of all rows or more is joined by broadcast: there are at most HOT of them.
+HOT = 4096
 
 
 def key_of(text: bytes) -> tuple[bytes | None, list[bytes]]:
@@ -93,15 +99,15 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def with_key(docs: DataFrame) -> DataFrame:
-    """The input rows with __key."""
+    """row, key."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [key_of(t.as_py())[0] for t in batch.column("__bytes")]
-            yield batch.drop_columns("__bytes").append_column("__key", pa.array(keys, pa.binary()))
+            keys = [key_of(t.as_py())[0] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(keys, pa.binary())], ["row", "key"])
 
-    schema = docs.withColumn("__key", F.lit(None).cast("binary")).schema
-    return docs.withColumn("__bytes", text_bytes()).mapInArrow(released(run), schema)
+    rows = carried(docs)
+    return rows.mapInArrow(released(run), T.StructType([rows.schema["row"], T.StructField("key", T.BinaryType())]))
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -134,123 +140,151 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     found = docs.select(text_bytes().alias("text")).mapInArrow(released(run), "key binary, items array<long>")
-    return found.join(wanted, "key").dropDuplicates(["key"])
-
-
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def linked(pair: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links among the texts of two blocks (or one)."""
-    items = [np.asarray(x, np.int64) for x in pair["items"]]
-    bands = np.stack([np.asarray(b, np.int64) for b in pair["bands"]])
-    keys, forest, out = pair["key"].tolist(), Forest(len(pair)), []
-    block = pair["block"].to_numpy()
-    across = block.min() != block.max()
-    shared: dict[tuple[int, int], int] = {}
-    for b in range(bands.shape[1]):
-        order = np.argsort(bands[:, b], kind="stable")
-        cuts = np.flatnonzero(np.diff(bands[order, b])) + 1
-        for members in np.split(order, cuts):
-            if len(members) > 1:
-                members = np.sort(members)
-                x, y = np.triu_indices(len(members), 1)
-                x, y = members[x], members[y]
-                if across:
-                    x, y = x[block[x] != block[y]], y[block[x] != block[y]]
-                for p in zip(x.tolist(), y.tolist()):
-                    shared[p] = shared.get(p, 0) + 1
-    for (x, y), _ in sorted(shared.items(), key=lambda p: (-p[1], p[0])):
-        a, b = items[x], items[y]
-        if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)) or forest.root(x) == forest.root(y):
+    return found.join(wanted, "key").groupBy("key").agg(F.first("items").alias("items"))
+
+
+def linked(group: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links in a group (key, items, side): those of rows of side 0 to rows of side 0 and 1."""
+    n, out = len(group), []
+    items, keys, side = [np.asarray(x, np.int64) for x in group["items"]], group["key"].tolist(), group["side"].to_numpy()
+    sizes = np.array([len(x) for x in items])
+    codes = np.unique(np.concatenate(items), return_inverse=True)[1]
+    starts = np.r_[0, np.cumsum(sizes)]
+    mark, label = np.zeros(int(codes.max()) + 1, bool), np.arange(n)
+    order = np.lexsort((group["key"].to_numpy(), side))
+    for i, x in enumerate(order.tolist()):
+        if side[x]:
+            break
+        others = order[i + 1 :]
+        low, high = np.minimum(sizes[others], sizes[x]), np.maximum(sizes[others], sizes[x])
+        others = others[(label[others] != label[x]) & (low >= SIMILARITY * high)]
+        if not len(others):
             continue
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        common = int((b[at] == a).sum())
-        if common >= SIMILARITY * (len(a) + len(b) - common):
-            forest.join(x, y)
-            out.append((keys[x], keys[y]))
+        mark[codes[starts[x] : starts[x + 1]]] = True
+        there = np.concatenate([codes[starts[y] : starts[y + 1]] for y in others.tolist()])
+        common = np.add.reduceat(mark[there], np.r_[0, np.cumsum(sizes[others])[:-1]], dtype=np.int64)
+        mark[codes[starts[x] : starts[x + 1]]] = False
+        for y in others[common >= SIMILARITY * (sizes[x] + sizes[others] - common)].tolist():
+            if label[y] != label[x]:
+                label[label == label[y]] = label[x]
+                out.append((keys[x], keys[y]))
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """key, class: the smallest key of the class, for texts that have a link to a different text."""
+def compared(sets: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Links (a, b) inside the groups of dealt (centre, i, j, key, side)."""
+    return sets.join(dealt, "key").groupBy("centre", "i", "j").applyInPandas(linked, "a binary, b binary")
+
+
+def groups_of(texts: DataFrame) -> DataFrame:
+    """centre, key, blocks: the members of each centre's group, the centre among them."""
+    bands = texts.select("key", F.explode("bands").alias("band"))
+    buckets = bands.groupBy("band").agg(F.min("key").alias("centre"), F.max("key").alias("z")).where("centre != z")
+    stars = bands.join(buckets.select("band", "centre"), "band").where("key != centre").select("centre", "key").distinct()
+    stars = stored(stars, "neardup-stars")
+    sizes = stars.groupBy("centre").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks"))
+    members = stars.join(sizes, "centre").unionByName(sizes.select("centre", F.col("centre").alias("key"), "blocks"))
+    return stored(members, "neardup-groups")
+
+
+def classes_of(texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """key, class (the smallest key of the class), for texts (key, bands) that have a link to a different text."""
+    members = groups_of(texts)
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    placed = members.withColumn("block", block)
+    first = placed.where("key != centre or blocks = 1").select("centre", "key", F.col("block").alias("i"))
+    centres = placed.where("key = centre and blocks > 1").select(
+        "centre", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
+    )
+    dealt = first.unionByName(centres).withColumns({"j": F.col("i"), "side": F.lit(0)})
+    sets = stored(shingle_sets(docs, members.select("key").distinct()), "neardup-sets")
+    links = stored(compared(sets, dealt), "neardup-links")
+    classes = components(links)
+    large = placed.where("blocks > 1")
+    # of each large group: the members outside its largest component meet all blocks
+    labelled = large.join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    labelled = stored(labelled, "neardup-large")
+    by_label = labelled.groupBy("centre", "label").agg(F.count("*").alias("n"))
+    main = by_label.groupBy("centre").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.where("all > most").withColumn("parts", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
+    left = labelled.join(main.select("centre", "main", "parts"), "centre")
+    part = F.pmod(F.xxhash64("key", F.lit(1)), F.col("parts")).cast("int")
+    outside = left.where("label != main").select(
+        "centre", "key", part.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side")
+    )
+    others = left.select(
+        "centre", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side")
+    )
+    late = stored(compared(sets, outside.unionByName(others)).where("a != b"), "neardup-links")
+    if not late.isEmpty():
+        classes = components(links.unionByName(late))
+    forget(members, sets, labelled, late)
+    return classes.withColumnsRenamed({"node": "key", "label": "class"})
+
+
+def by_key(rows: DataFrame, keyed: DataFrame, total: int) -> DataFrame:
+    """rows left-joined with keyed (key, rows_of, ...) by key.  Keys that hold 1 / HOT of all rows or more, at most HOT,
+    are broadcast; in the exchange for the others no key is hot."""
+    hot = F.col("rows_of") * HOT >= F.lit(total)
+    few, many = F.broadcast(keyed.where(hot)), keyed.where(~hot)
+    return rows.join(few, "key").unionByName(rows.join(few.select("key"), "key", "left_anti").join(many, "key", "left"))
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Stored rows (doc_id, key), keys with their class (key, rows_of, class, class_size, class_id), the number of rows."""
     seen = stored(signed(docs), "neardup-signed")
-    return classes_of(seen, docs)
-
-
-def classes_of(seen: DataFrame, docs: DataFrame) -> DataFrame:
-    bands = seen.select("key", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a != z")
-    stars = bands.join(buckets.select("band", "a"), "band").where("key != a").select("a", F.col("key").alias("b"))
-    groups = components(stars)
-    sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # few groups have more than one block; the rest need no replication
-    placed = groups.join(sizes, "label").select(
-        F.col("node").alias("key"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    texts = seen.where("key is not null").groupBy("key").agg(
+        F.first("bands").alias("bands"), F.count("*").alias("rows_of"), F.min("doc_id").alias("least")
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = placed.select("key", "label", "block", other.alias("other")).select(
-        "key", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    texts = stored(texts, "neardup-texts")
+    keyed = texts.drop("bands").join(classes_of(texts, docs), "key", "left").withColumn("class", F.coalesce("class", "key"))
+    keyed = stored(keyed, "neardup-keyed")
+    shared = keyed.where("class != key or rows_of > 1").select("class").distinct()
+    heads = keyed.join(shared, "class", "left_semi").groupBy("class").agg(
+        F.min("least").alias("class_id"), F.sum("rows_of").alias("class_size")
     )
-    sets = shingle_sets(docs, groups.select(F.col("node").alias("key")))
-    of = seen.where("key is not null").select("key", "bands").join(groups.select(F.col("node").alias("key")), "key")
-    full = stored(sets.join(of.dropDuplicates(["key"]), "key"), "neardup-sets")
-    links = full.join(dealt, "key").groupBy("label", "i", "j").applyInPandas(linked, "a binary, b binary")
-    return components(stored(links, "neardup-links")).withColumnsRenamed({"node": "key", "label": "class"})
+    out = stored(keyed.join(heads, "class"), "neardup-classes")
+    rows = stored(seen.select("doc_id", "key"), "neardup-rows")
+    forget(seen, texts, keyed)
+    return rows, out, rows.count()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class), class_size, a row for each of docs."""
-    seen = stored(signed(docs), "neardup-signed")
-    named = seen.select("doc_id", "key").join(classes_of(seen, docs), "key", "left")
-    named = named.withColumn("class", F.coalesce("class", "key"))
-    named = stored(named, "neardup-named")
-    heads = named.where("class is not null").groupBy("class").agg(
-        F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")
-    )
-    return named.join(heads, "class", "left").select(
-        "doc_id",
-        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"),
+    rows, keyed, total = placed(docs)
+    named = by_key(rows.where("key is not null"), keyed, total).unionByName(rows.where("key is null"), allowMissingColumns=True)
+    alone = F.col("class").isNull()
+    return named.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size")
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a document with a smaller id, or an equal row before, in their class.
+    """The documents without those that have a document with a smaller id, or an equal one before, in their class.
 
     Documents that are alone in their class are kept where they are; only others are joined with the classes' heads.
     """
-    seen = stored(signed(docs), "neardup-signed")
-    named = seen.select("doc_id", "key").where("key is not null").join(classes_of(seen, docs), "key", "left")
-    first = F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    classes = named.groupBy(F.coalesce("class", "key").alias("c")).agg(first.alias("head"), F.count("*").alias("n"))
-    groups = stored(classes.where("n > 1"), "neardup-heads")
-    head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("key") == F.col("head.key"))
-    shared = named.withColumn("c", F.coalesce("class", "key")).join(groups, "c").withColumn("__head", head)
-    rows = shared.groupBy("doc_id", "key").agg(F.max("__head").alias("__head"), F.count("*").alias("n"))
+    rows, keyed, total = placed(docs)
+    # the head's words: the smallest key among the texts with the class's id
+    shared = by_key(rows.where("key is not null"), keyed, total).where("class is not null")
+    heads = shared.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("key").alias("head_key"))
+    heads = stored(heads, "neardup-heads")
+    ids = shared.groupBy("doc_id", "key").agg(F.first("class").alias("class"), F.first("class_id").alias("class_id"), F.count("*").alias("n"))
+    ids = ids.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "key", "n", F.lit(True).alias("gone")).unionByName(
+        ids.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).join(heads, "class").select("doc_id", "key", "n", (F.col("key") != F.col("head_key")).alias("gone"))
+    )
     # rows that go, and heads that stand there more than once; every other row stays where it is
-    special = stored(rows.where("not __head or n > 1"), "neardup-special")
-    pair = lambda key: F.xxhash64("doc_id", key)
+    special = stored(ids.where("gone or n > 1"), "neardup-special")
     some, rest = likely(
-        with_key(docs), pair("__key"), special.select(pair("key").alias("h")), "h", F.col("__key").isNotNull()
+        with_key(docs), F.xxhash64("row.doc_id", "key"), special.select(F.xxhash64("doc_id", "key").alias("h")), "h", F.col("key").isNotNull()
+    )
+    gone = special.where("gone").select(F.col("doc_id").alias("id"), F.col("key").alias("gone_key"))
+    kept = some.join(gone, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    # repeats of a head, and rows let through by chance, which are alone with their id and key
+    once = kept.groupBy(F.col("row.doc_id").alias("id"), "key").agg(
+        F.min_by("row", F.struct(F.col("row.text").cast("binary"), F.xxhash64("row"))).alias("row")
     )
-    # equal rows share id and key; rows let through by chance are alone with theirs
-    once = some.dropDuplicates(["doc_id", "__key"])
-    gone = special.where("not __head").select(F.col("doc_id").alias("__id"), F.col("key").alias("__gone"))
-    kept = once.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone")), "left_anti")
-    return rest.select(*docs.columns).unionByName(kept.select(*docs.columns))
+    return rest.select("row.*").unionByName(once.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ collected and broadcast, whatever the tables hold.
 
 Defined cases: a null text has no words and fails the base rule; a null language is the stratum ''; a document labelled
 both good and bad counts as good; null labels are no labels; repeated rows are judged each; without labels nothing
-but the base rule rejects.  Input columns pass through untouched.
+but the base rule rejects.  Input columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,19 +32,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, released, sliced, stored, table, text_bytes
+from .common import carried, mix64, released, sliced, stored, table, text_bytes
 
 RISK, DELTA, MAX_STRATA, BINS = 0.02, 0.05, 4096, 64
 REPEAT_WORDS = 8
 SYMBOLS, UPPER = b"#*$%&|<>", bytes(range(65, 91))
-COUNTS = ["__n_words", "__word_chars", "__n_symbols", "__n_dup_lines", "__n_repeat_words", "__n_lines", "__n_upper"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 #: Rate of each rule, as (numerator, denominator); a document is rejected above the cutoff.
 RULES = {
-    "symbols": ("__n_symbols", "__word_chars"),
-    "dup_lines": ("__n_dup_lines", "__n_lines"),
-    "repeats": ("__n_repeat_words", "__n_words"),
-    "upper": ("__n_upper", "__word_chars"),
-    "long_words": ("__word_chars", "__n_words"),
+    "symbols": ("n_symbols", "word_chars"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "repeats": ("n_repeat_words", "n_words"),
+    "upper": ("n_upper", "word_chars"),
+    "long_words": ("word_chars", "n_words"),
 }
 #: Rates at or above which a rule's last bin begins; bins divide zero to this evenly.
 TOPS = {"symbols": 0.5, "dup_lines": 1.0, "repeats": 1.0, "upper": 1.0, "long_words": 32.0}
@@ -75,13 +75,12 @@ def repeated_words(words: list[list[bytes]], size: int = REPEAT_WORDS) -> np.nda
 
 
 def counts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (all by default) and COUNTS of each text."""
-    keep = docs.columns if keep is None else keep
+    """row, a struct of the kept columns (all by default), and COUNTS of each text."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in sliced(whole, "__bytes"):
-                texts = batch.column("__bytes").to_pylist()
+            for batch in sliced(whole, "text"):
+                texts = batch.column("text").to_pylist()
                 words = [t.split() for t in texts]
                 rows = []
                 for t, w in zip(texts, words):
@@ -93,20 +92,19 @@ def counts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
                     ))
                 table_ = np.array(rows, np.int64).reshape(-1, len(COUNTS))
                 table_[:, 4] = repeated_words(words)
-                batch = batch.drop_columns("__bytes")
-                for name, column in zip(COUNTS, table_.T):
-                    batch = batch.append_column(name, pa.array(column))
-                yield batch
+                yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, table_.T)], ["row", *COUNTS])
 
-    rows = docs.select(*keep).withColumn("__bytes", text_bytes()) if "text" in keep else docs.select(
-        *keep, text_bytes().alias("__bytes")
-    )
-    kept = [f for f in docs.schema.fields if f.name in keep]
-    return rows.mapInArrow(released(count), T.StructType(sorted(kept, key=lambda f: keep.index(f.name)) + [T.StructField(c, T.LongType()) for c in COUNTS]))
+    rows = carried(docs) if keep is None else docs.select(F.struct(*keep).alias("row"), text_bytes().alias("text"))
+    schema = T.StructType([rows.schema["row"], *[T.StructField(c, T.LongType()) for c in COUNTS]])
+    return rows.mapInArrow(released(count), schema)
 
 
 def base_failed() -> Column:
-    return (F.col("__n_words") < 20) | (100 * F.col("__n_repeat_words") > 30 * F.col("__n_words"))
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def stratum() -> Column:
+    return F.coalesce("row.lang", F.lit(""))
 
 
 def rate(rule: str) -> Column:
@@ -141,25 +139,23 @@ def cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int
 
 def fit(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[list[str], list[tuple]]:
     """Strata of their own, and (stratum, cutoff bin of each rule or None); None is the pooled stratum."""
-    marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max("quality").alias("__good")
-    )
-    seen = counted.where(~base_failed()).join(marks, F.col("doc_id") == F.col("__id"))
+    marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("good"))
+    seen = counted.where(~base_failed()).join(marks, F.col("row.doc_id") == F.col("id"))
     seen = seen.select(
-        F.coalesce("lang", F.lit("")).alias("__stratum"),
-        (F.col("__good") > 0).cast("int").alias("__good"),
-        F.array(*[rate_bin(r) for r in RULES], F.greatest(*[rate_bin(r) for r in RULES])).alias("__bins"),
+        stratum().alias("stratum"),
+        (F.col("good") > 0).cast("int").alias("good"),
+        F.array(*[rate_bin(r) for r in RULES], F.greatest(*[rate_bin(r) for r in RULES])).alias("bins"),
     )
     seen = stored(seen, "quality-labelled")
     total = seen.count()
     own = [
         r[0]
-        for r in seen.groupBy("__stratum").count().where(F.col("count") * MAX_STRATA >= max(1, total)).collect()
+        for r in seen.groupBy("stratum").count().where(F.col("count") * MAX_STRATA >= max(1, total)).collect()
     ]
-    pooled = F.when(F.col("__stratum").isin(own), F.col("__stratum"))
+    pooled = F.when(F.col("stratum").isin(own), F.col("stratum"))
     cells = (
-        seen.select(pooled.alias("s"), "__good", F.posexplode("__bins").alias("rule", "bin"))
-        .groupBy("s", "rule", "bin", "__good")
+        seen.select(pooled.alias("s"), "good", F.posexplode("bins").alias("rule", "bin"))
+        .groupBy("s", "rule", "bin", "good")
         .count()
         .collect()
     )
@@ -179,29 +175,30 @@ def fit(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
 
 
 def judge(counted: DataFrame, own: list[str], rows: list[tuple]) -> DataFrame:
-    """Adds __base_failed and __kept."""
-    schema = "__of string, " + ", ".join(f"__cut_{r} int" for r in RULES)
-    rules = F.broadcast(counted.sparkSession.createDataFrame([("" if r[0] is None else f"={r[0]}", *r[1:]) for r in rows], schema))
-    stratum = F.coalesce("lang", F.lit(""))
-    known = counted.sparkSession.createDataFrame([(s,) for s in own], "__own string")
-    marked = counted.withColumn("__stratum", stratum).join(F.broadcast(known), F.col("__stratum") == F.col("__own"), "left")
-    marked = marked.withColumn("__key", F.when(F.col("__own").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "__own")))
-    marked = marked.join(rules, F.col("__key") == F.col("__of"), "left").drop("__own", "__of", "__key", "__stratum")
+    """Adds base_failed and kept to row and COUNTS."""
+    schema = "cuts_of string, " + ", ".join(f"cut_{r} int" for r in RULES)
+    cuts = [("" if r[0] is None else f"={r[0]}", *r[1:]) for r in rows]
+    rules = F.broadcast(counted.sparkSession.createDataFrame(cuts, schema))
+    known = F.broadcast(counted.sparkSession.createDataFrame([(s,) for s in own], "own string"))
+    marked = counted.join(known, stratum() == F.col("own"), "left")
+    key = F.when(F.col("own").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "own"))
+    marked = marked.join(rules, key == F.col("cuts_of"), "left")
     rejected = F.lit(False)
     for r in RULES:
-        rejected = rejected | F.coalesce(rate_bin(r) >= F.col(f"__cut_{r}"), F.lit(False))
+        rejected = rejected | F.coalesce(rate_bin(r) >= F.col(f"cut_{r}"), F.lit(False))
     failed = base_failed()
-    return marked.withColumns({"__base_failed": failed, "__kept": ~failed & ~rejected})
+    return marked.select("row", *COUNTS, failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with their columns."""
-    own, rows = fit(counts(docs, ["doc_id", "lang"]), labels)
-    return judge(counts(docs), own, rows).where("__kept").select(*docs.columns)
+    counted = stored(counts(docs), "quality-counts")
+    own, rows = fit(counted, labels)
+    return judge(counted, own, rows).where("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stored(counts(table(spark, sf_dir, "documents"), ["doc_id", "lang"]), "quality-counts")
     own, rows = fit(counted, table(spark, sf_dir, "labels"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(counted, own, rows).select("doc_id", *[F.col(f"__{n}").alias(n) for n in names])
+    return judge(counted, own, rows).select("row.doc_id", *names)

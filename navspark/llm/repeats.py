@@ -17,8 +17,8 @@ size and only save work: what they let through by chance is dropped by the exact
 by md5 of the text.
 
 Defined cases: a null text is empty; texts under THRESHOLD bytes lose nothing; equal rows are removed whole, as each
-has its strings elsewhere; an empty table gives no row; input columns pass through ``remove``, which leaves characters
-whole.
+has its strings elsewhere; an empty table gives no row; input columns pass through ``remove``, whatever their names, and
+it leaves characters whole.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BITS, bitmap, flat, forget, likely, mix64, released, sliced, stored, table, text_bytes, top_bits
+from .common import BITS, bitmap, carried, flat, forget, likely, mix64, released, sliced, stored, table, text_bytes, top_bits, with_text
 
 THRESHOLD, GRAM, CELLS = 200, 48, (40, 8, 1)
 SLICE = 1 << 18
@@ -209,7 +210,7 @@ def spans(docs: DataFrame) -> DataFrame:
     hits = found.select("key", "lo", F.col("dhi").alias("top"), "gram", "run").join(distances, ["gram", "run"])
     start = F.col("lo") + F.col("top")
     hits = hits.select("key", (start - F.col("dhi")).alias("start"), (start - F.col("dlo") + THRESHOLD).alias("end"))
-    out = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans"))
+    out = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     out = stored(out, "repeat-spans")
     forget(*tables)
     return out
@@ -230,51 +231,45 @@ def text_key(c: Column) -> Column:
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """The input rows with __bytes and __spans."""
-    found = spans(docs).withColumnRenamed("key", "__key")
-    keyed = docs.withColumn("__bytes", text_bytes()).withColumn("__key", text_key(F.col("__bytes")))
-    mark = F.xxhash64("__key")
-    some, none = likely(keyed, mark, found.select(mark.alias("h")), "h")
-    empty = F.lit(None).cast(found.schema["__spans"].dataType)
-    return some.join(found, "__key", "left").unionByName(none.withColumn("__spans", empty)).drop("__key")
+    """row (a struct of the input columns), text (its bytes) and spans."""
+    found = spans(docs)
+    keyed = carried(docs).withColumn("key", text_key(F.col("text")))
+    some, none = likely(keyed, F.xxhash64("key"), found.select(F.xxhash64("key").alias("h")), "h")
+    empty = F.lit(None).cast(found.schema["spans"].dataType)
+    return some.join(found, "key", "left").unionByName(none.withColumn("spans", empty)).drop("key")
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """The documents without repeated strings; n_chars, where present, follows the text."""
 
-    columns = docs.columns
-
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, raw, s in zip(batch.column("text"), batch.column("__bytes"), batch.column("__spans")):
-                if s.is_valid:
-                    raw, kept, at = raw.as_py(), [], 0
-                    for a, b in merged(s.as_py()):
-                        while a < b and raw[a] & 0xC0 == 0x80:
-                            a += 1
-                        while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
-                            b -= 1
-                        kept.append(raw[at:a])
-                        at = b
-                    out.append(b"".join([*kept, raw[at:]]).decode())
-                else:
-                    out.append(text.as_py())
-            i = batch.schema.get_field_index("text")
-            yield batch.set_column(i, "text", pa.array(out, pa.string())).select(columns)
-
-    clean = with_spans(docs).mapInArrow(released(cut), docs.schema)
-    if "n_chars" in docs.columns:
-        n = F.length("text").cast(docs.schema["n_chars"].dataType)
-        clean = clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), n).otherwise(F.col("n_chars")))
-    return clean
+            out: list[str | None] = []
+            for raw, s in zip(batch.column("text"), batch.column("spans")):
+                if not s.is_valid:
+                    out.append(None)
+                    continue
+                raw, kept, at = raw.as_py(), [], 0
+                for a, b in merged(s.as_py()):
+                    while a < b and raw[a] & 0xC0 == 0x80:
+                        a += 1
+                    while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+                        b -= 1
+                    kept.append(raw[at:a])
+                    at = b
+                out.append(b"".join([*kept, raw[at:]]).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "clean"])
+
+    found = with_spans(docs)
+    clean = found.mapInArrow(released(cut), T.StructType([found.schema["row"], T.StructField("clean", T.StringType())]))
+    return with_text(clean, F.coalesce("clean", "row.text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for raw, s in zip(batch.column("__bytes"), batch.column("__spans")):
+            for raw, s in zip(batch.column("text"), batch.column("spans")):
                 raw, cut = raw.as_py(), merged(s.as_py())
                 sha, at = hashlib.sha256(), 0
                 for a, b in cut:
@@ -290,5 +285,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = with_spans(docs).select("doc_id", "__bytes", "__spans")
+    rows = with_spans(docs).select("row.doc_id", "text", "spans")
     return rows.mapInArrow(released(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -13,7 +13,9 @@ that keys sort as bytes in the order of ids, nulls first.  Shards are ordered by
 
 Spark does the distribution: a range exchange orders documents over all tasks, each task cuts its sorted stream
 into shards, Spark's committing writer stores one file a shard, and reading is Spark's binaryFile source.  A task
-holds one block and one unfinished shard (``SHARD_BYTES``), never a partition.
+holds one block and one unfinished shard (``SHARD_BYTES``), never a partition.  After the write the footers are gathered
+in a manifest (a Parquet table): a file's first and last key and the ids before it, so that a lookup opens only files
+that may hold a key, and a scan opens each file once.
 
 Defined cases: a null text has the end id only; repeated ids stay, each row as an entry of its own, ordered by the
 text's hash; an empty table gives no shard and no row; other columns are ignored.
@@ -36,7 +38,9 @@ from pyspark.taskcontext import TaskContext
 from .common import mix64, new_path, released, table, text_bytes
 from .tokens import default_tokenizer, encoder
 
-BLOCK_BYTES, SHARD_BYTES = 1 << 16, 4 << 20
+BLOCK_BYTES, SHARD_BYTES = 1 << 16, 16 << 20
+#: Shards whose starts are broadcast at most; more are joined.
+BROADCAST_SHARDS = 1_000_000
 END = (1).to_bytes(4, "little")
 #: part, seq, documents, ids, end of the data, blocks, Bloom bytes, width, first and last key, magic
 FOOTER = "<IIQQQIIB9s9s5s"
@@ -180,25 +184,37 @@ def write(
     # the text writer stores a string's bytes as they are
     rows.mapInArrow(released(shards), "shard binary").select(F.col("shard").cast("string")).write.option(
         "maxRecordsPerFile", 1
-    ).text(path)
+    ).text(f"{path}/shards")
+    manifest_of(files(docs.sparkSession, f"{path}/shards")).write.parquet(f"{path}/manifest")
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+def files(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(paths))
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All documents of the shards: doc_id, start (ids of all documents before), n_tokens, ids as bytes' crc32.
-
-    The offsets are a two-level prefix sum: within a part over its shards, and over the parts (one row a task
-    of the write).
-    """
+def manifest_of(found: DataFrame) -> DataFrame:
+    """path, part, seq, docs, ids, first, last (keys), start (ids of all shards before): a two-level prefix sum, within a
+    part over its shards, and over the parts (one row a task of the write)."""
 
     def feet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [struct.unpack(FOOTER, x[:-1])[:4] for x in batch.column(0).to_pylist()]
-            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1, 3)]
-            yield pa.RecordBatch.from_arrays(cols, ["part", "seq", "ids"])
+            rows = [struct.unpack(FOOTER, x[:-1]) for x in batch.column(1).to_pylist()]
+            cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
+            keys = [pa.array([r[i] for r in rows], pa.binary()) for i in (8, 9)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *keys], ["path", "part", "seq", "docs", "ids", "first", "last"])
+
+    foot = F.expr(f"substring(content, -{FOOTER_SIZE + 1}, {FOOTER_SIZE + 1})")
+    shards = found.select("path", foot).mapInArrow(released(feet), "path string, part long, seq long, docs long, ids long, first binary, last binary")
+    parts = shards.groupBy("part").agg(F.sum("ids").alias("part_ids"))
+    running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("part_ids").over(running), F.lit(0)).alias("part_start"))
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("part_start") + F.coalesce(F.sum("ids").over(within), F.lit(0))
+    return shards.join(parts, "part").withColumn("start", start).drop("part_start")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """All documents of the shards: doc_id, start (ids of all documents before), n_tokens, ids as bytes' crc32."""
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,25 +229,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     [*where, *cols], ["part", "seq", "doc_id", "before", "n_tokens", "ids_crc32"]
                 )
 
-    found = files(spark, path)
-    foot = F.expr(f"substring(content, -{FOOTER_SIZE + 1}, {FOOTER_SIZE + 1})")
-    totals = found.select(foot).mapInArrow(released(feet), "part long, seq long, ids long")
-    parts = totals.groupBy("part").agg(F.sum("ids").alias("ids"))
-    running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("ids").over(running), F.lit(0)).alias("part_start"))
-    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    shards = totals.withColumn("shard_start", F.coalesce(F.sum("ids").over(within), F.lit(0)))
-    starts = shards.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("shard_start")).alias("at"))
-    rows = found.select("content").mapInArrow(
+    manifest = spark.read.parquet(f"{path}/manifest").select("part", "seq", F.col("start").alias("at"))
+    if manifest.count() <= BROADCAST_SHARDS:
+        manifest = F.broadcast(manifest)
+    rows = files(spark, f"{path}/shards").select("content").mapInArrow(
         released(decode), "part long, seq long, doc_id long, before long, n_tokens long, ids_crc32 long"
     )
-    return rows.join(starts, ["part", "seq"]).select(
+    return rows.join(manifest, ["part", "seq"]).select(
         "doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
-    """doc_id and ids of the asked documents; a shard reads only blocks that may hold one of them."""
+    """doc_id and ids of the asked documents: of the files whose keys reach around one of them, the blocks that may hold
+    it."""
     keys = sorted({key_of(x) for x in doc_ids})
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +258,13 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFra
                     ["doc_id", "ids"],
                 )
 
-    return files(spark, path).select("content").mapInArrow(released(search), "doc_id long, ids array<long>")
+    asked = F.array(*[F.lit(k) for k in keys])
+    around = F.exists(asked, lambda k: (k >= F.col("first")) & (k <= F.col("last")))
+    paths = [r.path for r in spark.read.parquet(f"{path}/manifest").where(around).select("path").collect()] if keys else []
+    schema = "doc_id long, ids array<long>"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return files(spark, *paths).select("content").mapInArrow(released(search), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Whole texts to token ids with a public tokenizer of the ``tokenizers`` library, a word at a time.
 
-The tokenizer's pre-tokenizer never crosses white space, so the ids of a text are those of its words
-after each other.  Every word goes through the library once and is then found in a dictionary.
+Where the tokenizer's file has the pre-tokenizer ``PIECE`` and the normalizer NFC, white space, lower case, neither ever
+crosses white space, so the ids of a text are those of its words after each other.  Every word then goes through the
+library once and is found in a dictionary.  Any other file's texts go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 
@@ -24,6 +26,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def supported(spec: dict) -> bool:
+    """Whether a tokenizer's texts may be cut at white space as described above."""
+    steps = [(x["type"], x.get("pattern", {}).get("Regex"), x.get("content")) for x in (spec["normalizer"] or {}).get("normalizers", ())]
+    parts = [(x["type"], x.get("pattern", {}).get("Regex"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex"))
+             for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", ())]
+    return (
+        steps == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+        and parts == [("Split", PIECE.pattern, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+        and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        and not any(spec[x] for x in ("truncation", "padding", "post_processor"))
+    )
+
+
 class Words(dict):
     """Words' ids in two generations of CACHED_WORDS: when the young one is full it becomes the old one, from which
     words that come again return."""
@@ -51,6 +66,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.by_word = supported(json.loads(self.tokenizer.to_str()))
         self.letters = byte_letters()
         self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.words = Words(self.word)
@@ -80,7 +96,7 @@ class WordEncoder:
 
     def __call__(self, text: bytes) -> bytes:
         # special tokens are found before lower-casing, and marks may compose differently after it
-        if b"<|" in text or b"\xcc" in text or b"\xcd" in text:
+        if not self.by_word or b"<|" in text or b"\xcc" in text or b"\xcd" in text:
             return self.whole(text.decode())
         self.words.age()
         return b"".join(map(self.words.__getitem__, text.lower().split()))

@@ -7,16 +7,22 @@ import pytest
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon été niño".split()
 
 
+#: Column names that some operator uses itself.
+OWN_NAMES = """row row_id key text_ bands band centre label class class_id class_size rows_of least head_key n id gone gone_key h h_bit
+h_bucket h_bits h_in spans window windows item items clean found n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines
+n_upper base_failed kept stratum good bins own cuts_of cut_upper score offending toxic quality sentence start end length ids deal
+offset sequence_id doc_tokens gram run cell common whole dlo dhi m done chunk cells grams logp part rare known size block blocks words
+template rank step lone example formatted w full k train head body __n_words __bytes __key __spans __items __h""".split()
+
+
 @pytest.fixture(scope="session")
 def make(spark):
     """(doc_id, text, ...) rows to a documents frame; extra columns have names that operators use themselves."""
 
     def build(rows, columns="doc_id long, text string"):
         df = spark.createDataFrame(rows, columns)
-        for name, value in (("lang", "'en'"), ("source", "'s'"), ("key", "1"), ("row", "2"), ("score", "3.0"), ("start", "4"), ("label", "'x'"), ("text_", "'y'")):
-            if name not in df.columns:
-                df = df.selectExpr("*", f"{value} AS {name}")
-        return df
+        extra = [("lang", "'en'"), ("source", "'s'"), *((name, str(i)) for i, name in enumerate(OWN_NAMES))]
+        return df.selectExpr("*", *[f"{value} AS `{name}`" for name, value in extra if name not in df.columns])
 
     return build
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -13,6 +14,7 @@ from navspark.llm import chat, neardup, repeats
 from navspark.llm.common import WORD_BYTES
 from navspark.llm.components import components
 from navspark.llm.dart import signatures
+from navspark.llm.tokens import WordEncoder, default_tokenizer
 
 
 def brute_repeats(texts, size=200):
@@ -44,10 +46,10 @@ def test_repeats_match_brute_force(make, corpus, which):
     texts = [(t or "").encode() for _, t in rows]
     got = Counter()
     for r in repeats.with_spans(make(rows)).collect():
-        hit = np.zeros(len(r["__bytes"]), bool)
-        for a, b in repeats.merged([s.asDict() for s in r["__spans"] or []]):
+        hit = np.zeros(len(r.text), bool)
+        for a, b in repeats.merged([s.asDict() for s in r.spans or []]):
             hit[a:b] = True
-        got[(r.doc_id, bytes(r["__bytes"]), hit.tobytes())] += 1
+        got[(r.row.doc_id, bytes(r.text), hit.tobytes())] += 1
     want = Counter((i, b, h.tobytes()) for (i, _), b, h in zip(rows, texts, brute_repeats(texts)))
     assert got == want
     assert any(np.frombuffer(k[2], bool).any() for k in want)
@@ -55,7 +57,9 @@ def test_repeats_match_brute_force(make, corpus, which):
 
 def test_removal_keeps_characters_whole(make):
     rows = [(1, "é" * 300), (2, "x" + "é" * 300), (3, None), (4, "short")]
-    got = {r.doc_id: r.text for r in repeats.remove(make(rows)).collect()}
+    out = repeats.remove(make(rows))
+    assert out.columns == make(rows).columns
+    got = {r.doc_id: r.text for r in out.collect()}
     assert got[1] == "" and got[2] == "x" and got[3] is None and got[4] == "short"
     assert repeats.remove(make([])).count() == 0
 
@@ -97,11 +101,43 @@ def test_near_duplicates(make, corpus):
     kept = Counter(r.doc_id for r in neardup.deduplicate(make(corpus)).collect())
     heads = Counter(min((corpus[i][0] for i in m if corpus[i][0] is not None), default=None) for m in groups.values())
     assert kept == heads
+    assert neardup.deduplicate(make(corpus)).columns == make(corpus).columns
     assert neardup.near_duplicates(make([])).count() == 0 and neardup.deduplicate(make([])).count() == 0
 
 
-def test_blocks_of_a_large_group(make, monkeypatch):
+def test_the_kept_row_of_equal_words_is_defined(make):
+    words = "one two three four five six seven eight nine ten"
+    rows = [(1, words + "!"), (1, words), (1, words.upper()), (2, words), (None, words), (None, "ten nine"), (None, "Ten, nine")]
+    for order in (rows, rows[::-1]):
+        assert sorted((r.doc_id is None, r.text) for r in neardup.deduplicate(make(order)).collect()) == [(False, words.upper()), (True, "Ten, nine")]
+
+
+def test_recall_of_planted_near_copies(make):
+    """Every pair whose exact similarity is 0.8 or more is linked; by share of edited words, how many are that similar."""
+    rng = random.Random(21)
+    rows, share = [], {}
+    for k, edits in enumerate([0, 1, 2, 4, 8, 12] * 12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        other = list(base)
+        for at in rng.sample(range(200), edits):
+            other[at] = f"edit{rng.randrange(3000)}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        share[k] = edits
+    groups, _ = brute_classes(rows)
+    alike = {i for m in groups.values() if len(m) > 1 for i in m}
+    found = {r.doc_id for r in neardup.near_duplicates(make(rows)).where("class_size > 1").collect()}
+    assert found == alike
+    caught = {e: sum(2 * k in found for k in share if share[k] == e) / 12 for e in set(share.values())}
+    # five-word shingles: an edit in 200 words costs about 5 of 196 shingles on each side
+    assert caught[0] == caught[1] == caught[2] == 1 and caught[12] == 0
+
+
+@pytest.mark.parametrize("centre", ["similar", "apart"])
+def test_blocks_of_a_large_group(make, monkeypatch, centre):
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    if centre == "apart":  # buckets that hold texts of several classes: one band of one coordinate
+        monkeypatch.setattr(neardup, "BANDS", 24)
+        monkeypatch.setattr(neardup, "ROWS", 1)
     rng = random.Random(1)
     base = [f"w{rng.randrange(500)}" for _ in range(200)]
     rows = []
@@ -109,8 +145,12 @@ def test_blocks_of_a_large_group(make, monkeypatch):
         w = list(base)
         for _ in range(2):
             w[rng.randrange(200)] = f"edit{i}"
+        if centre == "apart" and i % 3:
+            for at in range(0, 200, 9 if i % 3 == 1 else 11):
+                w[at] = f"other{i % 3}"
         rows.append((i, " ".join(w)))
     groups, _ = brute_classes(rows)
+    assert (len(groups) > 2) == (centre == "apart")
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(make(rows)).collect()}
     assert got == {i: min(m) for m in groups.values() for i in m}
 
@@ -155,10 +195,10 @@ def test_chat_examples(spark):
         (2, 1, "assistant", "first"), (2, 0, "system", None), (2, 2, "user", "last"),
         (3, 0, None, ""), (4, 0, "assistant", ""), (4, 0, "assistant", "tie"), (None, 0, "user", "lone"), (None, 0, "user", "lone"),
     ]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS example", "'x' AS formatted", "2 AS lone")
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", *[f"1 AS {n}" for n in "example formatted lone k w full head body end last loss_start".split()])
     from pyspark.sql import functions as F
 
-    out = chat.expand(turns.drop("lone"))
+    out = chat.expand(turns)
     read = out.select(
         "*", chat.parse(F.col("formatted")).alias("turns"),
         chat.loss_text(F.col("formatted"), F.col("loss_start"), F.col("loss_chars")).alias("loss"),
@@ -178,7 +218,7 @@ def test_chat_examples(spark):
     assert chat.expand(turns.limit(0)).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path):
+def test_pipeline_stages(spark, make, tmp_path):
     import corpus_pipeline
 
     rng = random.Random(11)
@@ -187,7 +227,7 @@ def test_pipeline_stages(spark, tmp_path):
     leak, passage = say(30), say(70)
     rows = [(i, say(80)) for i in range(20)]
     rows += [(20, rows[0][1]), (21, rows[1][1] + " end"), (22, "too short"), (23, f"{say(40)} {leak} {say(40)}"), (24, f"{say(50)} {passage} {say(50)}"), (25, f"{say(45)} {passage} {say(55)}")]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __n_words string".replace("__n_words", "note"))
+    docs = make([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -208,9 +248,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(suffix[i] == texts[i] for i in range(20))
     assert leak not in clean[23] and len(clean[23].split()) == 80
     pieces = kept.collect()
-    assert {r.doc_id for r in pieces} == set(clean)
+    encode = WordEncoder(default_tokenizer())
+    whole = {i: b"".join(bytes(r.ids) for r in sorted((r for r in pieces if r.doc_id == i), key=lambda r: r.start)) for i in clean}
+    assert whole == {i: encode.whole(t) + (1).to_bytes(4, "little") for i, t in clean.items()}
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
+    key = lambda r: (r.doc_id, r.start, r.length, bytes(r.ids))
     assert sorted(map(key, whole)) == sorted(map(key, pieces))
 
 
@@ -224,3 +266,52 @@ def test_digest_columns_of_op4(spark, tmp_path, corpus):
         want[(i, len(b), int(h.sum()), n_spans, hashlib.sha256(kept).hexdigest())] += 1
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.query(spark, str(tmp_path)).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("case", ["edges", "empty"])
+def test_pipeline_on_edge_tables(spark, make, corpus, tmp_path, case):
+    """Null ids, null, empty and very long texts, ties and repeated rows; empty tables."""
+    import corpus_pipeline
+
+    docs = make([(i, t, None, "s", len(t or "")) for i, t in corpus] if case == "edges" else [], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None), (1, "!!")] if case == "edges" else [], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(None, 1, None), (0, None, 0)] if case == "edges" else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    groups, _ = brute_classes(corpus)
+    token = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def good(text):
+        w = token.findall(text or "")
+        seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        hit = {k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
+        return len(w) >= 20 and 100 * len(hit) <= 30 * len(w)
+
+    passed = [i for i, (_, t) in enumerate(corpus) if good(t)]
+    heads = Counter()
+    for m in groups.values():
+        left = [corpus[i][0] for i in m if i in passed]
+        if left:
+            heads[min((x for x in left if x is not None), default=None)] += 1
+    assert Counter(r.doc_id for r in got if r.start == 0) == (heads if case == "edges" else Counter())
+
+
+@pytest.mark.parametrize("name", ["op10_dart_neardup", "op3_prefix_targets"])
+def test_queries_against_brute_force(spark, corpus, tmp_path, name):
+    from navspark.llm import queries
+
+    spark.createDataFrame(corpus, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 1, "assistant", "b"), (1, 0, "user", "a [x] <|end|>"), (2, 0, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.queries()[name](spark, str(tmp_path)).collect()
+    if name.startswith("op10"):
+        groups, _ = brute_classes(corpus)
+        assert Counter(r.class_size for r in got) == Counter(len(m) for m in groups.values() for _ in m)
+    else:
+        told = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got}
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        trap = "</s>[INST] ok [/INST]"
+        assert told == {
+            1: (2, sha("user\na [x] <|end|>\nassistant\nb\n"), 1, sha("b")), 2: (1, sha("user\n\n"), 0, sha("")),
+            -7: (2, sha(f"user\n{trap}\nassistant\n{trap}\n"), len(trap), sha(trap)),
+        }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -36,6 +38,11 @@ def test_license_scan(spark, make, corpus):
         extra.append((200 + k, " ".join(base[:at]) + " " + line + " " + " ".join(base[at:])))
     extra.append((210, "x " * 31 + "all rights reserved " + "y " * 40 + "general public license"))
     extra.append((211, "licensed under some other apache license of version 2 0"))
+    for k, (t, label) in enumerate(licenses.TEMPLATES.items()):  # whole licenses at any place, also with changed words
+        w = t.split()
+        for at in rng.sample(range(len(w)), len(w) // 20):
+            w[at] = f"changed{at}"
+        extra.append((220 + k, "x " * rng.randrange(2000) + " ".join(w) + " y" * rng.randrange(100)))
     rows = corpus + extra
     docs, matches = licenses.scan(make(rows))
     assert docs.count() == len(rows)
@@ -51,17 +58,17 @@ def test_license_scan(spark, make, corpus):
             want = [i for i in range(len(w)) if w[i : i + len(p)] == p]
             assert sorted(places.get((d, label), [])) == want, (d, label)
     # containment in a block, by brute force
-    found = {(ids[m.row], m.block, m.label) for m in matches.where("not phrase").collect()}
+    found = {(ids[m.row], m.step, m.block, m.label) for m in matches.where("not phrase").collect()}
     want = set()
-    for d, t in rows:
-        w = words(t)
-        for b in range(0, max(1, len(w)), licenses.BLOCK // 2):
-            have = set(w[b : b + licenses.BLOCK])
-            for template, label in licenses.TEMPLATES.items():
-                need = set(template.split())
-                if len(have & need) >= licenses.THRESHOLD * len(need) - 1e-9:
-                    want.add((d, b // (licenses.BLOCK // 2), label))
-    assert found == want and want
+    for template, label in licenses.TEMPLATES.items():
+        need, step = set(words(template)), licenses.step_of(len(words(template)))
+        for d, t in rows:
+            w = words(t)
+            for b in range(0, max(1, len(w)), step):
+                if len(set(w[b : b + 2 * step]) & need) >= licenses.THRESHOLD * len(need) - 1e-9:
+                    want.add((d, step, b // step, label))
+    assert found == want and {x[3] for x in want} == set(licenses.TEMPLATES.values())
+    assert len({x[1] for x in want}) > 2
     assert licenses.scan(make([]))[0].count() == 0
 
 
@@ -90,19 +97,37 @@ def test_decontamination(spark, make, corpus, block):
              (1, " ".join(corpus[9][1].split()[3:20])), (None, " ".join(corpus[60 - 14][1].split()[22:40])), (9, "tau1 " * 25)]
     rows = [*corpus, (300, "tau1 " * 40 + "then tau1"), (301, corpus[3][1].replace(" ", ", "))]
     docs, bench = make(rows), spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.annotate(docs, bench, block_windows=block).collect()
+    windows = decontamination.windows_of(bench)
+    for whole in (False, True):
+        out = decontamination.annotate(docs, windows, block, whole=whole).cache()
+        found = {r.row_id: r.items for r in decontamination.items_of(out, windows).collect()}
+        got = sorted(out.collect(), key=lambda r: r.row_id)
+        assert len(got) == len(rows)
+        for (n, n_hit, items_, hit), r in zip(brute_hits(rows, items), got):
+            marked = [False] * n
+            for s in r.spans:
+                marked[s.first : s.first + s.words] = [True] * s.words
+            assert (r.n_words, sum(marked), found.get(r.row_id, [])) == (n, n_hit, items_) and marked == hit
+    clean = decontamination.decontaminate(docs, bench, block_windows=block)
+    assert clean.columns == docs.columns
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    want = sorted(((i, [w for w, h in zip(words(t), hit) if not h], t if not n_hit else None) for (i, t), (_, n_hit, _, hit) in zip(rows, brute_hits(rows, items))), key=key)
+    for (i, left, same), r in zip(want, sorted(((r.doc_id, words(r.text), r.text) for r in clean.collect()), key=key)):
+        assert (i, left) == r[:2] and same in (None, r[2])
+    assert decontamination.annotate(make([]), windows).count() == 0
+    assert decontamination.annotate(docs, windows.limit(0)).where("size(spans) > 0").count() == 0
+
+
+def test_decontamination_query(spark, corpus, tmp_path):
+    rows = [(i, t) for i, t in dict(corpus).items() if i is not None]
+    items = [(12, " ".join(corpus[3][1].split()[5:30])), (5, "one"), (7, " ".join(corpus[3][1].split()[8:25]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in decontamination.query(spark, str(tmp_path)).collect()}
     assert len(got) == len(rows)
-    for (n, n_hit, found, hit), r in zip(brute_hits(rows, items), got):
-        marked = [False] * n
-        for s in r["__spans"]:
-            marked[s.first : s.first + s.words] = [True] * s.words
-        assert (r["__n_words"], sum(marked), r["__items"]) == (n, n_hit, found) and marked == hit
-    if block > 7:
-        clean = decontamination.decontaminate(docs, bench).collect()
-        for (n, n_hit, _, hit), r, (_, t) in zip(brute_hits(rows, items), clean, rows):
-            assert words(r.text) == [w for w, h in zip(words(t), hit) if not h] and (n_hit or r.text == t)
-    assert decontamination.annotate(make([]), bench).count() == 0
-    assert decontamination.annotate(docs, bench.limit(0)).where("size(__spans) > 0").count() == 0
+    for (i, _), (n, n_hit, found, _) in zip(rows, brute_hits(rows, items)):
+        sha = hashlib.sha256(",".join(found).encode()).hexdigest()
+        assert tuple(got[i])[1:] == (n, n_hit, len(found), sha, n_hit > 0)
 
 
 def test_fm_index_counts_and_locates():
@@ -119,6 +144,60 @@ def test_fm_index_counts_and_locates():
                 assert got.get(k, []) == want
 
 
+def brute_cutoff(good, bad, risk, level):
+    """The bin with the most caught, from the most lenient on while the exact tail holds."""
+    n, best, caught = len(good), None, 0
+    for b in range(quality.BINS, 0, -1):
+        lost = sum(x >= b for x in good)
+        if not n or lost >= n * risk:
+            break
+        p = Fraction(risk)
+        if sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(lost + 1)) > level:
+            break
+        if sum(x >= b for x in bad) > caught:
+            best, caught = b, sum(x >= b for x in bad)
+    return best
+
+
+@pytest.mark.parametrize("n_good", [100, 300, 1700])
+def test_quality_query_against_brute_force(spark, tmp_path, n_good):
+    """Counts, cutoffs by an independent exact tail, and verdicts, in two strata."""
+    rng = random.Random(n_good)
+    rows, labels = [], []
+    for i in range(n_good + n_good // 4):
+        w = [rng.choice(("plain", "words", "HERE", "again", "now")) + str(rng.randrange(99)) for _ in range(rng.randrange(15, 60))]
+        if i >= n_good:
+            w = [x + "#" * rng.randrange(4) for x in w]
+        rows.append((i, " ".join(w) + rng.choice(("", "\n" + w[0] + "\n" + w[0])), "en" if i % 3 else "de"))
+        labels.append((i, int(i < n_good)))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in quality.query(spark, str(tmp_path)).collect()}
+    rates, base = {}, {}
+    for i, t, _ in rows:
+        w, lines = TOKEN.findall(t), [x for x in t.split("\n") if TOKEN.search(x)]
+        seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        hit = {k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for j in range(8)}
+        chars, dup = sum(map(len, w)), len(lines) - len(set(lines))
+        symbols, upper = len(re.findall(r"[#*$%&|<>]", t)), sum("A" <= c <= "Z" for c in t)
+        base[i] = len(w) < 20 or 100 * len(hit) > 30 * len(w)
+        assert tuple(got[i])[1:7] == (len(w), chars, symbols, dup, len(hit), base[i])
+        values = {"symbols": symbols / chars, "dup_lines": dup / len(lines), "repeats": len(hit) / len(w), "upper": upper / chars, "long_words": chars / len(w)}
+        rates[i] = [min(quality.BINS, int(values[r] * quality.BINS / quality.TOPS[r])) for r in quality.RULES]
+    for lang in ("en", "de"):
+        of = [i for i, _, x in rows if x == lang]
+        good, bad = ([i for i in of if not base[i] and (i < n_good) == y] for y in (True, False))
+        level, risk, rules = quality.DELTA / 2, quality.RISK, len(quality.RULES)
+        if (1 - risk / rules) ** len(good) <= level / rules:
+            cuts = [brute_cutoff([rates[i][r] for i in good], [rates[i][r] for i in bad], risk / rules, level / rules) for r in range(rules)]
+        else:
+            cuts = [brute_cutoff([max(rates[i]) for i in good], [max(rates[i]) for i in bad], risk, level)] * rules
+        for i in of:
+            assert got[i].kept == (not base[i] and not any(c is not None and b >= c for b, c in zip(rates[i], cuts))), i
+    if n_good >= 300:
+        assert any(not r.kept and not r.base_failed for r in got.values())
+
+
 def test_quality_counts(make, corpus):
     rows = quality.counts(make(corpus), ["doc_id", "lang"]).collect()
     assert len(rows) == len(corpus)
@@ -141,7 +220,9 @@ def test_quality_cutoffs_hold_their_risk(spark, make):
     rows = [(i, t) for i, t in enumerate(good + bad)]
     docs = make(rows)
     labels = spark.createDataFrame([(i, int(i < 3000)) for i, _ in rows] + [(0, 0), (1, None)], "doc_id long, quality int")
-    kept = {r.doc_id for r in quality.keep(docs, labels).collect()}
+    out = quality.keep(docs, labels)
+    assert out.columns == docs.columns
+    kept = {r.doc_id for r in out.collect()}
     assert len([i for i in range(3000) if i in kept]) >= 3000 * (1 - quality.RISK)
     assert not [i for i in range(3000, 3400) if i in kept]
     # few labels: nothing but the base rule rejects
@@ -187,7 +268,7 @@ def test_toxicity_held_out_and_located(spark, make):
     docs = make(rows)
     learn = spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id >= 150")
     model = toxicity.fit(docs, learn)
-    got = {r.doc_id: r for r in toxicity.score(docs.select("doc_id", "text"), model).collect()}
+    got = {r.row.doc_id: r for r in toxicity.score(docs, model).collect()}
     held = range(150)
     assert sum((got[i].score >= 0.5) == (i % 3 == 0) for i in held) >= 147
     text = dict(rows)
@@ -198,15 +279,57 @@ def test_toxicity_held_out_and_located(spark, make):
 
 
 def test_toxicity_edges(spark, make, corpus):
-    docs = make(corpus).select("doc_id", "text")
+    docs = make(corpus)
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert none is None and {r.score for r in toxicity.score(docs, none).collect()} == {0.0}
     rows, labels = toxic_rows(60)
     model = toxicity.fit(make(rows), spark.createDataFrame([*labels, (0, 0), (1, None)], "doc_id long, toxic int"))
-    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    got = {r.row.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert toxicity.score(make([]), model).count() == 0
     assert got[70] == got[71] == got[73] == 0 and all(0 <= s <= 1 for s in got.values())
 
 
+def test_toxicity_scores_are_the_noisy_or(make):
+    """From given weights: sentences' logistic scores, combined by 1 - prod(1 - score); certainty gives no warning."""
+    weights, bias = {"bad": 3.0, "5nasti": 2.5, "4nast": 1.0, "good": -2.0, "sure": 1000.0}, -2.0
+    rows = [(1, "bad words. nasty good! nastiest bad nastily\nfine"), (2, "fine. fine"), (3, "sure"), (4, None), (5, " .! "), (6, "good " * 4000 + ". bad")]
+
+    def of(word):
+        return {word} | ({"4" + word[:4]} if len(word) > 4 else set()) | ({"5" + word[:5]} if len(word) > 5 else set())
+
+    got = {r.row.doc_id: r for r in toxicity.score(make(rows), (weights, bias)).collect()}
+    for i, t in rows:
+        left, offending = 1.0, []
+        for k, sentence in enumerate(s for s in re.split(r"[.!?\n]", t or "") if words(s)):
+            p = 1 / (1 + math.exp(-min(500, bias + sum(weights.get(f, 0) for f in set().union(*map(of, words(sentence)))))))
+            left *= 1 - p
+            offending += [(k, p)] if p >= 0.5 else []
+        assert got[i].score == pytest.approx(1 - left if words(t) else 0.0)
+        assert [(o.sentence, pytest.approx(o.score)) for o in got[i].offending] == offending
+
+
+def test_toxicity_sample(spark, make, monkeypatch):
+    """Repeated rows of drawn ids count once and push no class out; beyond the cap the class shares still count."""
+    rows, labels = toxic_rows(300)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    copies = rows + [rows[1]] * 400
+    assert toxicity.fit(make(copies), marks) == toxicity.fit(make(rows), marks)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda bags, words, toxic, share: seen.append((len(bags), int(toxic.sum()), share)))
+    toxicity.fit(make(copies), marks, 50)
+    assert seen == [(100, 50, pytest.approx(1 / 3))]
+
+
+def test_toxicity_query(spark, tmp_path):
+    rows, labels = toxic_rows()
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.query(spark, str(tmp_path)).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) for r in got)
+    held = [r for r in got if r.held_out]
+    assert len(got) == 600 and sum(r.predicted == (r.doc_id % 3 == 0) for r in held) >= 0.97 * len(held)
+
+
 def test_base_model(make, corpus):
     docs = make(corpus).withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)
     got = lm.score(docs, lm.counted(docs.where("not held_out"))).collect()

@@ -36,7 +36,9 @@ def test_shards_round_trip(spark, make, corpus, encoder):
     path = new_path(spark, "test-sst")
     sstable.write(make(corpus), path, shard_bytes=3000, block_bytes=600)
     got = sstable.read(spark, path).collect()
-    assert len(got) == len(corpus) and sstable.files(spark, path).count() > 3
+    assert len(got) == len(corpus) and sstable.files(spark, f"{path}/shards").count() > 3
+    manifest = spark.read.parquet(f"{path}/manifest").orderBy("part", "seq").collect()
+    assert sum(r.docs for r in manifest) == len(corpus) and all(a.last <= b.first for a, b in zip(manifest, manifest[1:]))
     expect = defaultdict(list)
     for i, t in corpus:
         raw = ids_of(encoder, t)
@@ -49,6 +51,7 @@ def test_shards_round_trip(spark, make, corpus, encoder):
     assert order == sorted(order, key=lambda x: (x is not None, x or 0))
     found = sstable.lookup(spark, path, [76, 0, None, 12345]).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in found) == [(False, 0), (True, 0), (True, 0), (True, 76)]
+    assert sstable.lookup(spark, path, [-5, 10**15]).count() == 0
     for r in found:
         raw = np.array(r.ids, "<u4").tobytes()
         assert (len(r.ids), zlib.crc32(raw)) in expect[r.doc_id]
@@ -75,14 +78,13 @@ def test_empty_table(spark, make):
 
 def test_packing(make, corpus, encoder):
     length = 128
-    got = packing.pack(make(corpus), length, with_ids=True).toPandas()
+    got = packing.pack(make(corpus), length).toPandas()
     want = sorted(r for _, t in corpus for r in [ids_of(encoder, t)])
-    assert sorted(p for p in zip(got.ids_crc32, got.length)) == sorted(
-        (zlib.crc32(r[a : a + 4 * length]), len(r[a : a + 4 * length]) // 4) for r in want for a in range(0, len(r), 4 * length)
+    assert sorted((bytes(x), n, d) for x, n, d in zip(got.ids, got.length, got.doc_tokens)) == sorted(
+        (r[a : a + 4 * length], len(r[a : a + 4 * length]) // 4, len(r) // 4) for r in want for a in range(0, len(r), 4 * length)
     )
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == (g.length.cumsum() - g.length).tolist() and g.length.sum() <= length
-    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got.itertuples())
     assert got.length.sum() / (length * got.sequence_id.nunique()) > 0.9
 
 
@@ -104,3 +106,34 @@ def test_groups_are_bounded(make, corpus, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 8)
     got = packing.pack(make(corpus), 512).toPandas()
     assert got.groupby("sequence_id").length.sum().max() <= 512 and len(got) >= len(corpus)
+
+
+@pytest.mark.parametrize("name", ["op2_sstable_ids", "op6_ffd_packing"])
+def test_queries_give_the_librarys_ids(spark, corpus, encoder, tmp_path, name):
+    from navspark.llm import queries
+
+    rows = [(i, t) for i, t in dict(corpus).items() if i is not None]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()[name](spark, str(tmp_path)).collect()
+    want, start = {}, 0
+    for i, t in sorted(rows):
+        raw = ids_of(encoder, t)
+        if name.startswith("op2"):
+            want[i, start] = len(raw) // 4, zlib.crc32(raw)
+            start += len(raw) // 4
+        else:
+            for a in range(0, len(raw), 4 * packing.LENGTH):
+                part = raw[a : a + 4 * packing.LENGTH]
+                want[i, a // 4] = len(part) // 4, zlib.crc32(part)
+    assert len(got) == len(want)
+    assert {(r.doc_id, r.start): (r.n_tokens if name.startswith("op2") else r.length, r.ids_crc32) for r in got} == want
+
+
+def test_other_tokenizers_go_to_the_library_whole(encoder):
+    from tokenizers import Tokenizer
+
+    path = default_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
+    other, library = WordEncoder(path), Tokenizer.from_file(path)
+    text = "Two  words, and\nMORE"
+    assert encoder.by_word and not other.by_word
+    assert np.frombuffer(other(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
