@@ -17,6 +17,9 @@ SHORT_WINDOW, LONG_WINDOW = 50, 200
 #: Calendar days of the trailing horizons, as round(years * 365.25).
 HORIZON_DAYS = {"3m": 91, "6m": 183, "1y": 365, "3y": 1096, "5y": 1826}
 
+#: Schemes analysed where none are asked for.
+DEFAULT_SCHEMES = ("119598", "125497", "120503")
+
 HIGH_VOLATILITY_PCT, WEAK_SHARPE, DEEP_DRAWDOWN_PCT, INDEX_LIKE_R2 = 20.0, 0.3, -15.0, 0.95
 
 
@@ -30,6 +33,7 @@ class EngineConfig:
     max_gap_business_days: int = 5
     min_observations: int = 30
     mirror_years: float = 5.0
+    universe: tuple[str, ...] = DEFAULT_SCHEMES
 
     @property
     def daily_risk_free(self) -> float:

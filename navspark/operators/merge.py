@@ -14,17 +14,19 @@ def merge_nav(existing: DataFrame, batch: DataFrame, source: str, *order: str) -
     """The NAV table after an upsert, with an ``action``: inserted, updated, or NULL for rows left alone.
 
     Bad rows of the batch go; its last row of a key, in the order of the order columns, counts.  A row whose NAV does
-    not change keeps its provenance.
+    not change keeps its provenance.  An ``updated_at`` of the table is set for rows that change.
     """
     last = Window.partitionBy("scheme_code", "date").orderBy(*[F.col(c).desc() for c in order])
     good = batch.where(F.col("date").isNotNull() & (F.col("nav") > 0)).withColumn("_n", F.row_number().over(last)).where("_n = 1")
     new = good.select("scheme_code", "date", F.col("nav").alias("_nav"))
-    both = existing.select("scheme_code", "date", "nav", "data_source").join(new, ["scheme_code", "date"], "full_outer")
+    stamp = ["updated_at"] if "updated_at" in existing.columns else []
+    both = existing.select("scheme_code", "date", "nav", "data_source", *stamp).join(new, ["scheme_code", "date"], "full_outer")
     changed = F.col("_nav").isNotNull() & (F.col("nav") != F.col("_nav"))
     action = F.when(F.col("nav").isNull(), "inserted").when(changed, "updated")
     return both.select(
         "scheme_code", "date", F.when(action.isNotNull(), F.col("_nav")).otherwise(F.col("nav")).alias("nav"),
         F.when(action.isNotNull(), F.lit(source)).otherwise(F.col("data_source")).alias("data_source"),
+        *[F.when(action.isNotNull(), F.current_timestamp()).otherwise(F.col(c)).alias(c) for c in stamp],
         action.alias("action"),
     )
 

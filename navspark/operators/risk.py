@@ -107,3 +107,9 @@ def max_drawdown(nav: DataFrame) -> DataFrame:
 def current_drawdown(nav: DataFrame) -> DataFrame:
     found = nav.groupBy("scheme_code").agg(F.max_by("nav", "date").alias("latest"), F.max("nav").alias("top"))
     return found.select("scheme_code", ((F.col("latest") / F.col("top") - 1) * 100).alias("current_drawdown_pct"))
+
+
+def means(metrics: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the mean of each column's known, finite values; NULL without any."""
+    known = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c))
+    return metrics.agg(*[F.avg(known(c)).alias(c) for c in columns])

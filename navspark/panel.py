@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def load_panel(nav: DataFrame, info: DataFrame, scheme_codes: list[str] | None = None) -> DataFrame:
-    """NAV rows with the scheme's metadata; unknown schemes stay, named by their code.  None means every scheme, an
-    empty list none."""
-    if scheme_codes is not None:
+    """NAV rows with the scheme's metadata; unknown schemes stay, named by their code.  None and an empty
+    list mean every scheme."""
+    if scheme_codes:
         nav = nav.where(F.col("scheme_code").isin(scheme_codes))
     meta = info.select("scheme_code", "scheme_name", "fund_house", "scheme_category")
     name = F.coalesce("scheme_name", F.concat(F.lit("Unknown scheme "), "scheme_code"))
@@ -23,7 +23,7 @@ def clean_series(raw: DataFrame, *order: str) -> DataFrame:
     bad last duplicate removes its date)."""
     known = raw.where(F.col("date").isNotNull() & F.col("nav").isNotNull())
     last = Window.partitionBy("scheme_code", "date").orderBy(*[F.col(c).desc() for c in order])
-    kept = known.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", *order)
+    kept = known.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", *[c for c in order if c != "nav"])
     return kept.where("nav > 0")
 
 

@@ -27,7 +27,7 @@ class Analysis:
         return self.metrics.orderBy("scheme_code").collect()
 
     def insights(self) -> list[Insight]:
-        return derive(self.rows(), validation.sorted_findings(self.findings).collect(), self.config)
+        return derive(self.metrics, self.findings)
 
     def ranked_by(self, metric: str, descending: bool = True) -> DataFrame:
         order = F.col(metric).desc() if descending else F.col(metric).asc()
@@ -44,7 +44,8 @@ def analyse(
     *order: str,
 ) -> Analysis:
     """Metrics of the requested schemes that pass the gate.  The benchmark is loaded and checked, but reported only if
-    requested, and used even if it fails the gate.  nav may hold order columns that tell repeated days apart."""
+    requested, and used even if it fails the gate.  Of repeated days the last counts, by the order columns (by default
+    ``updated_at``, where nav has it), then the larger NAV."""
     codes = None if scheme_codes is None else sorted({*scheme_codes, *([benchmark] if benchmark else [])})
     keep = nav.where(F.col("scheme_code").isin(codes)) if codes is not None else nav
     panel = load_panel(keep, info)
@@ -52,9 +53,8 @@ def analyse(
     if codes is not None:
         expected = nav.sparkSession.createDataFrame([(c,) for c in codes], "scheme_code string")
     found = validation.findings(panel, today, config, expected)
-    clean = clean_series(keep.select("scheme_code", "date", "nav", "data_source", *order), *order or ["nav"]) if order else keep.where(
-        F.col("date").isNotNull() & (F.col("nav") > 0)
-    ).dropDuplicates(["scheme_code", "date"])
+    order = (*(order or [c for c in ("updated_at",) if c in nav.columns]), "nav")
+    clean = clean_series(keep.select("scheme_code", "date", "nav", "data_source", *[c for c in order if c != "nav"]), *order)
     metrics = bundle.scheme_metrics(clean, benchmark, config)
     metrics = metrics.join(validation.unusable(found), "scheme_code", "left_anti")
     if scheme_codes is not None:

@@ -25,9 +25,17 @@ def state(store: Store) -> dict[str, int]:
     return catalogue.statistics(store.table("scheme_info"), store.table("nav_history")).first().asDict()
 
 
+def rows_in(store: Store) -> int:
+    """A store that cannot be read counts as empty."""
+    try:
+        return state(store)["nav_rows"]
+    except Exception:
+        return 0
+
+
 def ensure(store: Store, load: Callable[[Store], object], enabled: bool = True, force: bool = False) -> BootstrapResult:
     """ready: there are NAVs; skipped: loading is off; loaded or failed: by what load(store) left behind."""
-    rows = state(store)["nav_rows"]
+    rows = rows_in(store)
     if rows and not force:
         return BootstrapResult("ready", nav_rows=rows)
     if not enabled:
@@ -36,5 +44,5 @@ def ensure(store: Store, load: Callable[[Store], object], enabled: bool = True,
         load(store)
     except Exception as e:
         return BootstrapResult("failed", str(e), rows)
-    rows = state(store)["nav_rows"]
+    rows = rows_in(store)
     return BootstrapResult("loaded" if rows else "failed", "" if rows else "nothing was loaded", rows)

@@ -1,14 +1,13 @@
-"""Ranked observations for readers, from collected metric rows; integrity comes before performance."""
+"""Ranked observations for readers: a table of rules over the metric rows; integrity comes before performance."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..config import DEEP_DRAWDOWN_PCT, DEFAULT, HIGH_VOLATILITY_PCT, INDEX_LIKE_R2, WEAK_SHARPE, EngineConfig
+from ..config import DEEP_DRAWDOWN_PCT, HIGH_VOLATILITY_PCT, INDEX_LIKE_R2, WEAK_SHARPE
 
 #: Leaders: name, metric, whether the largest wins.
 LEADERS = [
@@ -26,8 +25,10 @@ def leaders(metrics: DataFrame) -> DataFrame:
     aggs = []
     for name, metric, largest in LEADERS:
         value = F.col(metric) if largest else -F.col(metric)
-        key = F.when(F.col(metric).isNotNull(), F.struct(value.alias("v"), (-F.col("scheme_code").cast("long")).alias("c")))
-        aggs.append(F.max_by(F.struct("scheme_code", F.col(metric).alias("value")), key).alias(name))
+        # numeric codes by their number, before all others by their text
+        code = F.col("scheme_code").try_cast("long")
+        key = F.when(F.col(metric).isNotNull(), F.struct((-value).alias("v"), code.isNull().alias("other"), code.alias("c"), F.col("scheme_code").alias("k")))
+        aggs.append(F.min_by(F.struct("scheme_code", F.col(metric).alias("value")), key).alias(name))
     one = metrics.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(n).alias("leader"), F.col(f"{n}.scheme_code").alias("scheme_code"), F.col(f"{n}.value").alias("value")) for n, _, _ in LEADERS])
     return one.select(F.explode(rows).alias("x")).select("x.*").where("scheme_code is not null")
@@ -42,91 +43,86 @@ class Insight:
     scheme_codes: list[str] = field(default_factory=list)
 
 
-def _n(x: float | None, digits: int = 2, sign: str = "") -> str:
-    return "n/a" if x is None else f"{x:{sign}.{digits}f}"
+@dataclass(frozen=True)
+class Rule:
+    """Rows that match ``where``, in ``order``; ``top`` rules tell of the first row only.  Texts may name {n}, {name} and
+    {limit}; ``item`` is what is said of a row."""
 
+    category: str
+    headline: str
+    where: str
+    order: str
+    item: str
+    top: bool = False
+    limit: float | None = None
 
-def derive(schemes: list[Row], findings: list[Row], config: EngineConfig = DEFAULT) -> list[Insight]:
-    """Fifteen rules in fixed order; schemes: metric rows with names, findings: rows of the quality gate."""
-    out: list[Insight] = []
 
-    def add(category: str, headline: str, detail: str, codes: list[str]) -> None:
-        out.append(Insight(len(out) + 1, category, headline, detail, codes))
-
-    def codes(rows: list[Row]) -> list[str]:
-        return [r.scheme_code for r in rows]
-
-    def having(metric: str, rule: Callable[[float], bool] = lambda x: True, of: list[Row] | None = None) -> list[Row]:
-        return [r for r in (schemes if of is None else of) if r[metric] is not None and rule(r[metric])]
-
-    def each(rows: list[Row], metric: str, digits: int = 2, unit: str = "%", sign: str = "") -> str:
-        return "; ".join(f"{r.scheme_name} {_n(r[metric], digits, sign)}{unit}" for r in rows)
-
-    made_up = [r for r in schemes if r.data_source == "synthetic"]
-    if made_up:
-        add("data-integrity", "SYNTHETIC data in this report", f"Generated NAVs, not investable: {', '.join(codes(made_up))}.", codes(made_up))
-    excluded = sorted({f.scheme_code for f in findings if f.severity == "CRITICAL"})
-    if excluded:
-        add("data-integrity", f"{len(excluded)} scheme(s) failed the quality gate", f"Left out: {', '.join(excluded)}.", excluded)
-    stale = sorted({f.scheme_code for f in findings if f.check == "stale_data"})
-    if stale:
-        add("data-integrity", "Stale NAVs", f"No NAV within {config.max_staleness_days} days: {', '.join(stale)}.", stale)
-    if not schemes:
-        return out
-
-    sharpe = having("sharpe_ratio")
-    best = max(sharpe, key=lambda r: r.sharpe_ratio) if sharpe else None
-    if best:
-        add("performance", f"Best risk-adjusted return: {best.scheme_name}",
-            f"Sharpe {_n(best.sharpe_ratio)} over a risk-free {config.risk_free:.2%}, Sortino {_n(best.sortino_ratio)}, "
-            f"volatility {_n(best.volatility_pct)}%.", codes([best]))
-        worst = min(sharpe, key=lambda r: r.sharpe_ratio)
-        if len(sharpe) > 1 and worst.sharpe_ratio < WEAK_SHARPE:
-            add("performance", f"Weakest risk-adjusted return: {worst.scheme_name}", f"Sharpe {_n(worst.sharpe_ratio)} is under {WEAK_SHARPE}.", codes([worst]))
-    grown = having("cagr_3y_pct")
-    if grown:
-        top = max(grown, key=lambda r: r.cagr_3y_pct)
-        also = "" if best is None or best.scheme_code == top.scheme_code else " It does not lead once risk is counted."
-        add("performance", f"Highest 3Y CAGR: {top.scheme_name}", f"{_n(top.cagr_3y_pct)}% a year, monthly investing {_n(top.sip_xirr_3y_pct)}%.{also}", codes([top]))
-
-    deep = having("max_drawdown_pct", lambda x: x <= DEEP_DRAWDOWN_PCT)
-    if deep:
-        low = min(deep, key=lambda r: r.max_drawdown_pct)
-        end = f"recovered after {low.max_drawdown_days} days" if low.max_drawdown_recovered else f"not recovered, {low.max_drawdown_days} days under water"
-        under = [r.scheme_code for r in deep if not r.max_drawdown_recovered]
-        more = f" Not recovered: {', '.join(under)}." if under else ""
-        add("risk", f"Deepest drawdown: {_n(low.max_drawdown_pct, 1)}%",
-            f"{low.scheme_name} from {low.max_drawdown_peak} to {low.max_drawdown_trough}, {end}.{more}", codes([low]))
-    below = having("current_drawdown_pct", lambda x: x < -5)
-    if below:
-        add("risk", f"{len(below)} scheme(s) over 5% under their high", each(below, "current_drawdown_pct", 1), codes(below))
-    wild = having("volatility_pct", lambda x: x > HIGH_VOLATILITY_PCT)
-    if wild:
-        add("risk", f"{len(wild)} scheme(s) over {HIGH_VOLATILITY_PCT:.0f}% volatility",
-            f"{each(wild, 'volatility_pct', 1)}; one-day VaR up to {_n(max(r.var_95_pct or 0 for r in wild))}%.", codes(wild))
-
-    benched = having("alpha_pct")
-    if benched:
-        top = max(benched, key=lambda r: r.alpha_pct)
-        add("benchmark", f"Highest alpha: {top.scheme_name}",
-            f"{_n(top.alpha_pct, 2, '+')}% a year, beta {_n(top.beta)}, tracking error {_n(top.tracking_error_pct)}%, "
-            f"information ratio {_n(top.information_ratio)}.", codes([top]))
-        behind = having("excess_return_1y_pct", lambda x: x < 0, benched)
-        if behind:
-            add("benchmark", f"{len(behind)} scheme(s) behind the benchmark over a year", each(behind, "excess_return_1y_pct", 2, "%", "+"), codes(behind))
-        close = having("r_squared", lambda x: x > INDEX_LIKE_R2, benched)
-        if close:
-            add("benchmark", f"{len(close)} scheme(s) move like the index", each(close, "r_squared", 3, ""), codes(close))
-        weak = having("down_capture_pct", lambda x: x > 105, benched)
-        if weak:
-            add("benchmark", "Falls exceed the benchmark's", each(weak, "down_capture_pct", 0), codes(weak))
-
-    rolling = having("rolling_3y_min_pct")
-    if rolling:
-        low = min(rolling, key=lambda r: r.rolling_3y_min_pct)
-        spread = "; ".join(f"{r.scheme_name} {_n(r.rolling_3y_min_pct, 1)} to {_n(r.rolling_3y_max_pct, 1)}%" for r in rolling)
-        add("consistency", "Spread of rolling 3Y returns", f"{spread}. The worst window is {low.scheme_name}'s.", codes(rolling))
-    bearish = [r for r in schemes if r.sma_signal == "BEARISH"]
-    if bearish:
-        add("trend", f"{len(bearish)} scheme(s) under their 50-day average", each(bearish, "nav_vs_sma50_pct", 1, "%", "+"), codes(bearish))
+def _of_gate(text: str, where: str) -> Rule:
+    return Rule("data-integrity", text, where, "scheme_code", "scheme_code")
+
+
+#: In the order in which they are told; the first three, of the data, come before any of performance.
+GATE_RULES = [
+    _of_gate("{n} scheme(s) are not analysed: their data failed a critical check", "severity = 'CRITICAL'"),
+    _of_gate("{n} scheme(s) have had no NAV of late", "`check` = 'stale_data'"),
+]
+SYNTHETIC = _of_gate("{n} scheme(s) show generated numbers, which nobody can invest in", "data_source = 'synthetic'")
+METRIC_RULES = [
+    Rule("performance", "{name} earned most for its risk", "sharpe_ratio is not null", "-sharpe_ratio",
+         "format_string('Sharpe %.2f, Sortino %.2f at %.2f%% volatility', sharpe_ratio, sortino_ratio, volatility_pct)", top=True),
+    Rule("performance", "{name} earned least for its risk", "sharpe_ratio is not null", "sharpe_ratio",
+         "format_string('Sharpe %.2f, short of {limit}', sharpe_ratio)", top=True, limit=WEAK_SHARPE),
+    Rule("performance", "{name} grew fastest over three years", "cagr_3y_pct is not null", "-cagr_3y_pct",
+         "format_string('%.2f%% a year; a monthly plan made %.2f%%', cagr_3y_pct, sip_xirr_3y_pct)", top=True),
+    Rule("risk", "{name} lost most from a high", "max_drawdown_pct <= {limit}", "max_drawdown_pct",
+         "format_string('%.1f%% between %s and %s, %s', max_drawdown_pct, max_drawdown_peak, max_drawdown_trough, "
+         "if(max_drawdown_recovered, concat('made good in ', max_drawdown_days, ' days'), concat('open for ', max_drawdown_days, ' days')))",
+         top=True, limit=DEEP_DRAWDOWN_PCT),
+    Rule("risk", "{n} scheme(s) trade more than 5% below a past high", "current_drawdown_pct < -5", "current_drawdown_pct",
+         "format_string('%s %.1f%%', scheme_name, current_drawdown_pct)"),
+    Rule("risk", "{n} scheme(s) swing by more than {limit}% a year", "volatility_pct > {limit}", "-volatility_pct",
+         "format_string('%s %.1f%%, %.2f%% on a bad day', scheme_name, volatility_pct, var_95_pct)", limit=HIGH_VOLATILITY_PCT),
+    Rule("benchmark", "{name} added most to its benchmark", "alpha_pct is not null", "-alpha_pct",
+         "format_string('alpha %+.2f%% at beta %.2f, tracking error %.2f%%, information ratio %.2f', alpha_pct, beta, tracking_error_pct, information_ratio)", top=True),
+    Rule("benchmark", "{n} scheme(s) fell short of the benchmark in the last year", "alpha_pct is not null and excess_return_1y_pct < 0",
+         "excess_return_1y_pct", "format_string('%s by %.2f points', scheme_name, -excess_return_1y_pct)"),
+    Rule("benchmark", "{n} scheme(s) hold what an index holds, to judge by their moves", "alpha_pct is not null and r_squared > {limit}",
+         "-r_squared", "format_string('%s, R2 %.3f', scheme_name, r_squared)", limit=INDEX_LIKE_R2),
+    Rule("benchmark", "{n} scheme(s) fall further than the benchmark when it falls", "alpha_pct is not null and down_capture_pct > 105",
+         "-down_capture_pct", "format_string('%s takes %.0f%% of it', scheme_name, down_capture_pct)"),
+    Rule("consistency", "Any three years: {name} had the worst of them", "rolling_3y_min_pct is not null", "rolling_3y_min_pct",
+         "format_string('%s between %.1f%% and %.1f%% a year', scheme_name, rolling_3y_min_pct, rolling_3y_max_pct)"),
+    Rule("trend", "{n} scheme(s) stand below their 50-day average", "sma_signal = 'BEARISH'", "nav_vs_sma50_pct",
+         "format_string('%s %.1f%%', scheme_name, nav_vs_sma50_pct)"),
+]
+
+
+def _told(rows: DataFrame, rules: list[Rule]) -> list[tuple[Rule, list[Row]]]:
+    """Each rule with its rows (o, scheme_code, name, item) in order: one aggregation over all rules."""
+
+    def matched(r: Rule) -> Column:
+        fill = lambda text: text.replace("{limit}", f"{r.limit:g}" if r.limit is not None else "")
+        row = F.struct(F.expr(r.order).alias("o"), "scheme_code", "name", F.expr(fill(r.item)).alias("item"))
+        row = F.when(F.expr(fill(r.where)), row)
+        return F.array_compact(F.array(F.min(row))) if r.top else F.array_sort(F.collect_set(row))
+
+    one = rows.agg(*[matched(r).alias(f"r{i}") for i, r in enumerate(rules)]).first()
+    return [(r, one[f"r{i}"]) for i, r in enumerate(rules)]
+
+
+def derive(metrics: DataFrame, findings: DataFrame) -> list[Insight]:
+    """The rules' observations, integrity before performance; metrics: named metric rows, findings: of the quality gate.
+
+    Two aggregations; what is collected is what is told."""
+    of_metrics = _told(metrics.withColumn("name", F.col("scheme_name")), [SYNTHETIC, *METRIC_RULES])
+    of_gate = _told(findings.withColumn("name", F.col("scheme_code")), GATE_RULES)
+    out: list[Insight] = []
+    best = [r.scheme_code for r in of_metrics[1][1]]
+    for rule, rows in [of_metrics[0], *of_gate, *of_metrics[1:]]:
+        if rule.limit == WEAK_SHARPE:
+            rows = [r for r in rows if r.o < WEAK_SHARPE and r.scheme_code not in best]
+        if rows:
+            limit = "" if rule.limit is None else f"{rule.limit:g}"
+            head = rule.headline.format(n=len(rows), name=rows[0].name, limit=limit)
+            out.append(Insight(len(out) + 1, rule.category, head, "; ".join(r.item for r in rows), [r.scheme_code for r in rows]))
     return out

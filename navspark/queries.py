@@ -16,6 +16,7 @@ from .operators import benchmark as bm
 from .operators import catalogue, merge, peers, returns, risk, rolling, screener, sip, validation
 from .panel import clean_series, event_nav, load_panel, star_info, star_lines, star_nav
 from .plans import bundle, insights
+from .sources import history, navall
 
 TODAY = datetime.date(2001, 11, 5)
 BENCHMARK = "1"
@@ -189,10 +190,10 @@ CTES = {
             + CAST(score_consistency IS NOT NULL AS INT) AS k FROM comps) USING (scheme_code)""",
     "enav": """SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS scheme_code, CAST(ts AS DATE) AS date, round(avg(value), 4) AS nav
         FROM events GROUP BY ALL) WHERE nav > 0""",
-    "raw": """SELECT scheme_code, date, nav, CASE WHEN CAST(scheme_code AS INT) % 7 = 0 THEN 'synthetic' ELSE 'amfi' END AS data_source,
-        scheme_name FROM lines LEFT JOIN info USING (scheme_code) WHERE CAST(scheme_code AS INT) % 2 = 1
+    "raw": """SELECT 'l' || scheme_code AS scheme_code, date, nav, CASE WHEN CAST(scheme_code AS INT) % 7 = 0 THEN 'synthetic' ELSE 'amfi' END AS data_source,
+        scheme_name FROM lines LEFT JOIN info USING (scheme_code)
         UNION ALL SELECT scheme_code, date, nav, data_source, CASE WHEN CAST(scheme_code AS INT) % 10 = 4 THEN 'Unknown scheme ' || scheme_code ELSE scheme_name END
-        FROM nav LEFT JOIN info USING (scheme_code) WHERE CAST(scheme_code AS INT) % 2 = 0
+        FROM nav LEFT JOIN info USING (scheme_code)
         UNION ALL SELECT 'e' || scheme_code, date, nav, 'amfi', 'Events ' || scheme_code FROM enav""",
     "ing": """SELECT scheme_code, any_value(scheme_name) AS scheme_name, any_value(data_source) AS data_source, count(*) AS observations,
         min(date) AS first_date, max(date) AS last_date, count(*) FILTER (nav IS NULL OR nav <= 0) AS bad,
@@ -346,11 +347,12 @@ def _(spark, sf_dir):
 @query(
     "panel_scan",
     """SELECT n.scheme_code, coalesce(i.scheme_name, 'Unknown scheme ' || n.scheme_code) AS scheme_name, fund_house, scheme_category,
-    date, nav, data_source FROM nav n LEFT JOIN (SELECT * FROM info WHERE CAST(scheme_code AS INT) % 9 <> 0) i ON n.scheme_code = i.scheme_code""",
+    date, nav, data_source FROM nav n LEFT JOIN (SELECT * REPLACE (CASE WHEN CAST(scheme_code AS INT) % 9 = 0 THEN 'x' || scheme_code ELSE scheme_code END AS scheme_code) FROM info) i
+    ON n.scheme_code = i.scheme_code""",
 )
 def _(spark, sf_dir):
-    info = star_info(spark, sf_dir).where(F.col("scheme_code").cast("int") % 9 != 0)
-    return load_panel(star_nav(spark, sf_dir), info)
+    other = F.when(F.col("scheme_code").cast("int") % 9 == 0, F.concat(F.lit("x"), "scheme_code")).otherwise(F.col("scheme_code"))
+    return load_panel(star_nav(spark, sf_dir), star_info(spark, sf_dir).withColumn("scheme_code", other))
 
 
 @query("clean_series", "SELECT scheme_code, date, nav FROM clean")
@@ -429,17 +431,19 @@ def _(spark, sf_dir):
     "dimension_upsert",
     """SELECT coalesce(o.scheme_code, n.scheme_code) AS scheme_code, coalesce(n.fund_house, o.fund_house) AS fund_house,
     coalesce(n.scheme_category, o.scheme_category) AS scheme_category, CASE WHEN n.scheme_code IS NOT NULL THEN n.scheme_name ELSE o.scheme_name END AS scheme_name
-    FROM (SELECT * FROM info WHERE CAST(scheme_code AS INT) % 4 <> 0) o FULL JOIN (
-      SELECT scheme_code, 'New ' || scheme_name AS scheme_name, CASE WHEN CAST(scheme_code AS INT) % 3 <> 0 THEN fund_house END AS fund_house,
-        CAST(NULL AS VARCHAR) AS scheme_category FROM info WHERE CAST(scheme_code AS INT) % 2 = 0) n ON o.scheme_code = n.scheme_code""",
+    FROM info o FULL JOIN (
+      SELECT CASE WHEN CAST(scheme_code AS INT) % 4 = 0 THEN 'n' ELSE '' END || scheme_code AS scheme_code, 'New ' || scheme_name AS scheme_name,
+        CASE WHEN CAST(scheme_code AS INT) % 3 <> 0 THEN fund_house END AS fund_house,
+        CAST(NULL AS VARCHAR) AS scheme_category FROM info) n ON o.scheme_code = n.scheme_code""",
 )
 def _(spark, sf_dir):
     info, k = star_info(spark, sf_dir), F.col("scheme_code").cast("int")
-    new = info.where(k % 2 == 0).select(
-        "scheme_code", F.concat(F.lit("New "), "scheme_name").alias("scheme_name"),
+    code = F.concat(F.when(k % 4 == 0, "n").otherwise(""), "scheme_code")
+    new = info.select(
+        code.alias("scheme_code"), F.concat(F.lit("New "), "scheme_name").alias("scheme_name"),
         F.when(k % 3 != 0, F.col("fund_house")).alias("fund_house"), F.lit(None).cast("string").alias("scheme_category"),
     )
-    return merge.merge_info(info.where(k % 4 != 0), new, ["fund_house", "scheme_category"], ["scheme_name"])
+    return merge.merge_info(info, new, ["fund_house", "scheme_category"], ["scheme_name"])
 
 
 @query("mirror_slice", "SELECT scheme_code, date, nav, data_source FROM nav WHERE date >= DATE '2001-11-05' - 1826")
@@ -488,6 +492,76 @@ def _(spark, sf_dir):
     return tidy(_metrics(spark, sf_dir).select(*FULL_PLAIN.split(", "), *FULL.split()), wide=True)
 
 
+@query(
+    "scheme_metrics_benchmark",
+    _rounded(
+        "(SELECT scheme_code, full_.observations, reg.* EXCLUDE (scheme_code), capt.* EXCLUDE (scheme_code), exc.* EXCLUDE (scheme_code) FROM full_ "
+        "LEFT JOIN reg USING (scheme_code) LEFT JOIN capt USING (scheme_code) LEFT JOIN exc USING (scheme_code))",
+        " ".join(c for c in bundle.BENCHMARK_COLUMNS if c != "overlap_days"), 6, "scheme_code, observations, overlap_days",
+    ),
+)
+def _(spark, sf_dir):
+    rows = bundle.scheme_metrics(star_nav(spark, sf_dir), BENCHMARK)
+    return tidy(rows.select("scheme_code", "observations", *bundle.BENCHMARK_COLUMNS), wide=True)
+
+
+@query(
+    "metric_notes",
+    """SELECT scheme_code, concat_ws('; ',
+      CASE WHEN history_years < 3 THEN 'Only ' || printf('%.1f', history_years) || ' years of history: 3Y and 5Y figures are missing' END,
+      CASE WHEN data_source = 'synthetic' THEN 'SYNTHETIC data: not investable' END) AS notes FROM full_""",
+)
+def _(spark, sf_dir):
+    return _metrics(spark, sf_dir).select("scheme_code", F.array_join("notes", "; ").alias("notes"))
+
+
+@query(
+    "metric_means",
+    """SELECT round(avg(sharpe_ratio), 6) AS sharpe_ratio, round(avg(volatility_pct), 6) AS volatility_pct, round(avg(max_drawdown_pct), 6) AS max_drawdown_pct
+    FROM full_""",
+)
+def _(spark, sf_dir):
+    return tidy(risk.means(_metrics(spark, sf_dir), ["sharpe_ratio", "volatility_pct", "max_drawdown_pct"]))
+
+
+@query(
+    "series_decimated",
+    """SELECT scheme_code, date, nav FROM (SELECT *, row_number() OVER (PARTITION BY scheme_code ORDER BY date) AS i, count(*) OVER (PARTITION BY scheme_code) AS n FROM nav)
+    WHERE (i - 1) % greatest(1, n // 100) = 0 OR i = n""",
+)
+def _(spark, sf_dir):
+    return returns.decimate(star_nav(spark, sf_dir), 100).select("scheme_code", "date", "nav")
+
+
+@query(
+    "history_payloads",
+    "SELECT scheme_code, date, nav FROM nav",
+)
+def _(spark, sf_dir):
+    """Each scheme's series written as a JSON payload, and parsed back."""
+    point = F.struct(F.date_format("date", "dd-MM-yyyy").alias("date"), F.format_string("%.4f", "nav").alias("nav"))
+    series = star_nav(spark, sf_dir).groupBy("scheme_code").agg(F.collect_list(point).alias("data"))
+    return history.parse(series.select("scheme_code", F.to_json(F.struct("data")).alias("payload"))).drop("seq")
+
+
+@query(
+    "catalogue_feed",
+    """SELECT scheme_code, scheme_name, fund_house, 'Open Ended' AS scheme_type, scheme_category, nav, end_date AS nav_date FROM info
+    LEFT JOIN (SELECT scheme_code, end_date, e AS nav FROM ends) USING (scheme_code)""",
+)
+def _(spark, sf_dir):
+    """The dimension and its latest NAVs written as the lines of a feed, a file a category, and parsed back."""
+    last = star_nav(spark, sf_dir).groupBy("scheme_code").agg(F.max("date").alias("d"), F.max_by("nav", "date").alias("v"))
+    rows = star_info(spark, sf_dir).join(last, "scheme_code", "left")
+    value = F.coalesce(F.format_string("%.4f", "v"), F.lit("N.A."))
+    line = F.concat_ws(";", "scheme_code", F.lit("-"), F.lit("-"), "scheme_name", value, F.coalesce(F.date_format("d", "dd-MMM-yyyy"), F.lit("-")))
+    houses = rows.groupBy("scheme_category", "fund_house").agg(F.concat(F.array("fund_house"), F.array_sort(F.collect_list(line))).alias("lines"))
+    head = F.format_string("Open Ended Schemes(%s)", "scheme_category")
+    files = houses.groupBy("scheme_category").agg(F.flatten(F.array_sort(F.collect_list("lines"))).alias("lines"))
+    lines = files.select(F.col("scheme_category").alias("file"), F.posexplode(F.concat(F.array(head), "lines")).alias("n", "line"))
+    return navall.parse(lines)[0].drop("isin_growth", "isin_reinvest")
+
+
 def _peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rounded rows of each category's deepest schemes."""
     columns = ["scheme_code", "observations", "history_years", *peers.RANKED_METRICS]
@@ -576,11 +650,12 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(k % 7 == 0, "synthetic").otherwise("amfi")
     unnamed = F.when(k % 10 == 4, F.concat(F.lit("Unknown scheme "), "scheme_code")).otherwise(F.col("scheme_name"))
     columns = ["scheme_code", "date", "nav", "data_source", "scheme_name"]
-    odd = star_lines(spark, sf_dir).where(k % 2 == 1).withColumn("data_source", source).join(info, "scheme_code", "left").select(*columns)
-    even = star_nav(spark, sf_dir).where(k % 2 == 0).join(info, "scheme_code", "left").withColumn("scheme_name", unnamed).select(*columns)
+    lines = star_lines(spark, sf_dir).withColumn("data_source", source).join(info, "scheme_code", "left")
+    lines = lines.withColumn("scheme_code", F.concat(F.lit("l"), "scheme_code")).select(*columns)
+    daily = star_nav(spark, sf_dir).join(info, "scheme_code", "left").withColumn("scheme_name", unnamed).select(*columns)
     short = event_nav(spark, sf_dir).withColumns({"scheme_name": F.concat(F.lit("Events "), "scheme_code")})
     short = short.withColumn("scheme_code", F.concat(F.lit("e"), "scheme_code")).select(*columns)
-    return odd.unionByName(even).unionByName(short)
+    return lines.unionByName(daily).unionByName(short)
 
 
 @query("dq_findings", 'SELECT scheme_code, severity, "check", affected_rows FROM fnd')
@@ -588,6 +663,15 @@ def _(spark, sf_dir):
     return validation.findings(_raw(spark, sf_dir), TODAY).drop("message")
 
 
+@query("dq_absent", """SELECT scheme_code, 'CRITICAL' AS severity, 'no_data' AS "check", 0 AS affected_rows FROM info
+    WHERE scheme_code NOT IN (SELECT scheme_code FROM nav WHERE date >= DATE '2001-10-20')""")
+def _(spark, sf_dir):
+    """Schemes of the dimension without any NAV in the last days."""
+    late = star_nav(spark, sf_dir).where(F.col("date") >= "2001-10-20").withColumn("scheme_name", F.lit("n"))
+    found = validation.findings(late, TODAY, expected=star_info(spark, sf_dir).select("scheme_code"))
+    return found.where("check = 'no_data'").drop("message")
+
+
 @query(
     "dq_coverage",
     """SELECT scheme_code, scheme_name, observations, first_date, last_date, stale AS staleness_days, round_even(years, 2) AS history_years, data_source FROM ing""",

@@ -1,24 +1,22 @@
 """Landing of fetched payloads as JSON lines, for the parsers and the stream to read.
 
-The fetching function is the caller's; this module retries it, spends a time budget, and keeps going when a scheme fails.
+The fetching function is the caller's.  Each scheme has a schedule of waits; one loop serves all schedules within the
+time budget, and a scheme whose schedule ends is reported.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import random
 import socket
 import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
 
-class FetchError(RuntimeError):
-    """All tries failed."""
-
-
 @dataclass
 class LandingResult:
     landed: list[str] = field(default_factory=list)
@@ -30,30 +28,22 @@ class LandingResult:
         return "failed" if not self.landed else "partial" if self.failed or self.left else "success"
 
 
-def with_retries(
-    operation: Callable[[], object],
-    tries: int = 3,
-    backoff: float = 2.0,
-    sleep: Callable[[float], None] = time.sleep,
-    jitter: Callable[[], float] = lambda: random.uniform(0.5, 1.5),
-) -> object:
-    """The operation's result; after each failure but the last it waits backoff * 2**k with jitter."""
-    for k in range(tries):
-        try:
-            return operation()
-        except Exception as e:
-            if k == tries - 1:
-                raise FetchError(f"{tries} tries failed: {e}") from e
-            sleep(backoff * 2**k * jitter())
-    raise FetchError("no tries")
+def waits(tries: int, backoff: float, spread: Callable[[], float] = lambda: random.uniform(0.5, 1.5)) -> Iterator[float]:
+    """Seconds before each try: none before the first, then growing twofold, spread at random."""
+    yield 0.0
+    for k in range(1, tries):
+        yield backoff * 2 ** (k - 1) * spread()
 
 
-def reachable(host: str, port: int = 443, timeout: float = 5.0) -> bool:
-    try:
-        with socket.create_connection((host, port), timeout):
-            return True
-    except OSError:
-        return False
+def silence(host: str, port: int = 443, timeout: float = 5.0) -> str:
+    """Why nothing answers at an address; empty if something does."""
+    with socket.socket() as s:
+        s.settimeout(timeout)
+        try:
+            code = s.connect_ex((host, port))
+        except OSError as e:  # no such host
+            return str(e)
+    return os.strerror(code) if code else ""
 
 
 def land_histories(
@@ -68,19 +58,25 @@ def land_histories(
     sleep: Callable[[float], None] = time.sleep,
 ) -> LandingResult:
     """One file of (scheme_code, payload) lines; fetch(code) gives a payload with ``data``, an array of date and nav."""
-    began, result, lines = clock(), LandingResult(), []
-    for i, code in enumerate(codes):
-        if budget_seconds is not None and clock() - began >= budget_seconds:
-            result.left = list(codes[i:])
+    until = float("inf") if budget_seconds is None else clock() + budget_seconds
+    result, lines = LandingResult(), []
+    for at, code in enumerate(codes):
+        if clock() >= until:
+            result.left.extend(codes[at:])
             break
-        try:
-            payload = with_retries(lambda: fetch(code), tries, backoff, sleep)
-            lines.append(json.dumps({"scheme_code": code, "payload": json.dumps(payload)}))
-            result.landed.append(code)
-        except FetchError as e:
-            result.failed[code] = str(e)
-        if i + 1 < len(codes):
-            sleep(delay)
+        said = ""
+        for wait in waits(tries, backoff):
+            if wait or at:
+                sleep(wait or delay)
+            try:
+                lines.append(json.dumps({"scheme_code": code, "payload": json.dumps(fetch(code))}))
+            except Exception as e:
+                said = str(e)
+            else:
+                result.landed.append(code)
+                break
+        else:
+            result.failed[code] = f"gave up after {tries} tries: {said}"
     if lines:
         Path(folder).mkdir(parents=True, exist_ok=True)
         Path(folder, f"{uuid.uuid4().hex}.json").write_text("\n".join(lines) + "\n")

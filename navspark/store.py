@@ -1,20 +1,32 @@
-"""Tables under a root path: versioned Parquet directories that are written whole and then made current."""
+"""Tables under a root path: Parquet directories a bucket of scheme codes, written whole and then made current.
+
+An upsert reads and rewrites only the buckets that its batch touches, so a day's file costs in proportion to what it
+changes, and a full-history load is spread over all buckets.
+"""
 
 from __future__ import annotations
 
 import datetime
 import uuid
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import schemas
 from .operators import merge
 
+BUCKETS = 64
+LOG = "version long, bucket int, path string"
 TABLES = {"nav_history": schemas.NAV_HISTORY, "scheme_info": schemas.SCHEME_INFO}
 
 
+def bucket_of(scheme_code: Column) -> Column:
+    return F.pmod(F.xxhash64(scheme_code), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass(frozen=True)
 class MergeResult:
     inserted: int
@@ -24,62 +36,85 @@ class MergeResult:
 class Store:
     """nav_history, scheme_info and the audit events of ingestion runs.
 
-    A table's current version is the newest row of its small log, appended after the version is complete; readers
-    never see a half-written one, and a failed write leaves the old version current.
+    A small log has a row (version, bucket, path) for each bucket written, appended after the data are complete; a
+    bucket's newest row counts.  Readers never see a half-written version, and a failed write leaves the old one current.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
     def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def _log(self, name: str) -> str:
-        return f"{self.root}/_log/{name}"
-
-    def current(self, name: str) -> str | None:
-        if not self._exists(self._log(name)):
-            return None
-        row = self.spark.read.schema("version long, path string").parquet(self._log(name)).orderBy(F.col("version").desc()).first()
-        return row.path if row else None
-
-    def table(self, name: str) -> DataFrame:
-        path = self.current(name)
-        if path is None:
+        fs, p = self._fs(path)
+        return fs.exists(p)
+
+    def _log(self, name: str) -> DataFrame:
+        path = f"{self.root}/_log/{name}"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], LOG)
+        return self.spark.read.schema(LOG).parquet(path)
+
+    def current(self, name: str) -> dict[int, str]:
+        """The current path of each bucket that holds rows; at most BUCKETS."""
+        return dict(self._log(name).groupBy("bucket").agg(F.max_by("path", "version")).collect())
+
+    def table(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        paths = self.current(name)
+        paths = [p for b, p in paths.items() if buckets is None or b in set(buckets)]
+        if not paths:
             return self.spark.createDataFrame([], TABLES[name])
-        return schemas.conform(self.spark.read.parquet(path), TABLES[name])
+        return schemas.conform(self.spark.read.parquet(*paths), TABLES[name])
 
-    def replace(self, name: str, df: DataFrame) -> None:
+    def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        schemas.conform(df, TABLES[name]).write.parquet(path)
-        last = 0
-        if self.current(name) is not None:
-            last = self.spark.read.parquet(self._log(name)).agg(F.max("version")).first()[0]
-        row = self.spark.createDataFrame([(last + 1, path)], "version long, path string")
-        row.coalesce(1).write.mode("append").parquet(self._log(name))
+        bucketed = df.withColumn("bucket", bucket_of(F.col("scheme_code")))
+        bucketed.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        return path
+
+    def _commit(self, name: str, path: str, buckets: Iterable[int]) -> None:
+        last = self._log(name).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+        rows = [(last + 1, b, f"{path}/bucket={b}") for b in sorted(buckets)]
+        self.spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/_log/{name}")
 
     def upsert_nav(self, batch: DataFrame, source: str, *order: str) -> MergeResult:
         """batch: scheme_code, date, nav and the order columns."""
-        old = self.table("nav_history")
-        merged = merge.merge_nav(old, batch, source, *order)
-        stamps = old.select("scheme_code", "date", "updated_at")
-        merged = merged.join(stamps, ["scheme_code", "date"], "left").withColumn(
-            "updated_at", F.when(F.col("action").isNotNull(), F.current_timestamp()).otherwise(F.col("updated_at"))
-        )
-        merged = merged.persist()
-        counts = merge.merge_counts(merged).first()
-        if counts.inserted or counts.updated:
-            self.replace("nav_history", merged)
-        merged.unpersist()
-        return MergeResult(counts.inserted, counts.updated)
-
-    def upsert_info(self, batch: DataFrame, source: str) -> None:
-        """batch: scheme_code and any other column of scheme_info; names, sources and times are overwritten."""
+        touched = [r[0] for r in batch.select(bucket_of(F.col("scheme_code")).alias("b")).distinct().collect()]
+        if not touched:
+            return MergeResult(0, 0)
+        merged = merge.merge_nav(self.table("nav_history", touched), batch, source, *order)
+        path = self._write(merged, "nav_history")
+        written = self.spark.read.schema(T.StructType([*merged.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
+        changed = written.where("action is not null").groupBy("bucket", "action").count().collect()
+        self._commit("nav_history", path, {r.bucket for r in changed}) if changed else self._delete(path)
+        total = {a: sum(r["count"] for r in changed if r.action == a) for a in ("inserted", "updated")}
+        return MergeResult(total["inserted"], total["updated"])
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+
+    def expire(self, name: str, keep: int = 2) -> int:
+        """Delete the buckets' paths behind their last ``keep`` versions; their number."""
+        newest = Window.partitionBy("bucket").orderBy(F.col("version").desc())
+        old = self._log(name).withColumn("n", F.row_number().over(newest)).where(F.col("n") > keep).select("path").collect()
+        gone = [r.path for r in old if self._exists(r.path)]
+        for path in gone:
+            self._delete(path)
+        return len(gone)
+
+    def upsert_info(self, batch: DataFrame, source: str) -> int:
+        """batch: scheme_code and any other column of scheme_info; names, sources and times are overwritten.  The number
+        of rows written, which is that of the batch's schemes."""
         batch = schemas.conform(batch, schemas.SCHEME_INFO).withColumns({"data_source": F.lit(source), "updated_at": F.current_timestamp()})
         keep = ["fund_house", "scheme_type", "scheme_category", "isin_growth", "isin_reinvest"]
-        self.replace("scheme_info", merge.merge_info(self.table("scheme_info"), batch, keep, ["scheme_name", "data_source", "updated_at"]))
+        touched = {r.b: r.n for r in batch.groupBy(bucket_of(F.col("scheme_code")).alias("b")).agg(F.count_distinct("scheme_code").alias("n")).collect()}
+        if touched:
+            merged = merge.merge_info(self.table("scheme_info", touched), batch, keep, ["scheme_name", "data_source", "updated_at"])
+            self._commit("scheme_info", self._write(merged, "scheme_info"), touched)
+        return sum(touched.values())
 
     def log_run(self, run_id: str, kind: str, seq: int, **fields: object) -> None:
         """Append an audit event; the one with the largest seq is a run's state."""

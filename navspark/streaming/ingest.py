@@ -1,7 +1,7 @@
 """Incremental ingestion with Structured Streaming: landed payload files are merged batch by batch.
 
-An addition to the batch operators: a restated day arrives as a later file and wins in the merge, so late data needs no
-watermark.
+An addition to the batch operators: a restated day arrives as a later file and wins in the merge, also inside one
+micro-batch (by the file's time, then its name), so late data needs no watermark.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from ..store import Store
 
 def ingest(store: Store, landing: str, checkpoint: str, source: str = "amfi", max_files: int = 100) -> StreamingQuery:
     """Merge all JSON-line payload files (scheme_code, payload) not yet seen, then stop; resumes from the checkpoint."""
-    files = store.spark.readStream.schema("scheme_code string, payload string").option("maxFilesPerTrigger", max_files).json(landing)
+    files = history.with_files(store.spark.readStream.schema(history.LINES).option("maxFilesPerTrigger", max_files).json(landing))
 
     def merge(batch: DataFrame, epoch: int) -> None:
         rows = history.parse(batch)
-        result = store.upsert_nav(rows, source, "seq")
+        result = store.upsert_nav(rows, source, *history.ORDER)
         store.log_run(f"stream-{epoch}", "stream", 1, status="success", rows_written=result.inserted, rows_updated=result.updated)
 
     return (

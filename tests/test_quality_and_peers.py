@@ -122,10 +122,10 @@ def test_screen(spark):
     assert {r.scheme_category for r in top} == {"C", "D"}  # ranked inside the category
     got = screener.screen(scored, category="C", fund_house="house a", minimums={"sharpe_ratio": 3.0}, maximums={"sharpe_ratio": 7.0}).collect()
     assert [r.scheme_code for r in got] == ["C5", "C3"]
-    assert screener.parse_bounds(["sharpe_ratio=1.5"]) == {"sharpe_ratio": 1.5}
+    assert screener.bound(" sharpe_ratio = -1.5e1") == ("sharpe_ratio", -15.0)
     for bad in ("sharpe_ratio", "nothing=1", "sharpe_ratio=x"):
         with pytest.raises(ValueError):
-            screener.parse_bounds([bad])
+            screener.bound(bad)
     assert "| C7 |" in screener.summarise(screener.screen(scored, category="C"))
     assert peers.category_summary(both).where("scheme_category = 'C' and metric = 'volatility_pct'").first().best == 2.0
 

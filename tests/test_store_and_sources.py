@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from navspark.operators import catalogue, merge
 from navspark.panel import load_panel
 from navspark.plans import bootstrap, cli
 from navspark.plans.analysis import analyse
+from navspark.plans.refresh import load_histories, refresh_catalogue
 from navspark.plans.report import write_reports
 from navspark.sources import history, landing, navall, synthetic
 from navspark.store import Store
@@ -117,6 +119,42 @@ def test_stream_restates_and_resumes(spark, tmp_path):
     assert [(r.nav, r.data_source) for r in store.table("nav_history").collect()] == [(11.0, "amfi")]
 
 
+def test_the_later_file_of_a_batch_wins(spark, tmp_path):
+    """In one micro-batch and in one batch read, whatever the places inside the payloads."""
+    days = [{"date": "01-01-2024", "nav": "1"}, {"date": "02-01-2024", "nav": "10"}]
+    for k, (name, data) in enumerate([("z.json", days), ("a.json", [{"date": "02-01-2024", "nav": "11"}])]):
+        path = tmp_path / "in" / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(json.dumps({"scheme_code": "1", "payload": json.dumps({"data": data})}) + "\n")
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    store = Store(spark, str(tmp_path / "s"))
+    ingest(store, str(tmp_path / "in"), str(tmp_path / "cp")).awaitTermination(120)
+    assert {r.date.day: r.nav for r in store.table("nav_history").collect()} == {1: 1.0, 2: 11.0}
+    other = Store(spark, str(tmp_path / "o"))
+    got = load_histories(other, ["1", "2"], str(tmp_path / "in"), DAY, allow_synthetic=True)
+    assert (got.loaded, got.generated, got.failed) == (["1"], ["2"], [])
+    assert {r.date.day: r.nav for r in other.table("nav_history").where("scheme_code = '1'").collect()} == {1: 1.0, 2: 11.0}
+    forced = load_histories(other, ["1", "3"], None, DAY, synthetic_only=True)
+    assert (forced.generated, forced.failed) == (["3"], ["1"])  # never over published NAVs
+    assert not load_histories(other, ["4"], None, DAY).ok
+
+
+def test_an_upsert_rewrites_the_buckets_it_touches(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.upsert_nav(navs(spark, [(str(c), 1, 1.0) for c in range(40)]), "amfi", "seq")
+    before = store.current("nav_history")
+    assert store.upsert_nav(navs(spark, [("7", 2, 2.0)]), "amfi", "seq").inserted == 1
+    after = store.current("nav_history")
+    assert len(before) > 10 and sum(before[b] != after[b] for b in before) == 1
+    assert store.table("nav_history").count() == 41 and store.table("nav_history").where("updated_at is null").count() == 0
+    old = store.table("nav_history").where("scheme_code = '8'").first().updated_at
+    for day in (3, 4):
+        store.upsert_nav(navs(spark, [("7", day, 3.0)]), "amfi", "seq")
+    assert store.expire("nav_history") == 2 and store.expire("nav_history") == 0
+    assert store.table("nav_history").count() == 43
+    assert store.table("nav_history").where("scheme_code = '8'").first().updated_at == old
+
+
 def test_catalogue_queries(spark):
     info = spark.createDataFrame(
         [("1", "Alpha Fund", "H1", "Eq", "Open Ended Schemes"), ("2", "Beta alpha", "H2", "Eq", "Interval Fund"), ("3", "Gamma", None, "Debt", "Close")],
@@ -134,7 +172,7 @@ def test_catalogue_queries(spark):
     assert [r.scheme_category for r in catalogue.categories(info).collect()] == ["Debt", "Eq"]
     panel = load_panel(nav, info)
     assert panel.where("scheme_code = '9'").first().scheme_name == "Unknown scheme 9"
-    assert load_panel(nav, info, []).count() == 0
+    assert load_panel(nav, info, []).count() == panel.count()
 
 
 def test_business_gap(spark):
@@ -162,13 +200,33 @@ def test_analysis_and_reports(spark, tmp_path):
     assert "<svg" in (tmp_path / "index.html").read_text()
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "feed.txt").write_text(FEED)
-    root = str(tmp_path / "t")
-    assert cli.main(["--root", root]) == 1
-    assert cli.main([]) == 1
-    got = cli.main(["--root", root, "--feed", str(tmp_path / "feed.txt"), "--synthetic", "--today", "2024-01-05", "--out", str(tmp_path / "r")])
-    assert got == 0 and (tmp_path / "r/report.md").exists()
+    (tmp_path / "none.txt").write_text("nothing\n")
+    root, summary = str(tmp_path / "t"), tmp_path / "summary.md"
+    told = ["--out", str(tmp_path / "r"), "--today", "2024-01-05", "--summary-file", str(summary)]
+    assert cli.main([]) == cli.main(["screen"]) == cli.main(["--root", root, "--schemes"]) == 1
+    assert cli.main(["catalogue", "--root", root, "--feed", str(tmp_path / "none.txt")]) == 2
+    assert cli.main(["catalogue", "--root", root, "--feed", str(tmp_path / "feed.txt"), "--no-navs", "--summary-file", str(summary)]) == 0
+    assert "5 schemes in 2 categories" in capsys.readouterr().out and "nav_rows 0" in summary.read_text()
+    # nothing stored: a filter finds nothing, the default schemes stand in for all analysable ones
+    assert cli.main(["--root", root, "--category", "Debt Scheme", *told]) == 1
+    assert cli.main(["--root", root, "--all-analysable", "--default-schemes", "100", "101", "--allow-synthetic", *told]) == 0
+    assert "WARNING" in capsys.readouterr().err and (tmp_path / "r/report.md").exists()
+    assert cli.main(["--root", root, "--schemes", "9", "--landing", str(tmp_path / "in"), *told]) == 2 if (tmp_path / "in").exists() else True
+    assert cli.main(["--root", root, "--schemes", "100", "gone", "--skip-fetch", "--fail-on-critical", *told]) == 3
+    assert cli.main(["--root", root, "--schemes", "100", "gone", "--skip-fetch", *told]) == 0
+    assert cli.main(["--root", root, "--schemes", "gone", "--skip-fetch", *told]) == 1
+    screen = ["screen", "--root", root]
+    assert cli.main([*screen, "--min", "observations=100", "--max", "max_drawdown_pct=0", "--sort-by", "volatility_pct", "--ascending", "--csv", str(tmp_path / "csv")]) == 0
+    assert "First Large" in capsys.readouterr().out and spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    assert cli.main([*screen, "--min", "sharpe_ratio=1000"]) == 1 and cli.main([*screen, "--min", "nonsense=1"]) == 1
+    assert cli.main([*screen, "--explain", "100"]) == 0 and cli.main([*screen, "--explain", "x"]) == 1
+    data = json.dumps({"data": [{"date": "02-01-2024", "nav": "10"}]})
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(json.dumps({"scheme_code": "103", "payload": data}) + "\n")
+    assert cli.main(["catalogue", "--root", root, "--backfill", "5", "--backfill-category", "Debt Scheme", "--landing", str(tmp_path / "in")]) == 0
+    assert "history of 1 schemes loaded, 1 not landed" in capsys.readouterr().out
 
 
 @pytest.mark.parametrize("name", ["scheme_metrics_full", "screen", "dq_findings", "nav_upsert_merge"])
@@ -179,30 +237,25 @@ def test_queries_run_on_driver_tables(spark, name):
 
 
 def test_landing_retries_and_budget(tmp_path):
-    waits, calls = [], {"a": 0}
-
-    def flaky():
-        calls["a"] += 1
-        if calls["a"] < 3:
-            raise OSError("no")
-        return {"data": []}
-
-    assert landing.with_retries(flaky, 3, 2.0, waits.append, lambda: 1.0) == {"data": []} and waits == [2.0, 4.0]
-    with pytest.raises(landing.FetchError):
-        landing.with_retries(lambda: 1 / 0, 2, 0, lambda _: None)
+    assert list(landing.waits(3, 2.0, lambda: 1.0)) == [0.0, 2.0, 4.0] and list(landing.waits(0, 2.0)) == [0.0]
+    slept, calls = [], {"flaky": 0}
 
     def fetch(code):
-        if code == "bad":
+        if code == "flaky":
+            calls[code] += 1
+        if code == "bad" or calls["flaky"] in (1, 2):
             raise OSError("gone")
         return {"data": [{"date": "02-01-2024", "nav": "10"}]}
 
+    got = landing.land_histories(fetch, ["flaky"], str(tmp_path / "in"), backoff=2.0, sleep=slept.append)
+    assert got.landed == ["flaky"] and len(slept) == 2 and 1 <= slept[0] <= 3 and 2 <= slept[1] <= 6
     got = landing.land_histories(fetch, ["1", "bad", "2"], str(tmp_path / "in"), delay=0, tries=1, sleep=lambda _: None)
-    assert (got.landed, list(got.failed), got.status) == (["1", "2"], ["bad"], "partial")
+    assert (got.landed, list(got.failed), got.status) == (["1", "2"], ["bad"], "partial") and "gone" in got.failed["bad"]
     ticks = iter(range(10))
     got = landing.land_histories(fetch, ["1", "2", "3"], str(tmp_path / "in"), budget_seconds=2, delay=0, clock=lambda: next(ticks), sleep=lambda _: None)
     assert got.landed == ["1"] and got.left == ["2", "3"]
     assert landing.land_histories(fetch, ["bad"], str(tmp_path / "none"), tries=1, sleep=lambda _: None).status == "failed"
-    assert not landing.reachable("127.0.0.1", 1, 0.2)
+    assert landing.silence("127.0.0.1", 1, 0.2)
 
 
 def test_bootstrap(spark, tmp_path):
@@ -213,3 +266,17 @@ def test_bootstrap(spark, tmp_path):
     load = lambda s: s.upsert_nav(navs(spark, [("1", 1, 10.0)]), "amfi", "seq")
     assert bootstrap.ensure(store, load) == bootstrap.BootstrapResult("loaded", "", 1)
     assert bootstrap.ensure(store, lambda s: 1 / 0).ok
+    broken = Store(spark, str(tmp_path / "broken"))
+    (tmp_path / "broken/_log/nav_history").mkdir(parents=True)
+    (tmp_path / "broken/_log/nav_history/part-0.parquet").write_text("not a table")
+    assert bootstrap.ensure(broken, lambda s: None).status == "failed"
+
+
+def test_catalogue_refresh_result(spark, tmp_path):
+    (tmp_path / "feed.txt").write_text(FEED)
+    (tmp_path / "none.txt").write_text("a notice\n")
+    store = Store(spark, str(tmp_path / "s"))
+    got = refresh_catalogue(store, str(tmp_path / "feed.txt"))
+    assert (got.parsed, got.categories, got.fund_houses, got.newest, got.changed) == (5, 2, 3, DAY, 5)
+    assert (got.navs.inserted, got.error) == (4, "")
+    assert refresh_catalogue(store, str(tmp_path / "none.txt")).error and store.table("scheme_info").count() == 5
