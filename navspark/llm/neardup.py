@@ -239,14 +239,17 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     texts = stored(texts, "neardup-texts")
     keyed = texts.drop("bands").join(classes_of(texts, docs), "key", "left").withColumn("class", F.coalesce("class", "key"))
     keyed = stored(keyed, "neardup-keyed")
-    shared = keyed.where("class != key or rows_of > 1").select("class").distinct()
-    heads = keyed.join(shared, "class", "left_semi").groupBy("class").agg(
-        F.min("least").alias("class_id"), F.sum("rows_of").alias("class_size")
-    )
-    out = stored(keyed.join(heads, "class"), "neardup-classes")
     rows = stored(seen.select("doc_id", "key"), "neardup-rows")
+    total = rows.count()
+    heads = keyed.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("rows_of").alias("class_size"))
+    heads = stored(heads.where("class_size > 1"), "neardup-class-heads")
+    # as in by_key: the largest classes, at most HOT, are broadcast
+    hot = F.col("class_size") * HOT >= F.lit(total)
+    few, many = F.broadcast(heads.where(hot)), heads.where(~hot)
+    rest = keyed.join(few.select("class"), "class", "left_anti")
+    out = stored(keyed.join(few, "class").unionByName(rest.join(many, "class")), "neardup-classes")
     forget(seen, texts, keyed)
-    return rows, out, rows.count()
+    return rows, out, total
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

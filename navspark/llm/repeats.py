@@ -1,21 +1,29 @@
-"""Removal of repeated byte strings: rank refinement at growing lengths over content-defined anchors.
+"""Removal of repeated byte strings: prefix doubling over the positions that anchors and cells leave open.
 
-The question is that of a suffix array with prefix doubling: which positions share their next THRESHOLD bytes with
-another position.  Ranks (classes of equal strings) are refined at growing lengths, positions that become unique
-leave, and Spark's exchanges do the grouping.  Two things keep it small without losing a match:
+The question is that of a suffix array: which positions share their next THRESHOLD bytes with another position.  Ranks
+(names of classes of equal strings) are refined at growing lengths, and positions that become unique leave.  Two steps
+before the doubling keep it small without losing a match:
 
 * Anchors.  Each window of THRESHOLD bytes picks its smallest GRAM-byte string (by hash) as anchor; equal windows pick
-  the same one at the same distance.  So only anchors, about one in 75 bytes, are ranked first; windows of an anchor
+  the same one at the same distance.  So only anchors, about one in 75 bytes, are grouped first; windows of an anchor
   whose gram is unique are unique.
-* Ranges.  An anchor stands for the run of windows that picked it.  Runs with equal text are one class: repeated as a
-  whole.  Runs that share the gram but not the text are split by distance from the anchor into cells of 40, then 8, then
-  1 windows; the string common to a cell's windows (161, 193, 200 bytes) is its rank at that length.  A cell that is
-  alone with it is unique, one whose full text comes twice is repeated, and only others are split further.
+* Cells.  An anchor stands for the run of windows that picked it.  Runs with equal text are one class: repeated as a
+  whole.  Runs that share the gram but not the text are split by distance from the anchor into cells of 40, then 8
+  windows; a cell that is alone with the string common to its windows (161, 193 bytes) is unique, one whose full text
+  comes twice is repeated, and only others go on.
+* Doubling.  The windows of the cells left are positions, ranked among those at the same distance from the same gram.
+  From ranks of strings of a quarter of THRESHOLD, Spark groups the pairs (rank here, rank an offset on) to ranks of half
+  and then of all THRESHOLD bytes: offsets 50 and 100.  A position alone with its pair leaves at once; one that keeps
+  company to the last is repeated.
 
 Helpers in tasks find anchors; everything else is grouping and joins.  Filters that are broadcast are bitmaps of fixed
 size and only save work: what they let through by chance is dropped by the exact grouping.  Spans are joined to texts
 by md5 of the text.
 
+Strings are told apart by pairs of 64-bit hashes (gram and run, gram and cell, gram and rank pair), never by one alone:
+among 10^12 anchors two different ones agree in both with a probability of about 10^-15, for texts that are not built
+against the hash.
+
 Defined cases: a null text is empty; texts under THRESHOLD bytes lose nothing; equal rows are removed whole, as each
 has its strings elsewhere; an empty table gives no row; input columns pass through ``remove``, whatever their names, and
 it leaves characters whole.
@@ -34,7 +42,7 @@ from pyspark.sql import types as T
 
 from .common import BITS, bitmap, carried, flat, forget, likely, mix64, released, sliced, stored, table, text_bytes, top_bits, with_text
 
-THRESHOLD, GRAM, CELLS = 200, 48, (40, 8, 1)
+THRESHOLD, GRAM, CELLS = 200, 48, (40, 8)
 SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -155,6 +163,22 @@ def split(rows: DataFrame, size: int) -> DataFrame:
     return cut.withColumns({"common": F.xxhash64(common), "whole": F.xxhash64("dlo", "dhi", "text")})
 
 
+def positions(rows: DataFrame) -> DataFrame:
+    """The windows of cells (see split) at their distance d, with ranks of their four quarters."""
+    quarter = THRESHOLD // 4
+    each = rows.select("gram", "run", "m", "done", "dhi", "text", F.explode(F.sequence("dlo", "dhi")).alias("d"))
+    rank = lambda k: F.xxhash64(F.substring("text", F.col("dhi") - F.col("d") + 1 + k * quarter, F.lit(quarter)))
+    return each.select("gram", "d", "run", "m", "done", *[rank(k).alias(f"rank{k * quarter}") for k in range(4)])
+
+
+def doubled(rows: DataFrame, here: str, there: str, rank: str) -> DataFrame:
+    """Ranks of strings twice as long from pairs of ranks, here and an offset on; positions alone with their pair leave."""
+    pair = ["gram", "d", here, there]
+    # a run has one window at a distance, so its smallest run names a class
+    names = rows.groupBy(pair).agg(F.min("run").alias(rank), F.sum("m").alias("n")).where("n > 1").drop("n")
+    return rows.join(names, pair).drop(here, there)
+
+
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """The runs (see runs()), their repeated distances (gram, run, dlo, dhi), and the stored tables behind both."""
     context = docs.sparkSession.sparkContext
@@ -176,28 +200,29 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         before = rows
         ranks = rows.select("gram", "run", "cell", "dlo", "dhi", "m", "done", "common", "whole")
         by_common = ranks.groupBy("gram", "cell", "common").agg(
-            (F.min("whole") != F.max("whole")).alias("differ"), F.min("done").alias("all_done"), F.sum("m").alias("of_common")
+            (F.min("whole") != F.max("whole")).alias("differ"), F.sum("m").alias("of_common")
         )
-        judged = ranks.join(by_common, ["gram", "cell", "common"])
-        if size > 1:
-            judged = judged.where("of_common > 1")
-            by_whole = judged.groupBy("gram", "cell", "whole").agg(F.sum("m").alias("of_whole"))
-            judged = judged.join(by_whole, ["gram", "cell", "whole"])
-            hit = F.col("of_whole") > 1
-        else:
-            hit = F.col("of_common") > 1
-        judged = stored(judged.withColumn("hit", hit), "repeat-judged")
+        judged = ranks.join(by_common, ["gram", "cell", "common"]).where("of_common > 1")
+        by_whole = judged.groupBy("gram", "cell", "whole").agg(F.sum("m").alias("of_whole"))
+        judged = judged.join(by_whole, ["gram", "cell", "whole"]).withColumn("hit", F.col("of_whole") > 1)
+        judged = stored(judged, "repeat-judged")
         tables.append(judged)
         out.append(judged.where("hit and not done").select("gram", "run", "dlo", "dhi"))
-        if size > 1:
-            # needed: cells with different texts of which some are not known to be repeated
-            some = judged.groupBy("gram", "cell", "common").agg(F.min("hit").alias("all_hit"))
-            again = judged.where("differ").join(some.where("not all_hit"), ["gram", "cell", "common"])
-            again = again.select("gram", "run", "cell", (F.col("done") | F.col("hit")).alias("done_now"))
-            cell = F.xxhash64("gram", "run", "cell")
-            rows, _ = likely(rows, cell, again.select(cell.alias("h")), "h")
-            rows = rows.join(again, ["gram", "run", "cell"]).withColumn("done", F.col("done_now")).drop("done_now", "cell", "common", "whole")
+        # needed: cells with different texts of which some are not known to be repeated
+        some = judged.groupBy("gram", "cell", "common").agg(F.min("hit").alias("all_hit"))
+        again = judged.where("differ").join(some.where("not all_hit"), ["gram", "cell", "common"])
+        again = again.select("gram", "run", "cell", (F.col("done") | F.col("hit")).alias("done_now"))
+        cell = F.xxhash64("gram", "run", "cell")
+        rows, _ = likely(rows, cell, again.select(cell.alias("h")), "h")
+        rows = rows.join(again, ["gram", "run", "cell"]).withColumn("done", F.col("done_now")).drop("done_now", "cell", "common", "whole")
+    half, quarter = THRESHOLD // 2, THRESHOLD // 4
+    left = positions(rows)
+    left = doubled(left, "rank0", f"rank{quarter}", "front")
+    left = doubled(left, f"rank{half}", f"rank{half + quarter}", "back")
+    left = stored(doubled(left, "front", "back", "rank"), "repeat-positions")
+    tables.append(left)
     forget(before)
+    out.append(left.where("not done").select("gram", "run", F.col("d").alias("dlo"), F.col("d").alias("dhi")))
     both = out[0]
     for more in out[1:]:
         both = both.unionByName(more)
