@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, fold, forget, mix64, released, sliced, stored, table, text_bytes
 
 #: Bytes of context: at most 7, as a gram is one 64-bit number.
-DEPTH, CELLS, CHUNK, FREQUENT = 5, 256, 1 << 24, 65_536
+DEPTH, CELLS, CHUNK, FREQUENT = 5, 256, 1 << 24, 524_288
 HELD_WORDS, HELD_GRAMS = 200_000, 4_000_000
 END = b""
 
@@ -299,7 +299,8 @@ def log_gamma_at(table_: np.ndarray, n: np.ndarray, more: float) -> np.ndarray:
     """Log gamma of n + more, from a table where it reaches."""
     out = table_[np.minimum(n, len(table_) - 1)]
     big = n >= len(table_)
-    out[big] = log_gamma(n[big] + more)
+    if big.any():
+        out[big] = log_gamma(n[big] + more)
     return out
 
 
