@@ -8,9 +8,9 @@ before the doubling keep it small without losing a match:
   the same one at the same distance.  So only anchors, about one in 75 bytes, are grouped first; windows of an anchor
   whose gram is unique are unique.
 * Cells.  An anchor stands for the run of windows that picked it.  Runs with equal text are one class: repeated as a
-  whole.  Runs that share the gram but not the text are split by distance from the anchor into cells of 40, then 8
-  windows; a cell that is alone with the string common to its windows (161, 193 bytes) is unique, one whose full text
-  comes twice is repeated, and only others go on.
+  whole.  Runs that share the gram but not the text are split by distance from the anchor into cells of 40, 8, then 2
+  windows; a cell that is alone with the string common to its windows (161, 193, 199 bytes) is unique, one whose full
+  text comes twice is repeated, and only others go on.
 * Doubling.  The windows of the cells left are positions, ranked among those at the same distance from the same gram.
   From ranks of strings of a quarter of THRESHOLD, Spark groups the pairs (rank here, rank an offset on) to ranks of half
   and then of all THRESHOLD bytes: offsets 50 and 100.  A position alone with its pair leaves at once; one that keeps
@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 
 from .common import BITS, bitmap, carried, flat, forget, likely, mix64, released, sliced, stored, table, text_bytes, top_bits, with_text
 
-THRESHOLD, GRAM, CELLS = 200, 48, (40, 8)
+THRESHOLD, GRAM, CELLS = 200, 48, (40, 8, 2)
 SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -216,12 +216,12 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
         rows, _ = likely(rows, cell, again.select(cell.alias("h")), "h")
         rows = rows.join(again, ["gram", "run", "cell"]).withColumn("done", F.col("done_now")).drop("done_now", "cell", "common", "whole")
     half, quarter = THRESHOLD // 2, THRESHOLD // 4
-    left = positions(rows)
-    left = doubled(left, "rank0", f"rank{quarter}", "front")
-    left = doubled(left, f"rank{half}", f"rank{half + quarter}", "back")
-    left = stored(doubled(left, "front", "back", "rank"), "repeat-positions")
-    tables.append(left)
+    left = stored(positions(rows), "repeat-positions")
     forget(before)
+    for here, there, rank in (("rank0", f"rank{quarter}", "front"), (f"rank{half}", f"rank{half + quarter}", "back"), ("front", "back", "rank")):
+        before, left = left, stored(doubled(left, here, there, rank), "repeat-positions")
+        forget(before)
+    tables.append(left)
     out.append(left.where("not done").select("gram", "run", F.col("d").alias("dlo"), F.col("d").alias("dhi")))
     both = out[0]
     for more in out[1:]:
