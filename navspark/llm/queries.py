@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, lm, neardup, packing, quality, repeats, sstable, toxicity
+from . import chat, decontamination, licenses, lm, merkle, neardup, packing, quality, repeats, sstable, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_dart_neardup": neardup.query,
         "op4_repeat_removal": repeats.query,
         "op6_ffd_packing": packing.query,
+        "op11_merkle_manifest": merkle.query,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": licenses.oracle_sql(),
         "op3_prefix_targets": chat.ORACLE_SQL,
         "op7_fm_decontamination": decontamination.ORACLE_SQL,
+        "op11_merkle_manifest": merkle.oracle_sql(),
     }
