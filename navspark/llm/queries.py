@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, lm, merkle, neardup, packing, quality, repeats, sstable, toxicity
+from . import chat, decontamination, licenses, lm, merkle, neardup, packing, pieces, quality, repeats, sstable, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_repeat_removal": repeats.query,
         "op6_ffd_packing": packing.query,
         "op11_merkle_manifest": merkle.query,
+        "op12_sentencepiece": pieces.query,
     }
 
 
