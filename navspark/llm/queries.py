@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, licenses, lm, merkle, neardup, packing, pieces, quality, repeats, sstable, toxicity
+from . import chat, decontamination, licenses, lm, merkle, neardup, packing, pieces, quality, repeats, spelling, sstable, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ffd_packing": packing.query,
         "op11_merkle_manifest": merkle.query,
         "op12_sentencepiece": pieces.query,
+        "op13_spelling_variants": spelling.query,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_prefix_targets": chat.ORACLE_SQL,
         "op7_fm_decontamination": decontamination.ORACLE_SQL,
         "op11_merkle_manifest": merkle.oracle_sql(),
+        "op13_spelling_variants": spelling.ORACLE_SQL,
     }
