@@ -12,6 +12,8 @@ digests of the child's siblings, until it reaches the leaves.  A superstep joins
 most FAN a key, and each level is written to the shared folder before the next, so a lost executor costs one superstep.
 Leaves travel inside their parents (families), so that paths are exchanged once a family and not once a leaf.
 
+Levels shrink eightfold, and so do the tasks and files that hold them: a task takes at most VERTICES of their vertices.
+
 Digests are raw bytes inside and hexadecimal text in hashes and results.
 
 Defined cases: a null column counts as ``-``; null languages are a group of their own, the first; null ids come first in their
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, fold, new_path, shared_dir, stored, table
 
-FAN = 8
+FAN, VERTICES = 8, 20_000
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 #: (place among its siblings, their digests from left to right) of each level above a leaf, from the lowest.
 Path = tuple[tuple[int, tuple[bytes, ...]], ...]
@@ -69,9 +71,11 @@ class Shelf:
     spark: SparkSession
     paths: list[str] = field(default_factory=list)
 
-    def put(self, rdd: RDD) -> RDD:
+    def put(self, rdd: RDD, rows: int | None = None) -> RDD:
+        """rows: at most how many the RDD has, if known."""
         path = new_path(self.spark, "merkle")
-        rdd.saveAsPickleFile(path)
+        most = rdd.getNumPartitions() if rows is None else max(1, -(-rows // VERTICES))
+        (rdd.coalesce(most) if most < rdd.getNumPartitions() else rdd).saveAsPickleFile(path)
         self.paths.append(path)
         return self.spark.sparkContext.pickleFile(path)
 
@@ -81,31 +85,44 @@ class Shelf:
         self.paths = []
 
 
-def ranked(sc: SparkContext, rows: RDD, parts: int) -> tuple[RDD, int]:
-    """((group, order), value) rows to (group, place in the group from 0, size of the group, value); the largest size."""
+@dataclass
+class Ranked:
+    """rows: (group, place in the group from 0, size of the group, value); the largest size; rows and groups in all."""
+
+    rows: RDD
+    largest: int
+    total: int
+    groups: int
+
+
+def ranked(sc: SparkContext, rows: RDD, parts: int) -> Ranked:
+    """((group, order), value) rows ranked in their groups."""
     ordered = rows.sortByKey(numPartitions=parts)
 
     def ends(k: int, part: Iterable) -> Iterator[tuple]:
         first = last = None
-        n = head = most = 0
+        n = head = most = total = groups = 0
         for (group, _), _ in part:
+            total += 1
             if first is None:
                 first = last = group
+                groups = 1
             if group != last:
                 head, most, last, n = head if last != first else n, max(most, n), group, 0
+                groups += 1
             n += 1
         if first is not None:
-            yield k, first, head if last != first else n, last, n, max(most, n)
+            yield k, first, head if last != first else n, last, n, max(most, n), total, groups
 
     before: dict[int, int] = {}
     sizes: dict = {}
-    largest = 0
-    for k, first, head, last, tail, most in sorted(ordered.mapPartitionsWithIndex(ends).collect()):
+    largest = total = groups = 0
+    for k, first, head, last, tail, most, n, m in sorted(ordered.mapPartitionsWithIndex(ends).collect()):
         before[k] = sizes.get(first, 0)
         sizes[first] = before[k] + head
         if last != first:
             sizes[last] = tail
-        largest = max(largest, most, sizes[first])
+        largest, total, groups = max(largest, most, sizes[first]), total + n, groups + m
     known = sc.broadcast((before, sizes))  # two numbers and a group a partition
 
     def place(k: int, part: Iterable) -> Iterator[tuple]:
@@ -123,7 +140,7 @@ def ranked(sc: SparkContext, rows: RDD, parts: int) -> tuple[RDD, int]:
             at += 1
         yield from ((group, i, len(run), v) for i, v in enumerate(run))
 
-    return ordered.mapPartitionsWithIndex(place), largest
+    return Ranked(ordered.mapPartitionsWithIndex(place), largest, total, groups)
 
 
 def messages(vertex: tuple) -> tuple:
@@ -140,6 +157,12 @@ class Tree:
     families: RDD
     levels: list[RDD]
     roots: RDD
+    total: int
+    groups: int
+
+    def vertices(self, level: int) -> int:
+        """At most how many vertices a level has; families are level 0."""
+        return self.total // FAN ** (level + 1) + self.groups
 
 
 def complete(received: Iterable[tuple], at: int) -> tuple[int, list]:
@@ -151,7 +174,7 @@ def complete(received: Iterable[tuple], at: int) -> tuple[int, list]:
     return -(-size // FAN), [m[2] for m in sent]
 
 
-def grow(shelf: Shelf, rows: RDD, largest: int, parts: int) -> Tree:
+def grow(shelf: Shelf, ranks: Ranked, parts: int) -> Tree:
     """The trees of all groups of ranked rows with values (digest, anything)."""
 
     def family(key: tuple, received: Iterable) -> tuple:
@@ -163,17 +186,19 @@ def grow(shelf: Shelf, rows: RDD, largest: int, parts: int) -> Tree:
         size, children = complete(received, key[1])
         return key, (h(*children), size, children)
 
-    families = shelf.put(rows.map(messages).groupByKey(parts).map(lambda x: family(*x)))
-    level, levels, roots, height = families, [], [], 0
+    families = shelf.put(ranks.rows.map(messages).groupByKey(parts).map(lambda x: family(*x)))
+    tree = Tree(families, [], families, ranks.total, ranks.groups)
+    level, roots, largest = families, [], -(-ranks.largest // FAN)
     while True:
-        done = level.filter(lambda v: v[1][1] == 1)
-        roots.append(done.map(lambda v, height=height: (v[0][0], (height, v[1][0]))))
-        largest, parts, height = -(-largest // FAN), max(1, -(-parts // FAN)), height + 1
+        height = len(tree.levels)
+        roots.append(level.filter(lambda v: v[1][1] == 1).map(lambda v, height=height: (v[0][0], (height, v[1][0]))))
         if largest <= 1:
-            return Tree(families, levels, families.context.union(roots))
+            tree.roots = shelf.put(families.context.union(roots), ranks.groups)
+            return tree
         on = level.filter(lambda v: v[1][1] > 1).map(lambda v: messages((*v[0], v[1][1], v[1][0])))
-        level = shelf.put(on.groupByKey(parts).map(lambda x: parent(*x)))
-        levels.append(level)
+        level = shelf.put(on.groupByKey(parts).map(lambda x: parent(*x)), tree.vertices(height + 1))
+        tree.levels.append(level)
+        largest = -(-largest // FAN)
 
 
 def siblings(children: list[bytes], at: int) -> tuple[int, tuple[bytes, ...]]:
@@ -204,8 +229,7 @@ def descend(shelf: Shelf, tree: Tree, seeds: RDD, parts: int) -> RDD:
     below = None
     for height in range(len(tree.levels), 0, -1):
         told = entering(height) if below is None else entering(height).union(below)
-        n = max(1, parts // FAN**height)
-        below = shelf.put(tree.levels[height - 1].join(told, n).flatMap(send))
+        below = shelf.put(tree.levels[height - 1].join(told, parts).flatMap(send), tree.vertices(height - 1))
     told = entering(0) if below is None else entering(0).union(below)
     return tree.families.join(told, parts).flatMap(deliver)
 
@@ -236,15 +260,16 @@ def manifest(docs: DataFrame, presented: Column | None = None) -> Manifest:
         group = "" if lang is None else f"={lang}"
         return (group, (id_ is not None, id_ or 0, digest)), (digest, (id_, shown if shown != digest else None))
 
-    rows, largest = ranked(sc, digests.rdd.map(keyed), parts)
-    if not largest:
+    ranks = ranked(sc, digests.rdd.map(keyed), parts)
+    if not ranks.total:
         return Manifest(None, sc.emptyRDD(), shelf)
-    tree = grow(shelf, rows, largest, parts)
-    tops, largest = ranked(sc, tree.roots.map(lambda r: (("", r[0]), (r[1][1], (r[0], r[1][0])))), max(1, parts // FAN))
-    top = grow(shelf, tops, largest, max(1, parts // FAN))
+    tree = grow(shelf, ranks, parts)
+    tops = tree.roots.map(lambda r: (("", r[0]), (r[1][1], (r[0], r[1][0]))))
+    few = tree.roots.getNumPartitions()
+    top = grow(shelf, ranked(sc, tops, few), few)
     group, (height, root) = top.roots.first()
-    heads = descend(shelf, top, sc.parallelize([(group, (height, root, ()))], 1), max(1, parts // FAN))
-    seeds = shelf.put(heads.map(lambda x: (x[0][0], (x[0][1], (x[1], x[2]), x[3]))))
+    heads = descend(shelf, top, sc.parallelize([(group, (height, root, ()))], 1), few)
+    seeds = shelf.put(heads.map(lambda x: (x[0][0], (x[0][1], (x[1], x[2]), x[3]))), ranks.groups)
     return Manifest(root, descend(shelf, tree, seeds, parts), shelf)
 
 
