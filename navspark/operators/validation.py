@@ -14,7 +14,8 @@ SEVERITIES = ["CRITICAL", "WARNING", "INFO"]
 
 
 def ingredients(raw: DataFrame, today: datetime.date, config: EngineConfig = DEFAULT) -> DataFrame:
-    """What the checks need, a row a scheme; raw may hold NULLs, repeats and bad values."""
+    """What the checks need, a row a scheme; raw may hold NULLs, NaN, repeats and bad values."""
+    raw = raw.withColumn("nav", F.when(~F.isnan("nav"), F.col("nav")))
     w = Window.partitionBy("scheme_code").orderBy(F.unix_date("date"), "nav")
     prev, day = F.lag("nav").over(w), F.lag("date").over(w)
     # a move from zero is infinite, so extreme

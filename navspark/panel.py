@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def selected(nav: DataFrame, scheme_codes: list[str] | None) -> DataFrame:
+    """The rows of some schemes; None and an empty list mean every scheme, here and wherever codes are given."""
+    return nav.where(F.col("scheme_code").isin(scheme_codes)) if scheme_codes else nav
+
+
 def load_panel(nav: DataFrame, info: DataFrame, scheme_codes: list[str] | None = None) -> DataFrame:
-    """NAV rows with the scheme's metadata; unknown schemes stay, named by their code.  None and an empty
-    list mean every scheme."""
-    if scheme_codes:
-        nav = nav.where(F.col("scheme_code").isin(scheme_codes))
+    """NAV rows of the selected schemes with their metadata; unknown schemes stay, named by their code."""
+    nav = selected(nav, scheme_codes)
     meta = info.select("scheme_code", "scheme_name", "fund_house", "scheme_category")
     name = F.coalesce("scheme_name", F.concat(F.lit("Unknown scheme "), "scheme_code"))
     return nav.join(meta, "scheme_code", "left").select(
@@ -20,8 +23,8 @@ def load_panel(nav: DataFrame, info: DataFrame, scheme_codes: list[str] | None =
 
 def clean_series(raw: DataFrame, *order: str) -> DataFrame:
     """One row a scheme and date: the last in input order, given by the order columns; then positive NAVs only (so a
-    bad last duplicate removes its date)."""
-    known = raw.where(F.col("date").isNotNull() & F.col("nav").isNotNull())
+    bad last duplicate removes its date).  NaN is no NAV, like NULL."""
+    known = raw.where(F.col("date").isNotNull() & F.col("nav").isNotNull() & ~F.isnan("nav"))
     last = Window.partitionBy("scheme_code", "date").orderBy(*[F.col(c).desc() for c in order])
     kept = known.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", *[c for c in order if c != "nav"])
     return kept.where("nav > 0")

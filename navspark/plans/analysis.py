@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..operators import validation
-from ..panel import clean_series, load_panel
+from ..panel import clean_series, load_panel, selected
 from . import bundle
 from .insights import Insight, derive
 
@@ -43,22 +43,21 @@ def analyse(
     config: EngineConfig = DEFAULT,
     *order: str,
 ) -> Analysis:
-    """Metrics of the requested schemes that pass the gate.  The benchmark is loaded and checked, but reported only if
+    """Metrics of the requested schemes (None, []: of all) that pass the gate.  The benchmark is loaded and checked, but reported only if
     requested, and used even if it fails the gate.  Of repeated days the last counts, by the order columns (by default
     ``updated_at``, where nav has it), then the larger NAV."""
-    codes = None if scheme_codes is None else sorted({*scheme_codes, *([benchmark] if benchmark else [])})
-    keep = nav.where(F.col("scheme_code").isin(codes)) if codes is not None else nav
+    codes = sorted({*scheme_codes, *([benchmark] if benchmark else [])}) if scheme_codes else None
+    keep = selected(nav, codes)
     panel = load_panel(keep, info)
     expected = None
-    if codes is not None:
+    if codes:
         expected = nav.sparkSession.createDataFrame([(c,) for c in codes], "scheme_code string")
     found = validation.findings(panel, today, config, expected)
     order = (*(order or [c for c in ("updated_at",) if c in nav.columns]), "nav")
     clean = clean_series(keep.select("scheme_code", "date", "nav", "data_source", *[c for c in order if c != "nav"]), *order)
     metrics = bundle.scheme_metrics(clean, benchmark, config)
     metrics = metrics.join(validation.unusable(found), "scheme_code", "left_anti")
-    if scheme_codes is not None:
-        metrics = metrics.where(F.col("scheme_code").isin(scheme_codes))
+    metrics = selected(metrics, scheme_codes)
     names = info.select("scheme_code", "scheme_name", "fund_house", "scheme_category")
     named = metrics.join(names, "scheme_code", "left").withColumn(
         "scheme_name", F.coalesce("scheme_name", F.concat(F.lit("Unknown scheme "), "scheme_code"))

@@ -93,9 +93,13 @@ def universe(store: Store, args: argparse.Namespace) -> tuple[list[str], bool]:
 
 
 def appended(path: Path | None, text: str) -> None:
+    """A summary that cannot be written is told and changes no result."""
     if path:
-        with path.open("a") as f:
-            f.write(text.rstrip() + "\n")
+        try:
+            with path.open("a") as f:
+                f.write(text.rstrip() + "\n")
+        except OSError as e:
+            print(f"WARNING: no summary: {e}", file=sys.stderr)
 
 
 def run_analyse(store: Store, args: argparse.Namespace) -> int:
@@ -109,10 +113,14 @@ def run_analyse(store: Store, args: argparse.Namespace) -> int:
     benchmark = None if args.benchmark in ("none", "") else args.benchmark
     if load and (args.landing or args.allow_synthetic or args.synthetic_only):
         wanted = [*codes, *([benchmark] if benchmark and benchmark not in codes else [])]
-        if not load_histories(store, wanted, args.landing, args.today, args.allow_synthetic, args.synthetic_only).ok:
-            print("no history was loaded", file=sys.stderr)
+        done = load_histories(store, wanted, args.landing, args.today, args.allow_synthetic, args.synthetic_only)
+        if not done.ok:
+            print(f"no history was loaded{': ' * bool(done.error)}{done.error}; generate one with --allow-synthetic, or use what is stored with --skip-fetch", file=sys.stderr)
             return NOT_LOADED
-    nav, info = store.table("nav_history"), store.table("scheme_info")
+        if done.error:
+            print(f"WARNING: {done.error}; {len(done.generated)} series are generated", file=sys.stderr)
+    nav = store.table("nav_history", [*codes, *([benchmark] if benchmark else [])])
+    info = store.table("scheme_info")
     config = EngineConfig(risk_free=args.risk_free, sip_amount=args.sip_amount)
     result = analyse(nav, info, args.today, codes, benchmark, config)
     rows, findings = result.rows(), validation.sorted_findings(result.findings).collect()
@@ -175,6 +183,7 @@ def run_catalogue(store: Store, args: argparse.Namespace) -> int:
                 return NOT_LOADED
     store.expire("nav_history")
     store.expire("scheme_info")
+    store.merge_events()
     seen = catalogue.statistics(store.table("scheme_info"), store.table("nav_history")).first().asDict()
     lines.append("; ".join(f"{k} {v}" for k, v in seen.items()))
     print("\n".join(lines))

@@ -460,17 +460,34 @@ def _(spark, sf_dir):
     return merge.mirror_check(merge.mirror_slice(star_nav(spark, sf_dir), TODAY))
 
 
+@query(
+    "mirror_push",
+    """SELECT coalesce(s.scheme_code, m.scheme_code) AS scheme_code, coalesce(s.date, m.date) AS date, coalesce(s.nav, m.nav) AS nav,
+    coalesce(s.data_source, m.data_source) AS data_source, CASE WHEN m.nav IS NULL THEN 'inserted' WHEN s.nav IS NOT NULL THEN 'updated' END AS action
+    FROM (SELECT * FROM nav WHERE date >= DATE '2001-11-05' - 1826) s
+    FULL JOIN (SELECT scheme_code, date, nav * 2 AS nav, 'mirror' AS data_source FROM nav WHERE date < DATE '1998-06-01') m
+    ON s.scheme_code = m.scheme_code AND s.date = m.date""",
+)
+def _(spark, sf_dir):
+    nav = star_nav(spark, sf_dir)
+    mirror = nav.where("date < date'1998-06-01'").withColumns({"nav": F.col("nav") * 2, "data_source": F.lit("mirror")})
+    return merge.push_nav(mirror, merge.mirror_slice(nav, TODAY))
+
+
 @query(
     "recent_runs",
-    """SELECT run_id, seq, status, CAST(rows_written AS BIGINT) AS rows_written, started_seq FROM (
-      SELECT CAST(o_custkey AS VARCHAR) AS run_id, o_orderkey AS seq, o_orderstatus AS status, floor(o_totalprice) AS rows_written,
-        min(o_orderkey) OVER (PARTITION BY o_custkey) AS started_seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders)
-    WHERE n = 1 ORDER BY started_seq DESC, run_id DESC LIMIT 10""",
+    """SELECT run_id, seq, status, rows_written, at, started_at FROM (
+      SELECT CAST(l_orderkey AS VARCHAR) AS run_id, l_linenumber AS seq, l_linestatus AS status, CAST(floor(l_quantity) AS BIGINT) AS rows_written,
+        date_diff('day', DATE '1970-01-01', CAST(l_receiptdate AS DATE)) AS at,
+        min(date_diff('day', DATE '1970-01-01', CAST(l_receiptdate AS DATE))) OVER (PARTITION BY l_orderkey) AS started_at,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_receiptdate DESC) AS n FROM lineitem)
+    WHERE n = 1 ORDER BY started_at DESC, run_id DESC LIMIT 10""",
 )
 def _(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("status"),
-        F.floor("o_totalprice").cast("long").alias("rows_written"),
+    # an order is a run: its lines are its events, numbered from the first, and written in no order of time
+    events = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_linenumber").alias("seq"), F.col("l_linestatus").alias("status"),
+        F.floor("l_quantity").cast("long").alias("rows_written"), F.unix_date(F.col("l_receiptdate").cast("date")).cast("long").alias("at"),
     )
     return merge.latest_runs(events)
 

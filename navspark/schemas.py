@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,3 +50,12 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
         default = F.lit("unknown") if f.name == "data_source" else F.lit(None)
         columns.append((F.col(f.name) if f.name in df.columns else default).cast(f.dataType).alias(f.name))
     return df.select(*columns)
+
+
+def as_json(schema: T.StructType, row: Mapping[str, object]) -> str:
+    """A line that Spark's JSON reader takes for a row of the schema."""
+
+    def plain(value: object) -> object:
+        return value.isoformat() if isinstance(value, datetime.date) else value
+
+    return json.dumps({f.name: plain(row.get(f.name)) for f in schema.fields if row.get(f.name) is not None})

@@ -18,9 +18,10 @@ def ingest(store: Store, landing: str, checkpoint: str, source: str = "amfi", ma
     files = history.with_files(store.spark.readStream.schema(history.LINES).option("maxFilesPerTrigger", max_files).json(landing))
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        rows = history.parse(batch)
-        result = store.upsert_nav(rows, source, *history.ORDER)
-        store.log_run(f"stream-{epoch}", "stream", 1, status="success", rows_written=result.inserted, rows_updated=result.updated)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")  # kept with the checkpoint
+        with store.run("stream", f"stream-{query}-{epoch}") as end:
+            result = store.upsert_nav(history.parse(batch), source, *history.ORDER)
+            end |= {"rows_written": result.inserted, "rows_updated": result.updated}
 
     return (
         files.writeStream.foreachBatch(merge)

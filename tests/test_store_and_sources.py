@@ -5,16 +5,19 @@ from __future__ import annotations
 import datetime
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 from trading_days import business_days
 
 from navspark.functions.expr import business_gap
-from navspark.operators import catalogue, merge
-from navspark.panel import load_panel
+from navspark.commits import CommitLog, Files, Part, State
+from navspark.operators import catalogue, merge, validation
+from navspark.panel import clean_series, load_panel
 from navspark.plans import bootstrap, cli
 from navspark.plans.analysis import analyse
+from navspark.plans.mirror import push
 from navspark.plans.refresh import load_histories, refresh_catalogue
 from navspark.plans.report import write_reports
 from navspark.sources import history, landing, navall, synthetic
@@ -139,20 +142,168 @@ def test_the_later_file_of_a_batch_wins(spark, tmp_path):
     assert not load_histories(other, ["4"], None, DAY).ok
 
 
-def test_an_upsert_rewrites_the_buckets_it_touches(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
-    store.upsert_nav(navs(spark, [(str(c), 1, 1.0) for c in range(40)]), "amfi", "seq")
+def test_an_upsert_rewrites_the_partitions_it_touches(spark, tmp_path):
+    store = Store(spark, str(tmp_path), splits=2)
+    months = [(str(c), datetime.date(2024, m, 1), 1.0, 0) for c in range(12) for m in (1, 2)]
+    kind = "scheme_code string, date date, nav double, seq int"
+    store.upsert_nav(spark.createDataFrame(months, kind), "amfi", "seq")
     before = store.current("nav_history")
-    assert store.upsert_nav(navs(spark, [("7", 2, 2.0)]), "amfi", "seq").inserted == 1
+    # a day's feed of all schemes: no other month is written
+    feed = [(str(c), datetime.date(2024, 2, 2), 2.0 if c < 6 else 0.0, 0) for c in range(12)]
+    assert store.upsert_nav(spark.createDataFrame(feed, kind), "amfi", "seq").inserted == 6
     after = store.current("nav_history")
-    assert len(before) > 10 and sum(before[b] != after[b] for b in before) == 1
-    assert store.table("nav_history").count() == 41 and store.table("nav_history").where("updated_at is null").count() == 0
+    assert {k for k in before if before[k] != after[k]} <= {k for k in before if k[1] == 202402}
+    assert len({k[0] for k in before}) > 5 and all(before[k] == after[k] for k in before if k[1] == 202401)
+    assert store.table("nav_history").count() == 30 and store.table("nav_history").where("updated_at is null").count() == 0
     old = store.table("nav_history").where("scheme_code = '8'").first().updated_at
-    for day in (3, 4):
-        store.upsert_nav(navs(spark, [("7", day, 3.0)]), "amfi", "seq")
-    assert store.expire("nav_history") == 2 and store.expire("nav_history") == 0
-    assert store.table("nav_history").count() == 43
+    for nav in (3.0, 3.0, 4.0):
+        store.upsert_nav(spark.createDataFrame([("7", datetime.date(2024, 2, 3), nav, 0)], kind), "amfi", "seq")
     assert store.table("nav_history").where("scheme_code = '8'").first().updated_at == old
+    # what a feed leaves alone leaves no folder behind, and what is replaced goes with its version
+    folders = lambda: len(list((tmp_path / "nav_history").glob("*/bucket=*/month=*")))
+    current = len(store.current("nav_history"))
+    assert folders() > current
+    store.expire("nav_history", keep=1)
+    assert folders() == current and store.expire("nav_history", keep=1) == 0
+    assert store.table("nav_history").count() == 31
+    # a folder that a failed writer left goes when it is old
+    (tmp_path / "nav_history/dead/bucket=1/month=202401").mkdir(parents=True)
+    assert store.expire("nav_history") == 0 and store.expire("nav_history", grace=-60) == 1 and not (tmp_path / "nav_history/dead").exists()
+    assert not list((tmp_path / "_staging").glob("*"))
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    bad = navs(spark, [("1", 1, 1.0)]).withColumn("nav", F.expr("if(nav = 1.0, double(raise_error('no')), nav)"))
+    with pytest.raises(Exception, match="no"):
+        store.upsert_nav(bad, "amfi", "seq")
+    assert store.current("nav_history") == {} and not list((tmp_path / "_staging").glob("*"))
+
+
+def test_a_scan_opens_only_what_it_may_need(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    rows = [(str(c), datetime.date(2024, m, 1), 1.0, 0) for c in range(60) for m in (1, 2, 3)]
+    store.upsert_nav(spark.createDataFrame(rows, "scheme_code string, date date, nav double, seq int"), "amfi", "seq")
+    opened = lambda df: {f.split("/bucket=")[1].rsplit("/", 1)[0] for f in df.inputFiles()}
+    assert len(opened(store.table("nav_history"))) > 60
+    some = store.table("nav_history", ["3", "4", "50"])
+    assert len({x.split("/")[0] for x in opened(some)}) <= 3 and some.count() == 9
+    late = store.table("nav_history", ["3"], since=datetime.date(2024, 2, 1))
+    assert len(opened(late)) == 2 and late.count() == 2
+    assert store.table("nav_history", until=datetime.date(2024, 1, 31)).count() == 60
+    assert store.table("nav_history", []).count() == 180
+    assert len(opened(analyse(store.table("nav_history", ["3", "4"]), store.table("scheme_info"), DAY, ["3", "4"]).coverage)) <= 6
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    store, other = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    store.upsert_nav(navs(spark, [("1", 1, 1.0)]), "amfi", "seq")
+    taken = []
+
+    def meanwhile(write):
+        """The other writer commits between this one's reading and its commit, once."""
+        real = Store._write
+
+        def slow(self, *a):
+            out = real(self, *a)
+            if self is store and not taken:
+                taken.append(1)
+                write()
+            return out
+
+        return slow
+
+    for rows in ([("1", 2, 5.0)], [("2", 1, 7.0)]):  # in the same partition, and in another
+        taken.clear()
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(Store, "_write", meanwhile(lambda rows=rows: other.upsert_nav(navs(spark, rows), "other", "seq")))
+            assert store.upsert_nav(navs(spark, [("1", 3 if rows[0][0] == "1" else 4, 9.0)]), "amfi", "seq").inserted == 1
+        assert taken
+    rows = {(r.scheme_code, r.date.day): r.nav for r in store.table("nav_history").collect()}
+    assert rows == {("1", 1): 1.0, ("1", 2): 5.0, ("1", 3): 9.0, ("2", 1): 7.0, ("1", 4): 9.0}
+    with ThreadPoolExecutor(3) as pool:
+        done = [pool.submit(Store(spark, str(tmp_path)).upsert_nav, navs(spark, [("1", 10 + k, 1.0), ("2", 10 + k, 2.0)]), "amfi", "seq") for k in range(6)]
+        assert [d.result().inserted for d in done] == [2] * 6
+    assert store.table("nav_history").count() == 17
+    assert len(store.log("nav_history").versions()) == 11
+
+
+def test_log_snapshots_and_earlier_versions(spark, tmp_path):
+    log = CommitLog(Files(spark), str(tmp_path))
+    for v in range(1, 36):
+        assert log.commit(log.state(), [Part(v % 3, 0, f"p{v}", v)])
+        assert not log.commit(State(v - 1, {}), [Part(9, 0, "late", 1)])  # that version is taken
+    assert log.state().version == 35 and {p.path for p in log.state().parts.values()} == {"p33", "p34", "p35"}
+    assert {p.path for p in log.state(20).parts.values()} == {"p18", "p19", "p20"}
+    log.trim(2)
+    assert log.versions()[0] == 32 and {p.path for p in log.state().parts.values()} == {"p33", "p34", "p35"}
+
+
+def test_repeated_codes_are_one_scheme(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    batch = spark.createDataFrame([("1", "B", 2), ("1", "A", 3), ("2", "C", 1), (None, "D", 1)], "scheme_code string, scheme_name string, n int")
+    assert store.upsert_info(batch, "feed", "n") == 2 and store.upsert_info(batch.drop("n"), "feed") == 2
+    assert sorted((r.scheme_code, r.scheme_name) for r in store.table("scheme_info").collect()) == [("1", "B"), ("2", "C")]
+
+
+def test_nan_is_no_price(spark, tmp_path):
+    store, nan = Store(spark, str(tmp_path)), float("nan")
+    rows = navs(spark, [("1", 1, nan), ("1", 2, 5.0), ("1", 2, nan)])
+    assert store.upsert_nav(rows, "amfi", "seq").inserted == 1
+    assert [r.nav for r in clean_series(rows, "seq").collect()] == [5.0]
+    found = validation.findings(rows.selectExpr("*", "'n' AS scheme_name", "'amfi' AS data_source"), DAY)
+    assert found.where("check = 'non_positive_nav'").first().affected_rows == 2
+
+
+def test_runs_are_closed_and_newest_first(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for k in range(5):
+        with store.run(f"kind{k}") as end:
+            end["rows_written"] = k
+    with pytest.raises(ZeroDivisionError), store.run("broken", schemes=",".join(map(str, range(200)))):
+        1 / 0  # noqa: B018
+    got = store.recent_runs(3).collect()
+    assert [(r.kind, r.status) for r in got] == [("broken", "failed"), ("kind4", "success"), ("kind3", "success")]
+    assert got[0].message.startswith("ZeroDivisionError") and got[0].schemes.endswith(",199")
+    assert store.merge_events() == 12 and store.merge_events() == 0
+    assert [r.kind for r in store.recent_runs(3).collect()] == ["broken", "kind4", "kind3"]
+    assert len(list((tmp_path / "ingestion_runs").glob("*.json"))) == 1
+
+
+def test_mirror_push_resumes(spark, tmp_path):
+    source = Store(spark, str(tmp_path / "source"))
+    rows = [(str(c), datetime.date(y, m, 5), float(c + m), 0) for c in range(4) for y in (2015, 2024) for m in (1, 2, 3)]
+    kind = "scheme_code string, date date, nav double, seq int"
+    source.upsert_nav(spark.createDataFrame(rows, kind), "amfi", "seq")
+    source.upsert_info(spark.createDataFrame([(str(c), f"N{c}") for c in range(4)], "scheme_code string, scheme_name string"), "feed")
+    today = datetime.date(2024, 4, 1)
+    held = lambda s: sorted(tuple(r) for r in s.table("nav_history").select("scheme_code", "date", "nav", "data_source").collect())
+    clean, broken = Store(spark, str(tmp_path / "clean")), Store(spark, str(tmp_path / "broken"))
+    for mirror in (clean, broken):  # rows that the mirror has of its own
+        mirror.upsert_nav(spark.createDataFrame([("0", datetime.date(2024, 1, 5), 99.0, 0), ("9", datetime.date(2010, 1, 1), 9.0, 0)], kind), "mirror", "seq")
+    done = push(source, clean, today, batch_rows=2)
+    assert (done.schemes, done.rows, done.skipped) == (4, 12, 0) and done.batches >= 6
+    real, calls = Store.take, []
+
+    def dies(self, parts, rows):
+        calls.append(parts)
+        if len(calls) == 3:
+            raise OSError("the line is down")
+        return real(self, parts, rows)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Store, "take", dies)
+        with pytest.raises(OSError):
+            push(source, broken, today, batch_rows=2)
+    assert [r.status for r in broken.recent_runs(4).orderBy("started_at").collect()] == ["failed", "success", "success", "failed"]
+    again = push(source, broken, today, batch_rows=2)
+    assert again.skipped == sum(map(len, calls[:2])) and again.batches == done.batches - 2
+    assert held(broken) == held(clean) and len(held(clean)) == 13
+    assert push(source, clean, today).batches == 0
+    source.upsert_nav(spark.createDataFrame([("2", datetime.date(2024, 3, 6), 5.0, 0)], kind), "amfi", "seq")
+    assert push(source, clean, today).batches == 1 and len(held(clean)) == 14
+    names = {r.scheme_name for r in clean.table("scheme_info").collect()}
+    assert names == {"N0", "N1", "N2", "N3"}
 
 
 def test_catalogue_queries(spark):
@@ -213,7 +364,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["--root", root, "--category", "Debt Scheme", *told]) == 1
     assert cli.main(["--root", root, "--all-analysable", "--default-schemes", "100", "101", "--allow-synthetic", *told]) == 0
     assert "WARNING" in capsys.readouterr().err and (tmp_path / "r/report.md").exists()
-    assert cli.main(["--root", root, "--schemes", "9", "--landing", str(tmp_path / "in"), *told]) == 2 if (tmp_path / "in").exists() else True
+    gone = ["--landing", str(tmp_path / "in")]
+    assert cli.main(["--root", root, "--schemes", "9", *gone, *told]) == 2 and "nothing at" in capsys.readouterr().err
+    assert cli.main(["catalogue", "--root", root, "--feed", str(tmp_path / "gone.txt")]) == 2
+    assert Store(spark, root).recent_runs(1).first().status == "failed"
+    assert cli.main(["--root", root, "--schemes", "9", *gone, "--allow-synthetic", "--summary-file", str(tmp_path / "no/such"), *told[:4]]) == 0
+    assert "series are generated" in capsys.readouterr().err
     assert cli.main(["--root", root, "--schemes", "100", "gone", "--skip-fetch", "--fail-on-critical", *told]) == 3
     assert cli.main(["--root", root, "--schemes", "100", "gone", "--skip-fetch", *told]) == 0
     assert cli.main(["--root", root, "--schemes", "gone", "--skip-fetch", *told]) == 1
@@ -268,7 +424,7 @@ def test_bootstrap(spark, tmp_path):
     assert bootstrap.ensure(store, lambda s: 1 / 0).ok
     broken = Store(spark, str(tmp_path / "broken"))
     (tmp_path / "broken/_log/nav_history").mkdir(parents=True)
-    (tmp_path / "broken/_log/nav_history/part-0.parquet").write_text("not a table")
+    (tmp_path / "broken/_log/nav_history/v00000000000000000001.json").write_text("not a table")
     assert bootstrap.ensure(broken, lambda s: None).status == "failed"
 
 
