@@ -26,6 +26,8 @@ COMPONENTS = {
     "drawdown": ["max_drawdown_pct", "volatility_pct"],
     "consistency": ["sip_xirr_3y_pct"],
 }
+#: Stripes an octave, roughly, into which a group's values are dealt.
+STRIPES = 500
 WEIGHTS = {"returns": 0.35, "risk_adjusted": 0.35, "drawdown": 0.20, "consistency": 0.10}
 
 
@@ -36,26 +38,48 @@ def peer_universe(metrics: DataFrame, counts: DataFrame, min_observations: int =
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n", "raw_rows")
 
 
+def value_ranks(values: DataFrame, *group: str) -> DataFrame:
+    """values: group columns and a finite ``x``.  Of each distinct value of a group: ``below`` and ``upto``, the rows with less and
+    with no more, and of its group ``n``, the rows, and ``middle``, the median.
+
+    A group may hold any share of the rows.  Its distinct values are counted first, then dealt by stripes, a monotone function of
+    the value; a running count orders the values of a stripe, and a running count over a group's stripes adds what lies below.
+    So no task holds a group: a stripe is 1 / STRIPES of a value wide, and the stripes of a group are a table of its stripes.
+    """
+    stripe = F.floor(F.signum("x") * F.log1p(F.abs("x") * 1000) * STRIPES).alias("stripe")
+    counted = values.groupBy(*group, "x").agg(F.count("*").alias("c")).withColumn("stripe", stripe)
+    inside = Window.partitionBy(*group, "stripe").orderBy("x")
+    running = counted.withColumn("upto", F.sum("c").over(inside))
+    stripes = counted.groupBy(*group, "stripe").agg(F.sum("c").alias("s"))
+    whole = Window.partitionBy(*group)
+    placed = stripes.select(
+        *group, "stripe", (F.sum("s").over(whole.orderBy("stripe")) - F.col("s")).alias("before"), F.sum("s").over(whole).alias("n")
+    )
+    ranks = running.join(placed, [*group, "stripe"]).select(
+        *group, "x", "n", (F.col("before") + F.col("upto") - F.col("c")).alias("below"), (F.col("before") + F.col("upto")).alias("upto")
+    )
+    half = F.col("n") - 1
+    at = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("upto")), F.col("x")))
+    middle = ranks.groupBy(*group).agg(((at(F.floor(half / 2)) + at(F.ceil(half / 2))) / 2).alias("middle"))
+    return ranks.join(middle, list(group))
+
+
 def peer_ranks(metrics: DataFrame, ranked: list[str] = RANKED_METRICS) -> DataFrame:
     """Long: scheme_code, scheme_category, metric, value, percentile, rank, peers, category_median, higher_is_better,
-    quartile.  Mid-rank percentiles, the scheme itself included; metrics with under MIN_PEERS values are left out."""
-    long = metrics.unpivot(["scheme_code", "scheme_category"], ranked, "metric", "value").where(F.col("value").isNotNull())
+    quartile.  Mid-rank percentiles, the scheme itself included; metrics with under MIN_PEERS values are left out.
+    Schemes without a category are a category of their own."""
+    known = F.coalesce(F.concat(F.lit("="), "scheme_category"), F.lit(""))
+    long = metrics.unpivot(["scheme_code", "scheme_category"], ranked, "metric", "value").where("value is not null and not isnan(value)")
     better = ~F.col("metric").isin(LOWER_IS_BETTER)
-    signed = F.when(better, F.col("value")).otherwise(-F.col("value"))
-    group = Window.partitionBy("scheme_category", "metric")
-    up = group.orderBy("_s")
-    n = F.count("*").over(group)
-    below = F.rank().over(up) - 1
-    upto = F.count("*").over(up.rangeBetween(Window.unboundedPreceding, 0))
-    out = long.withColumn("_s", signed).withColumns({
-        "peers": n,
-        "percentile": (below + upto) / 2.0 / n * 100,
-        "rank": F.rank().over(group.orderBy(F.col("_s").desc())),
-        "category_median": F.median("value").over(group),
-        "higher_is_better": better,
-    })
-    quartile = F.least(F.lit(4), F.floor((100 - F.col("percentile")) / 25).cast("int") + 1)
-    return out.where(F.col("peers") >= MIN_PEERS).withColumn("quartile", quartile).drop("_s")
+    long = long.select("*", known.alias("_k"), F.when(better, F.col("value")).otherwise(-F.col("value")).alias("x"))
+    found = long.join(value_ranks(long.select("_k", "metric", "x"), "_k", "metric"), ["_k", "metric", "x"])
+    percentile = (F.col("below") + F.col("upto")) / 2.0 / F.col("n") * 100
+    return found.where(F.col("n") >= MIN_PEERS).select(
+        "scheme_code", "scheme_category", "metric", "value", F.col("n").alias("peers"), percentile.alias("percentile"),
+        (F.col("n") - F.col("upto") + 1).alias("rank"),
+        F.when(better, F.col("middle")).otherwise(-F.col("middle")).alias("category_median"), better.alias("higher_is_better"),
+        F.least(F.lit(4), F.floor((100 - percentile) / 25).cast("int") + 1).alias("quartile"),
+    )
 
 
 def comparisons(ranks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..config import DEFAULT, MIN_OBS_VOLATILITY, EngineConfig
 from ..functions.expr import by_scheme
 
 LOW, HIGH, STEPS = -0.9999, 10.0, 80
+GUESS, NEWTON_STEPS = 0.1, 100
 SIP_DAYS = 1096
 
 
@@ -43,28 +44,62 @@ def sip_units(nav: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     )
 
 
-def xirr(flows: Column) -> Column:
-    """The annual rate at which an array of (years, amount) is worth nothing, by bisection.
+def npv(rate: Column, flows: Column) -> Column:
+    """The value of (years, amount) flows at an annual rate, and how it changes with the rate."""
+    none = F.struct(F.lit(0.0).alias("value"), F.lit(0.0).alias("slope"))
 
-    NULL for fewer than two flows, or without a change of sign inside [LOW, HIGH]; rates above HIGH are NULL too.
-    """
+    def add(s: Column, x: Column) -> Column:
+        worth = x["amount"] * F.pow(1 + rate, -x["years"])
+        return F.struct((s["value"] + worth).alias("value"), (s["slope"] - x["years"] * worth / (1 + rate)).alias("slope"))
+
+    return F.aggregate(flows, none, add)
+
+
+def newton(flows: Column) -> Column:
+    """The rate that Newton's steps from GUESS reach; NULL where a step has no finite end above LOW, or after NEWTON_STEPS."""
+    begin = F.struct(F.lit(GUESS).alias("rate"), F.lit(False).alias("found"), F.lit(False).alias("lost"))
+
+    def step(s: Column, _: Column) -> Column:
+        # the value at the rate is worked out once a step, inside a lambda of one element
+        def judge(at: Column) -> Column:
+            move = F.try_divide(at["value"], at["slope"])
+            there = s["rate"] - move
+            here = F.abs(at["value"]) < 1e-9
+            lost = ~here & (move.isNull() | F.isnan(at["slope"]) | (F.abs(at["slope"]) == float("inf")) | F.isnan(there) | (F.abs(there) == float("inf")) | (there <= LOW))
+            return F.struct(
+                F.when(here | lost, s["rate"]).otherwise(there).alias("rate"),
+                (here | (~lost & (F.abs(move) < 1e-10))).alias("found"),
+                lost.alias("lost"),
+            )
+
+        return F.when(s["found"] | s["lost"], s).otherwise(F.transform(F.array(npv(s["rate"], flows)), judge)[0])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), begin, step, lambda s: F.when(s["found"], s["rate"]))
 
-    def npv(rate: Column, of: Column) -> Column:
-        return F.aggregate(of, F.lit(0.0), lambda s, x: s + x["amount"] * F.pow(1 + rate, -x["years"]))
 
-    def halve(state: Column, _: Column) -> Column:
-        mid = (state["lo"] + state["hi"]) / 2
-        left = F.signum(npv(mid, flows)) == state["sign"]
-        return F.struct(
-            F.when(left, mid).otherwise(state["lo"]).alias("lo"),
-            F.when(left, state["hi"]).otherwise(mid).alias("hi"),
-            state["sign"].alias("sign"),
-        )
+def bisection(flows: Column) -> Column:
+    """The rate between LOW and HIGH where the value changes its sign; NULL where it does not."""
 
-    at_low, at_high = npv(F.lit(LOW), flows), npv(F.lit(HIGH), flows)
-    begin = F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"), F.signum(at_low).alias("sign"))
+    def sign(rate: Column) -> Column:
+        return F.signum(npv(rate, flows)["value"])
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        left = sign(mid) == s["sign"]
+        return F.struct(F.when(left, mid).otherwise(s["lo"]).alias("lo"), F.when(left, s["hi"]).otherwise(mid).alias("hi"), s["sign"].alias("sign"))
+
+    begin = F.struct(F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"), sign(F.lit(LOW)).alias("sign"))
     root = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), begin, halve, lambda s: (s["lo"] + s["hi"]) / 2)
-    return F.when((F.size(flows) >= 2) & (F.signum(at_low) * F.signum(at_high) < 0), root)
+    return F.when(sign(F.lit(LOW)) * sign(F.lit(HIGH)) <= 0, root)
+
+
+def xirr(flows: Column) -> Column:
+    """The annual rate at which an array of (years, amount) is worth nothing: by Newton's steps, behind them by bisection.
+
+    NULL for fewer than two flows, for flows all in or all out, and where neither finds a rate.
+    """
+    both = F.exists(flows, lambda x: x["amount"] > 0) & F.exists(flows, lambda x: x["amount"] < 0)
+    return F.when((F.size(flows) >= 2) & both, F.coalesce(newton(flows), bisection(flows)))
 
 
 def sip_xirr(nav: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators import catalogue, peers, screener, validation
-from ..panel import clean_series
 from ..store import Store
-from . import bundle
+from . import bundle, snapshot
 from .analysis import analyse
 from .refresh import load_histories, refresh_catalogue
 from .report import console, markdown, write_reports
+from .snapshot import settled
 
 DONE, NOTHING, NOT_LOADED, CRITICAL = range(4)
 
@@ -137,10 +137,8 @@ def run_analyse(store: Store, args: argparse.Namespace) -> int:
 
 
 def run_screen(store: Store, args: argparse.Namespace) -> int:
-    nav, info = store.table("nav_history"), store.table("scheme_info")
-    metrics = bundle.rounded(bundle.scheme_metrics(clean_series(nav, "updated_at", "nav"))).join(
-        info.select("scheme_code", "scheme_name", "fund_house", "scheme_category"), "scheme_code"
-    )
+    info = store.table("scheme_info").select("scheme_code", "scheme_name", "fund_house", "scheme_category")
+    metrics = settled(bundle.rounded(snapshot.metrics(store)).join(info, "scheme_code"))
     scored = peers.composite_scores(metrics)
     if args.explain:
         parts = peers.explain_scores(scored).where(F.col("scheme_code") == args.explain)
@@ -183,6 +181,7 @@ def run_catalogue(store: Store, args: argparse.Namespace) -> int:
                 return NOT_LOADED
     store.expire("nav_history")
     store.expire("scheme_info")
+    store.expire(snapshot.NAME)
     store.merge_events()
     seen = catalogue.statistics(store.table("scheme_info"), store.table("nav_history")).first().asDict()
     lines.append("; ".join(f"{k} {v}" for k, v in seen.items()))

@@ -16,6 +16,7 @@ from .operators import benchmark as bm
 from .operators import catalogue, merge, peers, returns, risk, rolling, screener, sip, validation
 from .panel import clean_series, event_nav, load_panel, star_info, star_lines, star_nav
 from .plans import bundle, insights
+from .plans.snapshot import settled
 from .sources import history, navall
 
 TODAY = datetime.date(2001, 11, 5)
@@ -134,9 +135,9 @@ CTES = {
     "flows": """SELECT scheme_code, list(y) AS ys, list(a) AS amounts FROM (
         SELECT i.scheme_code, (i.date - t0) / 365.0 AS y, -10000.0 * k AS a FROM inst i JOIN units USING (scheme_code)
         UNION ALL SELECT scheme_code, (last - t0) / 365.0, units * e FROM units JOIN ends USING (scheme_code)) GROUP BY scheme_code""",
-    "bis": """SELECT scheme_code, 0 AS step, -0.9999::DOUBLE AS lo, 10.0::DOUBLE AS hi, ys, amounts,
+    "bis": """SELECT scheme_code, 0 AS step, -0.9999::DOUBLE AS lo, 1000.0::DOUBLE AS hi, ys, amounts,
           sign(list_sum(list_transform(list_zip(ys, amounts), lambda x: x[2] * pow(1 + -0.9999, -x[1])))) AS s,
-          sign(list_sum(list_transform(list_zip(ys, amounts), lambda x: x[2] * pow(1 + 10.0, -x[1])))) AS t
+          sign(list_sum(list_transform(list_zip(ys, amounts), lambda x: x[2] * pow(1 + 1000.0, -x[1])))) AS t
         FROM flows
         UNION ALL SELECT scheme_code, step + 1, CASE WHEN sm = s THEN mid ELSE lo END, CASE WHEN sm = s THEN hi ELSE mid END, ys, amounts, s, t
         FROM (SELECT *, (lo + hi) / 2 AS mid,
@@ -478,16 +479,16 @@ def _(spark, sf_dir):
     "recent_runs",
     """SELECT run_id, seq, status, rows_written, at, started_at FROM (
       SELECT CAST(l_orderkey AS VARCHAR) AS run_id, l_linenumber AS seq, l_linestatus AS status, CAST(floor(l_quantity) AS BIGINT) AS rows_written,
-        date_diff('day', DATE '1970-01-01', CAST(l_receiptdate AS DATE)) AS at,
-        min(date_diff('day', DATE '1970-01-01', CAST(l_receiptdate AS DATE))) OVER (PARTITION BY l_orderkey) AS started_at,
-        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_receiptdate DESC) AS n FROM lineitem)
+        date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS at,
+        min(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) OVER (PARTITION BY l_orderkey) AS started_at,
+        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC) AS n FROM lineitem)
     WHERE n = 1 ORDER BY started_at DESC, run_id DESC LIMIT 10""",
 )
 def _(spark, sf_dir):
     # an order is a run: its lines are its events, numbered from the first, and written in no order of time
     events = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_linenumber").alias("seq"), F.col("l_linestatus").alias("status"),
-        F.floor("l_quantity").cast("long").alias("rows_written"), F.unix_date(F.col("l_receiptdate").cast("date")).cast("long").alias("at"),
+        F.floor("l_quantity").cast("long").alias("rows_written"), F.unix_date(F.col("l_shipdate").cast("date")).cast("long").alias("at"),
     )
     return merge.latest_runs(events)
 
@@ -582,7 +583,8 @@ def _(spark, sf_dir):
 def _peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rounded rows of each category's deepest schemes."""
     columns = ["scheme_code", "observations", "history_years", *peers.RANKED_METRICS]
-    rows = bundle.rounded(_metrics(spark, sf_dir).select(*columns)).join(star_info(spark, sf_dir), "scheme_code")
+    # the ranks read the rows several times: work them out once
+    rows = settled(bundle.rounded(_metrics(spark, sf_dir).select(*columns)).join(star_info(spark, sf_dir), "scheme_code"))
     return peers.peer_universe(rows, rows.select("scheme_code", F.col("observations").alias("raw_rows")))
 
 

@@ -66,6 +66,9 @@ class Store:
         """The path of each (bucket, month) that holds rows."""
         return {k: p.path for k, p in self.log(name).state().parts.items()}
 
+    def new_folder(self, name: str) -> str:
+        return f"{self.root}/{name}/{uuid.uuid4().hex}"
+
     def buckets(self, codes: Iterable[str]) -> set[int]:
         rows = self.spark.createDataFrame([(c,) for c in codes], "scheme_code string")
         return {r[0] for r in rows.select(bucket_of(F.col("scheme_code"))).distinct().collect()}
@@ -112,7 +115,7 @@ class Store:
 
     def _write(self, merged: DataFrame, name: str, days: bool) -> tuple[str, list[Part], MergeResult]:
         """Write merged rows with an ``action``; the parts in which some row has one, and the rows of each action."""
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        path = self.new_folder(name)
         seen = Observation()
         counts = [F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "updated")]
         try:

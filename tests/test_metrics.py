@@ -143,12 +143,19 @@ def test_xirr(spark):
         "bad": [(d(2023, 1, 1), -1000), (d(2024, 1, 1), -1)],
         "one": [(d(2023, 1, 1), -1000)],
         "mixed": [(d(2022, 1, 1), -1000), (d(2022, 7, 15), -500), (d(2023, 3, 2), -750), (d(2024, 1, 1), 2500)],
+        "steep": [(d(2023, 1, 1), -1), (d(2024, 1, 1), 100)],  # 9,900 %, beyond the bracket
+        "ruin": [(d(2023, 1, 1), -100), (d(2024, 1, 1), 1)],  # Newton's first step falls below -1
+        "never": [(d(2022, 1, 1), -1), (d(2023, 1, 1), 3), (d(2024, 1, 1), -2.5)],  # worth less than nothing at any rate
+        "ins": [(d(2023, 1, 1), 5), (d(2024, 1, 1), 7)],
     }
     rows = [(k, [((x - f[0][0]).days / 365, float(a)) for x, a in f]) for k, f in flows.items()]
     df = spark.createDataFrame(rows, "k string, f array<struct<years: double, amount: double>>")
     got = dict(df.select("k", sip.xirr(F.col("f"))).collect())
     assert got["double"] == pytest.approx(1.0) and got["even"] == pytest.approx(0, abs=1e-9)
-    assert got["bad"] is None and got["one"] is None
+    assert got["bad"] is None and got["one"] is None and got["never"] is None and got["ins"] is None
+    assert got["steep"] == pytest.approx(99.0) and got["ruin"] == pytest.approx(-0.99)
+    ways = {r.k: (r.n, r.b) for r in df.select("k", sip.newton(F.col("f")).alias("n"), sip.bisection(F.col("f")).alias("b")).collect()}
+    assert ways["ruin"][0] is None and ways["steep"][1] is None and ways["double"] == pytest.approx((1.0, 1.0))
     npv = sum(a * (1 + got["mixed"]) ** -((x - d(2022, 1, 1)).days / 365) for x, a in flows["mixed"])
     assert npv == pytest.approx(0, abs=1e-4)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import random
+import statistics
 
 import pytest
 from trading_days import business_days
@@ -135,3 +137,26 @@ def test_leaders_take_the_smallest_code_of_equals(spark):
     df = spark.createDataFrame(rows, "scheme_code string, sharpe_ratio double, cagr_3y_pct double, max_drawdown_pct double, volatility_pct double, rolling_3y_min_pct double")
     got = {r.leader: r.scheme_code for r in insights.leaders(df).collect()}
     assert got == {"best_sharpe": "2", "worst_sharpe": "2", "highest_cagr_3y": "10", "deepest_drawdown": "10", "highest_volatility": "2"}
+
+
+@pytest.mark.parametrize("stripes", [500, 1])
+def test_ranks_equal_those_of_a_window(spark, monkeypatch, stripes):
+    """Of a category with ties, equal values on both sides of zero, one value a stripe and all in one."""
+    monkeypatch.setattr(peers, "STRIPES", stripes)
+    rng = random.Random(9)
+    values = [0.0, -0.0, 1e-9, -1e-9, 5.01, 5.02, -3.3, 1e6, -1e6]
+    rows = [(str(k), rng.choice(["a", "a", "a", "b", None]), rng.choice([*values, rng.gauss(0, 10), round(rng.gauss(5, 1), 2), None, float("nan")]), float(k % 5)) for k in range(400)]
+    df = spark.createDataFrame(rows, "scheme_code string, scheme_category string, sharpe_ratio double, volatility_pct double")
+    got = {(r.scheme_code, r.metric): r for r in peers.peer_ranks(df, ["sharpe_ratio", "volatility_pct"]).collect()}
+    seen = 0
+    for metric, at, sign in (("sharpe_ratio", 2, 1), ("volatility_pct", 3, -1)):
+        for category in ("a", "b", None):
+            peer = [(r[0], r[at]) for r in rows if r[1] == category and r[at] is not None and r[at] == r[at]]
+            for code, v in peer:
+                r, s = got[code, metric], [sign * x for _, x in peer]
+                below, upto = sum(x < sign * v for x in s), sum(x <= sign * v for x in s)
+                assert r.percentile == pytest.approx((below + upto) / 2 / len(s) * 100) and r.peers == len(s)
+                assert r["rank"] == sum(x > sign * v for x in s) + 1 and r.value == v
+                assert r.category_median == pytest.approx(statistics.median(x for _, x in peer), abs=1e-12)
+                seen += 1
+    assert seen == len(got)

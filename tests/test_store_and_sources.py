@@ -15,7 +15,8 @@ from navspark.functions.expr import business_gap
 from navspark.commits import CommitLog, Files, Part, State
 from navspark.operators import catalogue, merge, validation
 from navspark.panel import clean_series, load_panel
-from navspark.plans import bootstrap, cli
+from navspark.config import EngineConfig
+from navspark.plans import bootstrap, bundle, cli, snapshot
 from navspark.plans.analysis import analyse
 from navspark.plans.mirror import push
 from navspark.plans.refresh import load_histories, refresh_catalogue
@@ -270,6 +271,26 @@ def test_runs_are_closed_and_newest_first(spark, tmp_path):
     assert len(list((tmp_path / "ingestion_runs").glob("*.json"))) == 1
 
 
+def test_metric_snapshot_follows_the_buckets(spark, tmp_path):
+    store, days = Store(spark, str(tmp_path)), business_days("2023-01-02", 60)
+    assert snapshot.metrics(store).count() == 0
+    rows = [(str(c), d, 100.0 + c + i % 7, 0) for c in range(8) for i, d in enumerate(days)]
+    kind = "scheme_code string, date date, nav double, seq int"
+    store.upsert_nav(spark.createDataFrame(rows, kind), "amfi", "seq")
+    whole = lambda: bundle.scheme_metrics(clean_series(store.table("nav_history"), "updated_at", "nav"))
+    read = lambda df: sorted(str(r.asDict()) for r in df.select(sorted(df.columns)).collect())
+    assert read(snapshot.metrics(store)) == read(whole())
+    before = store.current(snapshot.NAME)
+    assert len(before) > 3 and snapshot.refresh(store) == 0
+    store.upsert_nav(spark.createDataFrame([("3", days[-1] + datetime.timedelta(3), 200.0, 0)], kind), "amfi", "seq")
+    assert snapshot.refresh(store) == 1
+    after = store.current(snapshot.NAME)
+    assert sum(before[k] != after[k] for k in before) == 1
+    assert read(snapshot.metrics(store)) == read(whole())
+    assert snapshot.refresh(store, EngineConfig(risk_free=0.01)) == len(before)
+    assert store.expire(snapshot.NAME, keep=1) == len(before) + 1
+
+
 def test_mirror_push_resumes(spark, tmp_path):
     source = Store(spark, str(tmp_path / "source"))
     rows = [(str(c), datetime.date(y, m, 5), float(c + m), 0) for c in range(4) for y in (2015, 2024) for m in (1, 2, 3)]
