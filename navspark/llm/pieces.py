@@ -106,8 +106,9 @@ class Model:
         told = {BYTE: lambda p: bytes([int(p[3:5], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: surface}
         self.surface = [told.get(k, lambda p: p.replace(SPACE, b" "))(p) for k, p in zip(kinds, self.pieces)]
         self.strip = self.rules.dummy_prefix or self.rules.squeeze
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.decimal = [str(i) for i in range(len(self.pieces))]
+        self.seen: dict[str, bytes] = {}  # words' ids as int32
+        self.old: dict[str, bytes] = {}
 
     def normalize(self, texts: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
         return normalize(texts, self.rules)
@@ -125,11 +126,11 @@ class Model:
             else:
                 new.append(w)
         for w, ids in zip(new, self.library.encode(new, num_threads=1) if new else []):
-            (seen if len(w) <= LONG_WORD else long)[w] = tuple(ids)
+            (seen if len(w) <= LONG_WORD else long)[w] = np.array(ids, np.int32).tobytes()
         out = []
         for ws in words:
             found = map(seen.__getitem__, ws) if not long else (long[w] if w in long else seen[w] for w in ws)
-            ids = np.fromiter(chain.from_iterable(found), np.int64)
+            ids = np.frombuffer(b"".join(found), np.int32)
             sizes = self.size[ids]
             unknown = np.flatnonzero(ids == self.unknown)
             if len(unknown):
@@ -257,7 +258,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 for ids, starts, ends in m.encode(batch.column("text").to_pylist()):
                     spans = np.stack([starts, ends], 1)
                     rows.append((
-                        len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(m.decode(ids)).hexdigest(),
+                        len(ids), hashlib.sha256(",".join(map(m.decimal.__getitem__, ids.tolist())).encode()).hexdigest(), hashlib.sha256(m.decode(ids)).hexdigest(),
                         hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest(), int((ends - starts).sum()),
                     ))
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), KINDS)] if rows else [pa.array([], t) for t in KINDS]
