@@ -1,17 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule compares one rate of a document with a cutoff.  The cutoffs are learned per stratum (language) from labelled
-documents so that rules reject few good ones: for a rule and stratum the candidate cutoffs are tested from the most
-lenient on; a cutoff is valid while the exact binomial tail P(Bin(good, risk / rules) <= rejected good) stays under
-the level, and testing stops at the first that is not (fixed-sequence testing needs no further correction).  The level
-is ``delta / (rules * strata)``, Bonferroni's correction over the families.  So with probability 1 - delta no stratum
-loses more than the share ``risk`` of its good documents to all rules together.  A valid cutoff is used only if it also
-rejects some labelled bad document.
-
-A stratum needs ln(level) / ln(1 - risk / rules) good labels for that (1,495 with four strata).  One with fewer is given one
-sequence of whole rule sets, all rules cut at the same bin, from the most lenient on: the documents that any rule rejects
-are tested at ``risk`` and ``delta / strata``.  The number of good labels alone chooses, so the guarantee is the same.
-That takes ln(delta / strata) / ln(1 - risk) good labels (217 with four strata); below it, the rules keep everything.
+Each rule compares one rate of a document with a cutoff; rates are dealt into BINS bins of a fixed width a rule.  The cutoffs
+are learned per stratum (language) from labelled documents so that the rules together reject few good ones.  A stratum's
+candidates are whole rule sets, all rules cut at the same bin, and are tested from the most lenient on: a set is valid while
+the exact binomial tail P(Bin(good, risk) <= rejected good) stays under the level, and testing stops at the first that is not
+(fixed-sequence testing needs no further correction).  The level is ``delta / strata``, Bonferroni's correction over the
+strata.  So with probability 1 - delta no stratum loses more than the share ``risk`` of its good documents.  A valid set is
+used only if it also rejects some labelled bad document.
+
+The same test serves every size: one that has fewer than ln(level) / ln(1 - risk) good labels (217 with four strata) cannot
+be passed, and then the rules keep everything.  The bound takes labelled documents as independent draws.  A document is one
+draw however many rows it has, by its worst row; copies of a text under different ids are draws each, so labels should be drawn
+from a deduplicated corpus.
 
 Strata with less than 1 / MAX_STRATA of the labelled documents are pooled in one, so at most MAX_STRATA + 1 rows are
 collected and broadcast, whatever the tables hold.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, mix64, released, sliced, stored, table, text_bytes
+from .common import carried, forget, mix64, released, sliced, stored, table, text_bytes
 
 RISK, DELTA, MAX_STRATA, BINS = 0.02, 0.05, 4096, 64
 REPEAT_WORDS = 8
@@ -138,13 +138,11 @@ def cutoff(good: np.ndarray, bad: np.ndarray, risk: float, level: float) -> int
 
 
 def fit(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> tuple[list[str], list[tuple]]:
-    """Strata of their own, and (stratum, cutoff bin of each rule or None); None is the pooled stratum."""
+    """Strata of their own, and (stratum, cutoff bin of all rules or None); None is the pooled stratum."""
     marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("good"))
     seen = counted.where(~base_failed()).join(marks, F.col("row.doc_id") == F.col("id"))
-    seen = seen.select(
-        stratum().alias("stratum"),
-        (F.col("good") > 0).cast("int").alias("good"),
-        F.array(*[rate_bin(r) for r in RULES], F.greatest(*[rate_bin(r) for r in RULES])).alias("bins"),
+    seen = seen.groupBy("id", stratum().alias("stratum")).agg(
+        (F.max("good") > 0).cast("int").alias("good"), F.max(F.greatest(*[rate_bin(r) for r in RULES])).alias("bin")
     )
     seen = stored(seen, "quality-labelled")
     total = seen.count()
@@ -153,39 +151,23 @@ def fit(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
         for r in seen.groupBy("stratum").count().where(F.col("count") * MAX_STRATA >= max(1, total)).collect()
     ]
     pooled = F.when(F.col("stratum").isin(own), F.col("stratum"))
-    cells = (
-        seen.select(pooled.alias("s"), "good", F.posexplode("bins").alias("rule", "bin"))
-        .groupBy("s", "rule", "bin", "good")
-        .count()
-        .collect()
-    )
     table_: dict[str | None, np.ndarray] = {}
-    for s, rule, b, good, n in cells:
-        table_.setdefault(s, np.zeros((len(RULES) + 1, 2, BINS + 1), np.int64))[rule, good, b] = n
+    for s, b, good, n in seen.groupBy(pooled.alias("s"), "bin", "good").count().collect():
+        table_.setdefault(s, np.zeros((2, BINS + 1), np.int64))[good, b] = n
+    forget(seen)
     level = delta / max(1, len(table_))
-
-    def cutoffs(t: np.ndarray) -> list[int | None]:
-        each = risk / len(RULES), level / len(RULES)
-        if t[0, 1].sum() * math.log1p(-each[0]) <= math.log(each[1]):
-            return [cutoff(t[k, 1], t[k, 0], *each) for k in range(len(RULES))]
-        return [cutoff(t[-1, 1], t[-1, 0], risk, level)] * len(RULES)
-
-    rows = [(s, *cutoffs(t)) for s, t in table_.items()]
-    return own, rows
+    return own, [(s, cutoff(t[1], t[0], risk, level)) for s, t in table_.items()]
 
 
 def judge(counted: DataFrame, own: list[str], rows: list[tuple]) -> DataFrame:
     """Adds base_failed and kept to row and COUNTS."""
-    schema = "cuts_of string, " + ", ".join(f"cut_{r} int" for r in RULES)
-    cuts = [("" if r[0] is None else f"={r[0]}", *r[1:]) for r in rows]
-    rules = F.broadcast(counted.sparkSession.createDataFrame(cuts, schema))
+    cuts = [("" if s is None else f"={s}", cut) for s, cut in rows]
+    rules = F.broadcast(counted.sparkSession.createDataFrame(cuts, "cuts_of string, cut int"))
     known = F.broadcast(counted.sparkSession.createDataFrame([(s,) for s in own], "own string"))
     marked = counted.join(known, stratum() == F.col("own"), "left")
     key = F.when(F.col("own").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "own"))
     marked = marked.join(rules, key == F.col("cuts_of"), "left")
-    rejected = F.lit(False)
-    for r in RULES:
-        rejected = rejected | F.coalesce(rate_bin(r) >= F.col(f"cut_{r}"), F.lit(False))
+    rejected = F.coalesce(F.greatest(*[rate_bin(r) for r in RULES]) >= F.col("cut"), F.lit(False))
     failed = base_failed()
     return marked.select("row", *COUNTS, failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
 
