@@ -20,6 +20,9 @@ SHOWN = [
     "sharpe_ratio", "max_drawdown_pct", "sip_xirr_3y_pct", "sma_signal",
 ]
 
+#: Schemes drawn in a chart; the title says so where there are more.
+CHARTED = 12
+
 
 def cell(v: object) -> str:
     return "—" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v)
@@ -100,8 +103,9 @@ def write_reports(analysis: Analysis, nav: DataFrame, out: str) -> list[str]:
     insights, assumptions = analysis.insights(), vars(analysis.config)
     text = markdown(rows, findings, insights, assumptions)
     codes = [r.scheme_code for r in rows]
-    shown = nav.where(F.col("scheme_code").isin(codes[:12]))
-    charts = [chart(collected(returns.growth(shown), "growth"), "Growth"), chart(collected(risk.drawdown_series(shown), "drawdown_pct"), "Drawdown")] if codes else []
+    shown = nav.where(F.col("scheme_code").isin(codes[:CHARTED]))
+    some = f", the first {CHARTED} of {len(codes)} schemes" if len(codes) > CHARTED else ""
+    charts = [chart(collected(returns.growth(shown), "growth"), f"Growth{some}"), chart(collected(risk.drawdown_series(shown), "drawdown_pct"), f"Drawdown{some}")] if codes else []
     files = {"report.md": text, "index.html": as_html(text, charts, rows), "report.json": as_json(rows, findings, insights, assumptions)}
     for name, content in files.items():
         (folder / name).write_text(content)

@@ -477,9 +477,9 @@ def _(spark, sf_dir):
 
 @query(
     "recent_runs",
-    """SELECT run_id, seq, status, rows_written, at, started_at FROM (
+    """SELECT run_id, seq, status, rows_written, "at", started_at FROM (
       SELECT CAST(l_orderkey AS VARCHAR) AS run_id, l_linenumber AS seq, l_linestatus AS status, CAST(floor(l_quantity) AS BIGINT) AS rows_written,
-        date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS at,
+        date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS "at",
         min(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) OVER (PARTITION BY l_orderkey) AS started_at,
         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC) AS n FROM lineitem)
     WHERE n = 1 ORDER BY started_at DESC, run_id DESC LIMIT 10""",
@@ -650,6 +650,21 @@ def _(spark, sf_dir):
     return rows.select("scheme_code", "scheme_category", "fund_house", "score", "volatility_pct", "max_drawdown_pct")
 
 
+PLAIN_RULES = [r for r in [insights.SYNTHETIC, *insights.METRIC_RULES] if r.category != "benchmark"]
+
+
+@query(
+    "insight_counts",
+    "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{r.name}' AS rule, count(*) AS n FROM full_ WHERE {r.where.format(limit=r.limit)}" for r in PLAIN_RULES)
+    + ") WHERE n > 0",
+)
+def _(spark, sf_dir):
+    rows = settled(_metrics(spark, sf_dir)).withColumns({"scheme_name": F.col("scheme_code"), "name": F.col("scheme_code")})
+    names = F.array(*[F.lit(r.name) for r in PLAIN_RULES])
+    return insights.matches(rows, PLAIN_RULES).select(F.get(names, F.col("rule")).alias("rule"), "n").distinct()
+
+
 @query(
     "insights_leaders",
     """SELECT leader, scheme_code, round(value, 6) AS value FROM (

@@ -160,3 +160,27 @@ def test_ranks_equal_those_of_a_window(spark, monkeypatch, stripes):
                 assert r.category_median == pytest.approx(statistics.median(x for _, x in peer), abs=1e-12)
                 seen += 1
     assert seen == len(got)
+
+
+def test_insights_of_many_schemes_are_bounded(spark):
+    from navspark.plans.bundle import scheme_metrics
+
+    columns = scheme_metrics(spark.createDataFrame([], "scheme_code string, date date, nav double, data_source string")).drop("notes")
+    values = {
+        "scheme_code": "cast(id as string)", "data_source": "if(id % 2 = 0, 'synthetic', 'amfi')", "sharpe_ratio": "id / 1e5", "cagr_3y_pct": "-id / 1e5",
+        "max_drawdown_pct": "-16 - id / 1e5", "max_drawdown_recovered": "id % 4 = 0", "max_drawdown_days": "cast(id as int)", "current_drawdown_pct": "-6 - id / 1e5",
+        "volatility_pct": "21 + id / 1e5", "sma_signal": "'BEARISH'", "nav_vs_sma50_pct": "-id / 1e5", "rolling_3y_min_pct": "id / 1e5",
+    }
+    metrics = spark.range(0, 300_000, 1, 8).selectExpr(*[f"cast({values.get(f.name, 'null')} as {f.dataType.simpleString()}) AS {f.name}" for f in columns.schema.fields])
+    metrics = metrics.selectExpr("*", "concat('S', scheme_code) AS scheme_name")
+    findings = spark.range(1000).selectExpr("cast(id % 400 as string) AS scheme_code", "'CRITICAL' AS severity", "'x' AS `check`")
+    told = insights.derive(metrics, findings)
+    assert [i.rank for i in told] == list(range(1, len(told) + 1)) and len(told) == 10
+    assert all(len(i.scheme_codes) <= insights.KEPT and len(i.detail) < 4000 for i in told)
+    by = {i.headline.split(" ", 1)[-1][:24]: i for i in told}
+    assert told[0].n == 150_000 and told[1].n == 400 and told[0].scheme_codes[:2] == ["0", "10"]
+    assert told[2].headline.startswith("S299999 earned most") and told[3].headline.startswith("S0 earned least")
+    assert "not the one that earned most" in told[4].detail and told[4].scheme_codes == ["0"]
+    assert "225000 scheme(s) have not made good" in told[5].detail and "and 224975 more" in told[5].detail
+    assert by["scheme(s) swing by more t"[:24]].n == 300_000 and "S299999 24.0%, — on a bad day" in by["scheme(s) swing by more t"[:24]].detail
+    assert not any("null" in i.detail for i in told)
