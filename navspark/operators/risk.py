@@ -46,7 +46,7 @@ def return_moments(nav: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
 def tail_aggs() -> list[Column]:
     """Aggregates of a column r, given the quantile q of its scheme."""
     return [
-        (F.abs(F.first("q")) * 100).alias("var_95_pct"),
+        (F.abs(F.max("q")) * 100).alias("var_95_pct"),
         (F.abs(F.avg(F.when(F.col("r") <= F.col("q"), F.col("r")))) * 100).alias("cvar_95_pct"),
     ]
 
@@ -68,9 +68,13 @@ def running_peak() -> Column:
     return F.max("nav").over(by_scheme().rowsBetween(Window.unboundedPreceding, 0))
 
 
-def trough_agg() -> Column:
+def trough_value() -> Column:
     """The first row furthest under its running peak pk, as (dd, date, pk)."""
-    return F.min(F.struct((F.col("nav") / F.col("pk") - 1).alias("dd"), "date", "pk")).alias("m")
+    return F.min(F.struct((F.col("nav") / F.col("pk") - 1).alias("dd"), "date", "pk"))
+
+
+def trough_agg() -> Column:
+    return trough_value().alias("m")
 
 
 def drawdown_aggs() -> list[Column]:

@@ -17,24 +17,29 @@ def month_number(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
-def instalments(nav: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Rows on which instalments trade: n of them, each on the first trading day at or after the first of a month.
+def trades(prev: str = "prev", first: str = "first", last: str = "last", rows: str = "obs") -> Column:
+    """The instalments that trade on a row; NULL where none does.  Columns: the row's date, that of the row before it, and the
+    first date, last date and number of rows of its scheme.
 
-    A row's instalments are the month starts after the row before it, so no forward join is needed.  Those that would
-    trade on the last day are skipped, and schemes that start after the period begins have none.
+    Each instalment trades on the first trading day at or after the first of a month, so a row's are the month starts after
+    the row before it, and no forward join is needed.  Those that would trade on the last day are skipped, and schemes that
+    start after the period begins have none.
     """
+    start = F.date_sub(last, SIP_DAYS)
+    before = F.add_months(F.trunc(start, "MM"), -1)
+    low = F.greatest(F.coalesce(F.trunc(prev, "MM"), before), before)
+    n = month_number(F.col("date")) - month_number(low)
+    return F.when((F.col(first) <= start) & (F.col(rows) >= MIN_OBS_VOLATILITY) & (n > 0) & (F.col("date") < F.col(last)), n)
+
+
+def instalments(nav: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Rows on which instalments trade: n of them."""
     whole = Window.partitionBy("scheme_code")
     rows = nav.select(
         "scheme_code", "date", "nav", F.lag("date").over(by_scheme()).alias("prev"),
         F.min("date").over(whole).alias("first"), F.max("date").over(whole).alias("last"), F.count("*").over(whole).alias("obs"),
     )
-    start = F.date_sub("last", SIP_DAYS)
-    before = F.add_months(F.trunc(start, "MM"), -1)
-    low = F.greatest(F.coalesce(F.trunc("prev", "MM"), before), before)
-    n = month_number(F.col("date")) - month_number(low)
-    return rows.where((F.col("first") <= start) & (F.col("obs") >= MIN_OBS_VOLATILITY)).withColumn("n", n).where(
-        (F.col("n") > 0) & (F.col("date") < F.col("last"))
-    )
+    return rows.withColumn("n", trades()).where("n is not null")
 
 
 def sip_units(nav: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -102,16 +107,31 @@ def xirr(flows: Column) -> Column:
     return F.when((F.size(flows) >= 2) & both, F.coalesce(newton(flows), bisection(flows)))
 
 
+def plan_aggs(n: str, config: EngineConfig = DEFAULT) -> list[Column]:
+    """Aggregates of the rows' instalments: the first day, what was paid in when, and the units bought."""
+    trade = F.col(n).isNotNull()
+    paid = F.struct("date", (-F.col(n) * config.sip_amount).alias("amount"))
+    return [
+        F.min(F.when(trade, F.col("date"))).alias("sip_from"), F.array_sort(F.collect_list(F.when(trade, paid))).alias("sip_paid"),
+        F.sum(F.when(trade, F.col(n) * config.sip_amount / F.col("nav"))).alias("sip_units"),
+    ]
+
+
+def plan_rate(last: str, latest: str) -> Column:
+    """sip_xirr_3y_pct from plan_aggs and the last day and its NAV, at which all is sold."""
+    years = lambda day: F.datediff(day, F.col("sip_from")) / 365.0
+    end = F.struct(years(F.col(last)).alias("years"), (F.col("sip_units") * F.col(latest)).alias("amount"))
+    paid = F.transform("sip_paid", lambda x: F.struct(years(x["date"]).alias("years"), x["amount"].alias("amount")))
+    rate = F.when(F.col("sip_from").isNotNull(), xirr(F.array_append(paid, end)))
+    return (rate * 100).alias("sip_xirr_3y_pct")
+
+
 def sip_xirr(nav: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """sip_xirr_3y_pct of a constant monthly amount over three years, sold at the last NAV."""
-    bought = instalments(nav, config).groupBy("scheme_code").agg(
-        F.min("date").alias("t0"), F.max("last").alias("last"),
-        F.array_sort(F.collect_list(F.struct("date", (-F.col("n") * config.sip_amount).alias("amount")))).alias("in"),
-        F.sum(F.col("n") * config.sip_amount / F.col("nav")).alias("units"),
-    )
-    latest = nav.groupBy("scheme_code").agg(F.max_by("nav", "date").alias("latest"))
-    years = lambda day: F.datediff(day, F.col("t0")) / 365.0
-    end = F.struct(years(F.col("last")).alias("years"), (F.col("units") * F.col("latest")).alias("amount"))
-    flows = F.array_append(F.transform("in", lambda x: F.struct(years(x["date"]).alias("years"), x["amount"].alias("amount"))), end)
-    rows = bought.join(latest, "scheme_code").select("scheme_code", flows.alias("flows"))
-    return rows.select("scheme_code", (xirr(F.col("flows")) * 100).alias("sip_xirr_3y_pct"))
+    whole = Window.partitionBy("scheme_code")
+    rows = nav.select(
+        "scheme_code", "date", "nav", F.lag("date").over(by_scheme()).alias("prev"),
+        F.min("date").over(whole).alias("first"), F.max("date").over(whole).alias("last"), F.count("*").over(whole).alias("obs"),
+    ).withColumn("n", trades())
+    found = rows.groupBy("scheme_code").agg(F.max("last").alias("last"), F.max_by("nav", "date").alias("latest"), *plan_aggs("n", config))
+    return found.where("sip_from is not null").select("scheme_code", plan_rate("last", "latest"))

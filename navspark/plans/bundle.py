@@ -1,10 +1,10 @@
-"""The full metric row of every scheme, from co-partitioned per-family aggregates."""
+"""The full metric row of every scheme, from one pass over its series."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DAYS_PER_YEAR, DEFAULT, MIN_OBS_VOLATILITY, EngineConfig
@@ -36,38 +36,42 @@ def notes() -> Column:
 def scheme_metrics(nav: DataFrame, benchmark: str | None = None, config: EngineConfig = DEFAULT) -> DataFrame:
     """All metrics of cleaned series (scheme_code, date, nav, data_source); benchmark columns are NULL without one.
 
-    The series are exchanged once by scheme.  All row-level measures come from windows over that one distribution, then
-    two aggregations: one for everything that needs a single pass, one for tails and drawdowns, which need its results.
+    The series are exchanged once by scheme and sorted once by day.  Measures of a row and its past come from one ordered
+    window; the quantile and the trough, which others need, from a window over the whole scheme behind it; everything
+    else from one aggregation.  Without a benchmark nothing is joined.
     """
     nav = nav.repartition("scheme_code")
-    rows = returns.with_last_date(returns.moving_averages(nav)).withColumns({
+    whole = Window.partitionBy("scheme_code")
+    rows = returns.moving_averages(nav).withColumns({
         "r": F.col("nav") / F.lag("nav").over(by_scheme()) - 1,
+        "prev": F.lag("date").over(by_scheme()),
         "pk": risk.running_peak(),
         "a": rolling.annualised_since(),
+    }).withColumns({
+        "first": F.min("date").over(whole), "last_date": F.max("date").over(whole), "obs": F.count("*").over(whole),
+        "low": F.percentile("r", F.lit(0.05)).over(whole), "known": F.count("r").over(whole), "m": risk.trough_value().over(whole),
     })
-    first = rows.groupBy("scheme_code").agg(
+    enough = F.col("known") >= MIN_OBS_VOLATILITY
+    rows = rows.withColumns({"q": F.when(enough, F.col("low")), "k": sip.trades(last="last_date")})
+    found = rows.groupBy("scheme_code").agg(
         F.count("*").alias("observations"), F.min("date").alias("first_date"), F.max("date").alias("end_date"),
         F.max_by("data_source", "date").alias("data_source"), F.min_by("nav", "date").alias("start"),
         F.max_by("nav", "date").alias("end"), F.max("nav").alias("top"),
         F.max_by(F.struct("nav", "sma_50", "sma_200"), "date").alias("x"),
-        F.percentile("r", F.lit(0.05)).alias("q"), risk.trough_agg(),
         *returns.horizon_starts(), *risk.moment_aggs(config), *rolling.stat_aggs(config),
+        *risk.drawdown_aggs(), *risk.tail_aggs(), *sip.plan_aggs("k", config),
     )
-    enough = F.col("n_r") >= MIN_OBS_VOLATILITY
-    hints = first.select("scheme_code", "m", F.when(enough, F.col("q")).alias("q"))
-    second = rows.select("scheme_code", "date", "nav", "r").join(hints, "scheme_code").groupBy("scheme_code")
-    second = second.agg(*risk.drawdown_aggs(), *risk.tail_aggs())
-    second = second.select("scheme_code", *risk.drawdown_columns(), "var_95_pct", "cvar_95_pct")
     years = F.datediff("end_date", "first_date") / DAYS_PER_YEAR
     since = F.when(F.col("observations") >= 2, cagr_pct(F.col("start"), F.col("end"), years))
-    base = first.select(
+    base = found.select(
         "scheme_code", "observations", "first_date", F.col("end_date").alias("as_of"),
         F.round(years, 6).alias("history_years"), "data_source", *returns.trailing_columns(),
         since.alias("since_inception_cagr_pct"), *risk.moment_columns(config),
         ((F.col("end") / F.col("top") - 1) * 100).alias("current_drawdown_pct"),
         *rolling.stat_columns(F.col("observations")), *returns.signal_columns(),
+        *risk.drawdown_columns(), "var_95_pct", "cvar_95_pct", sip.plan_rate("end_date", "end"),
     )
-    families = [second, sip.sip_xirr(nav, config)]
+    families = []
     if benchmark is not None:
         aligned = bm.align(nav, benchmark)
         families += [bm.regression(aligned, config), bm.capture_ratios(aligned), bm.excess_1y(aligned)]
