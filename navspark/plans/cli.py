@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import importlib
 import sys
 from pathlib import Path
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators import catalogue, peers, screener, validation
+from ..sources import landing
 from ..store import Store
 from . import bundle, snapshot
 from .analysis import analyse
@@ -68,6 +70,11 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--csv", help="folder for the whole screen as CSV")
     c.add_argument("--no-navs", action="store_true", help="leave the feed's NAVs out")
     c.add_argument("--backfill", type=int, default=0, metavar="N", help="load landed histories of the next N schemes in the queue")
+    c.add_argument("--fetcher", metavar="MODULE:FUNCTION", help="fetches a scheme's history; without one, landed payloads are loaded")
+    c.add_argument("--time-budget", type=float, metavar="SECONDS", help="begin no fetch after so long")
+    c.add_argument("--delay", type=float, default=1.0, metavar="SECONDS", help="wait between a lane's fetches")
+    c.add_argument("--lanes", type=int, default=4, help="fetches at a time")
+    c.add_argument("--run", help="name of the backfill; one that died goes on under its name (default: the day)")
     c.add_argument("--backfill-category")
     c.add_argument("--backfill-fund-house")
     return p
@@ -160,6 +167,18 @@ def run_screen(store: Store, args: argparse.Namespace) -> int:
     return NOTHING if empty else DONE
 
 
+def fetched(store: Store, args: argparse.Namespace, codes: list[str]) -> landing.LandingResult:
+    """The schemes' histories, fetched into the landing folder as an audited run."""
+    module, name = args.fetcher.split(":")
+    with store.run("backfill", schemes=",".join(codes)) as end:
+        got = landing.land_histories(
+            store.spark, getattr(importlib.import_module(module), name), codes, args.landing, args.run or args.today.isoformat(),
+            args.time_budget, args.lanes, delay=args.delay,
+        )
+        end |= {"status": got.status, "message": "; ".join(f"{k}: {v}" for k, v in got.failed.items())}
+    return got
+
+
 def run_catalogue(store: Store, args: argparse.Namespace) -> int:
     lines = []
     if args.feed:
@@ -168,11 +187,20 @@ def run_catalogue(store: Store, args: argparse.Namespace) -> int:
             print(got.error, file=sys.stderr)
             return NOT_LOADED
         lines.append(f"{got.parsed} schemes in {got.categories} categories of {got.fund_houses} houses; newest NAV {got.newest}; {got.navs.inserted} NAVs added, {got.navs.updated} changed")
+    if args.fetcher and not (args.landing and ":" in args.fetcher):
+        print("--fetcher is MODULE:FUNCTION and needs --landing", file=sys.stderr)
+        return NOTHING
     if args.backfill:
         queue = catalogue.backfill_queue(
             store.table("scheme_info"), store.table("nav_history"), args.backfill_category, args.backfill_fund_house, args.backfill
         )
         codes = [r.scheme_code for r in queue.select("scheme_code").collect()]
+        if codes and args.fetcher:
+            got = fetched(store, args, codes)
+            lines.append(f"{len(got.landed)} histories fetched, {len(got.failed)} failed, {len(got.left)} left for want of time")
+            if got.status == "failed":
+                print(lines[-1], file=sys.stderr)
+                return NOT_LOADED
         done = load_histories(store, codes, args.landing, args.today) if codes else None
         if done:
             lines.append(f"history of {len(done.loaded)} schemes loaded, {len(done.failed)} not landed; {done.rows} NAVs added")

@@ -400,6 +400,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([*screen, "--min", "sharpe_ratio=1000"]) == 1 and cli.main([*screen, "--min", "nonsense=1"]) == 1
     assert cli.main([*screen, "--explain", "100"]) == 0 and cli.main([*screen, "--explain", "x"]) == 1
     data = json.dumps({"data": [{"date": "02-01-2024", "nav": "10"}]})
+    backfill = ["catalogue", "--root", root, "--backfill", "5", "--backfill-category", "Equity Scheme - Large Cap"]
+    assert cli.main([*backfill, "--fetcher", "math:no"]) == 1
+    assert cli.main([*backfill, "--fetcher", "builtins:len", "--landing", str(tmp_path / "fetched"), "--delay", "0", "--time-budget", "-1"]) == 2
+    assert "left for want of time" in capsys.readouterr().err
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text(json.dumps({"scheme_code": "103", "payload": data}) + "\n")
     assert cli.main(["catalogue", "--root", root, "--backfill", "5", "--backfill-category", "Debt Scheme", "--landing", str(tmp_path / "in")]) == 0
@@ -413,7 +417,7 @@ def test_queries_run_on_driver_tables(spark, name):
     assert queries.queries()[name](spark, "/root/testdata/sf0.001").count() >= 0
 
 
-def test_landing_retries_and_budget(tmp_path):
+def test_asking_retries_and_stops_in_time():
     assert list(landing.waits(3, 2.0, lambda: 1.0)) == [0.0, 2.0, 4.0] and list(landing.waits(0, 2.0)) == [0.0]
     slept, calls = [], {"flaky": 0}
 
@@ -422,19 +426,52 @@ def test_landing_retries_and_budget(tmp_path):
             calls[code] += 1
         if code == "bad" or calls["flaky"] in (1, 2):
             raise OSError("gone")
-        return {"data": [{"date": "02-01-2024", "nav": "10"}]}
-
-    got = landing.land_histories(fetch, ["flaky"], str(tmp_path / "in"), backoff=2.0, sleep=slept.append)
-    assert got.landed == ["flaky"] and len(slept) == 2 and 1 <= slept[0] <= 3 and 2 <= slept[1] <= 6
-    got = landing.land_histories(fetch, ["1", "bad", "2"], str(tmp_path / "in"), delay=0, tries=1, sleep=lambda _: None)
-    assert (got.landed, list(got.failed), got.status) == (["1", "2"], ["bad"], "partial") and "gone" in got.failed["bad"]
+        return {"data": []}
+
+    ask = lambda codes, *a, **k: list(landing.asked(fetch, codes, landing.Manners(*a), sleep=slept.append, **k))
+    got = ask(["flaky"], 3, 2.0)
+    assert got == [("flaky", '{"data": []}', "landed", None, 3)] and len(slept) == 2 and 1 <= slept[0] <= 3 and 2 <= slept[1] <= 6
+    slept.clear()
+    got = ask(["1", "bad", "2"], 1, 2.0, 0.5)
+    assert [r[2] for r in got] == ["landed", "failed", "landed"] and "gave up after 1 tries: gone" in got[1][3] and slept == [0.5, 0.5]
     ticks = iter(range(10))
-    got = landing.land_histories(fetch, ["1", "2", "3"], str(tmp_path / "in"), budget_seconds=2, delay=0, clock=lambda: next(ticks), sleep=lambda _: None)
-    assert got.landed == ["1"] and got.left == ["2", "3"]
-    assert landing.land_histories(fetch, ["bad"], str(tmp_path / "none"), tries=1, sleep=lambda _: None).status == "failed"
+    got = ask(["1", "2", "3"], 1, 2.0, 0.0, 1.0, clock=lambda: next(ticks))
+    assert [r[2] for r in got] == ["landed", "left", "left"]
     assert landing.silence("127.0.0.1", 1, 0.2)
 
 
+def test_a_backfill_that_dies_goes_on(spark, tmp_path):
+    """Every history is fetched once, by tasks; what a task landed stays when the job dies."""
+    asked, codes = tmp_path / "asked", [str(c) for c in range(20)]
+    asked.mkdir()
+
+    def fetcher(kills):
+        def fetch(code):
+            if code in kills:
+                raise SystemExit("the executor is gone")
+            if code == "7":
+                raise OSError("no such scheme")
+            with (asked / code).open("a") as f:
+                f.write("x")
+            return {"data": [{"date": "02-01-2024", "nav": str(10 + int(code))}]}
+
+        return fetch
+
+    land = lambda kills, **k: landing.land_histories(spark, fetcher(kills), codes, str(tmp_path / "in"), "monday", lanes=2, group=2, delay=0, tries=1, **k)
+    with pytest.raises(Exception, match="gone"):
+        land({"12"})
+    first = {p.name for p in asked.iterdir()}
+    assert len(first) >= 9
+    got = land(set())
+    assert (len(got.landed), list(got.failed), got.left, got.status) == (19, ["7"], [], "partial")
+    assert all((asked / c).read_text() == "x" for c in first - {"13", "14", "15"})  # other tasks of the wave may have died unfinished
+    assert len(land(set()).landed) == 19 and (asked / "0").read_text() == "x"
+    store = Store(spark, str(tmp_path / "s"))
+    assert load_histories(store, codes, str(tmp_path / "in"), DAY).failed == ["7"]
+    assert {r.nav for r in store.table("nav_history").collect()} == {10.0 + c for c in range(20) if c != 7}
+    assert landing.land_histories(spark, fetcher(set()), ["1", "2"], str(tmp_path / "in"), "tuesday", budget_seconds=-1).left == ["1", "2"]
+
+
 def test_bootstrap(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert bootstrap.ensure(store, lambda s: None, enabled=False).status == "skipped"
