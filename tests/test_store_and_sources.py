@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
@@ -24,6 +25,7 @@ from navspark.plans.report import write_reports
 from navspark.sources import history, landing, navall, synthetic
 from navspark.store import Store
 from navspark.streaming.ingest import ingest
+from navspark.streaming.watch import watch_landing
 
 FEED = """Scheme Code;ISIN Div Payout/ISIN Growth;ISIN Div Reinvestment;Scheme Name;Net Asset Value;Date
 
@@ -327,6 +329,48 @@ def test_mirror_push_resumes(spark, tmp_path):
     assert names == {"N0", "N1", "N2", "N3"}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_the_stream_finds_what_the_gate_finds(spark, tmp_path, seed):
+    """Of files in any split and order, with late and restated days."""
+    rng, days = random.Random(seed), business_days("2024-01-01", 60)
+    rows = []
+    for code in ("1", "2", "3"):
+        some = sorted(rng.sample(days, 30)) if code != "3" else days[:1]
+        rows += [(code, d, round(rng.choice([10, 10, 10, 14]) + rng.random(), 2)) for d in some]
+    restated = [(c, d, v * 2) for c, d, v in rng.sample(rows, 5)]
+    rng.shuffle(rows)
+    landed = {}
+    for k, part in enumerate([rows[:20], rows[20:45], rows[45:], restated]):
+        for code in {r[0] for r in part}:
+            data = [{"date": d.strftime("%d-%m-%Y"), "nav": str(v)} for c, d, v in part if c == code]
+            path = tmp_path / f"in/{k}-{code}.json"
+            path.parent.mkdir(exist_ok=True)
+            path.write_text(json.dumps({"scheme_code": code, "payload": json.dumps({"data": data})}) + "\n")
+            os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+        landed |= {(c, d): v for c, d, v in part}
+    seen = {}
+
+    def keep(batch, _):
+        seen.update({r.scheme_code: r for r in batch.collect()})
+
+    for stop in (True, False):  # resumes from its checkpoint
+        query = watch_landing(spark, str(tmp_path / "in"), 2).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
+        query.trigger(availableNow=True).start().awaitTermination(200)
+        if stop:
+            extra = [("2", days[-1] + datetime.timedelta(40), 11.0)]
+            data = [{"date": d.strftime("%d-%m-%Y"), "nav": str(v)} for _, d, v in extra]
+            (tmp_path / "in/z.json").write_text(json.dumps({"scheme_code": "2", "payload": json.dumps({"data": data})}) + "\n")
+            landed |= {(c, d): v for c, d, v in extra}
+    raw = spark.createDataFrame([(c, d, float(v), "n", "amfi") for (c, d), v in landed.items()], "scheme_code string, date date, nav double, scheme_name string, data_source string")
+    for r in validation.ingredients(raw, days[-1]).collect():
+        got = seen[r.scheme_code]
+        same = ["observations", "first_date", "last_date", "extreme", "gaps", "largest_gap"]
+        assert [got[c] for c in same] == [r[c] for c in same], r.scheme_code
+        assert got.worst_move == pytest.approx(r.worst_move) if r.worst_move is not None else got.worst_move is None
+        assert r.worst_move is None or got.worst_date == r.worst_date
+    assert seen["1"].late > 0 and seen["3"].observations == 1 and sum(r.gaps for r in seen.values()) > 0
+
+
 def test_catalogue_queries(spark):
     info = spark.createDataFrame(
         [("1", "Alpha Fund", "H1", "Eq", "Open Ended Schemes"), ("2", "Beta alpha", "H2", "Eq", "Interval Fund"), ("3", "Gamma", None, "Debt", "Close")],
