@@ -253,7 +253,9 @@ def search(rows: DataFrame, patterns: Patterns, remove: bool, whole: bool) -> Da
                 new = [pa.array(sizes), pa.array(spans, SPANS), pa.array([sorted(x) for x in found], pa.list_(pa.binary())), pa.array(clean, pa.string())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in beside], *new], [*beside, *[f.name for f in FOUND]])
 
-    return rows.mapInArrow(released(find), T.StructType([*[rows.schema[c] for c in beside], *FOUND]))
+    out = rows.mapInArrow(released(find), T.StructType([*[rows.schema[c] for c in beside], *FOUND]))
+    out.held = held
+    return out
 
 
 def united(rows: DataFrame, parts: list[DataFrame], remove: bool) -> DataFrame:
@@ -305,6 +307,7 @@ def annotate(
         block = different.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
         found = search(rows.select("row_id", "text"), Patterns([bytes(r[0]) for r in block.toLocalIterator()]), False, whole)
         parts.append(stored(found.where("size(spans) > 0").select("row_id", "spans", "windows"), "decontamination-spans"))
+        found.held.destroy()  # its matches are written
     return united(rows, parts, remove)
 
 

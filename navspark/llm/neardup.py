@@ -184,7 +184,9 @@ def groups_of(texts: DataFrame) -> DataFrame:
     stars = stored(stars, "neardup-stars")
     sizes = stars.groupBy("centre").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("blocks"))
     members = stars.join(sizes, "centre").unionByName(sizes.select("centre", F.col("centre").alias("key"), "blocks"))
-    return stored(members, "neardup-groups")
+    members = stored(members, "neardup-groups")
+    forget(stars)
+    return members
 
 
 def classes_of(texts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -217,8 +219,9 @@ def classes_of(texts: DataFrame, docs: DataFrame) -> DataFrame:
     )
     late = stored(compared(sets, outside.unionByName(others)).where("a != b"), "neardup-links")
     if not late.isEmpty():
+        forget(classes)
         classes = components(links.unionByName(late))
-    forget(members, sets, labelled, late)
+    forget(members, sets, labelled, links, late)
     return classes.withColumnsRenamed({"node": "key", "label": "class"})
 
 
@@ -248,7 +251,7 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     few, many = F.broadcast(heads.where(hot)), heads.where(~hot)
     rest = keyed.join(few.select("class"), "class", "left_anti")
     out = stored(keyed.join(few, "class").unionByName(rest.join(many, "class")), "neardup-classes")
-    forget(seen, texts, keyed)
+    forget(seen, texts, keyed, heads)
     return rows, out, total
 
 

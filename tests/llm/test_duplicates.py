@@ -88,7 +88,10 @@ def brute_classes(rows):
     return groups, sets
 
 
-def test_near_duplicates(make, corpus):
+@pytest.mark.parametrize("hot", [4096, 6, 1])
+def test_near_duplicates(make, corpus, monkeypatch, hot):
+    """With all keys and classes broadcast, with some, and with none."""
+    monkeypatch.setattr(neardup, "HOT", hot)
     groups, sets = brute_classes(corpus)
     want = Counter()
     for members in groups.values():

@@ -28,7 +28,10 @@ def words(text):
     return WORD.findall(lower(text))
 
 
-def test_license_scan(spark, make, corpus):
+@pytest.mark.parametrize("rows", [200_000, 1])
+def test_license_scan(spark, make, corpus, monkeypatch, rows):
+    """With the templates' prefixes broadcast, and exchanged."""
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", rows)
     rng = random.Random(2)
     lines = ["Licensed under CC BY-NC 4.0.", "All rights\nreserved! all rights reserved", "the General PUBLIC license", "Released under the MIT license", "cc by cc by cc"]
     extra = []
@@ -329,7 +332,10 @@ def test_toxicity_query(spark, tmp_path):
     assert len(got) == 600 and sum(r.predicted == (r.doc_id % 3 == 0) for r in held) >= 0.97 * len(held)
 
 
-def test_base_model(make, corpus):
+@pytest.mark.parametrize("frequent", [524_288, 40])
+def test_base_model(make, corpus, monkeypatch, frequent):
+    """With the counts of all words broadcast, and with most of them joined."""
+    monkeypatch.setattr(lm, "FREQUENT", frequent)
     docs = make(corpus).withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2)
     got = lm.score(docs, lm.counted(docs.where("not held_out"))).collect()
     tokens = lambda t: [*TOKEN.findall(lower(t)), None]

@@ -32,7 +32,10 @@ def test_words_give_the_librarys_ids(encoder, monkeypatch):
         assert encoder(text.encode()) == encoder.whole(text), ascii(text)
 
 
-def test_shards_round_trip(spark, make, corpus, encoder):
+@pytest.mark.parametrize("shards", [1_000_000, 0])
+def test_shards_round_trip(spark, make, corpus, encoder, monkeypatch, shards):
+    """With the shards' list broadcast, and joined."""
+    monkeypatch.setattr(sstable, "BROADCAST_SHARDS", shards)
     path = new_path(spark, "test-sst")
     sstable.write(make(corpus), path, shard_bytes=3000, block_bytes=600)
     got = sstable.read(spark, path).collect()
