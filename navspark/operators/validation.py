@@ -70,17 +70,16 @@ def findings(raw: DataFrame, today: datetime.date, config: EngineConfig = DEFAUL
         ))
         for cond, sev, check, msg, k in rules
     ]
-    found = ingredients(raw, today, config).select("scheme_code", F.explode(F.array_compact(F.array(*rows))).alias("f"))
-    found = found.select("scheme_code", "f.*")
-    if expected is None:
-        return found
-    absent = expected.select("scheme_code").distinct().join(raw.select("scheme_code").distinct(), "scheme_code", "left_anti")
-    return found.unionByName(
-        absent.select(
-            "scheme_code", F.lit("CRITICAL").alias("severity"), F.lit("no_data").alias("check"),
-            F.lit("No NAV rows").alias("message"), F.lit(0).cast("long").alias("affected_rows"),
-        )
-    )
+    seen, told = ingredients(raw, today, config), F.array_compact(F.array(*rows))
+    if expected is not None:
+        # a scheme that should be there and has no row has no observations
+        seen = seen.join(expected.select("scheme_code").where("scheme_code is not null").distinct(), "scheme_code", "full_outer")
+        absent = F.struct(
+            F.lit("CRITICAL").alias("severity"), F.lit("no_data").alias("check"), F.lit("No NAV rows").alias("message"),
+            F.lit(0).cast("long").alias("affected_rows"),
+        )
+        told = F.when(F.col("observations").isNull(), F.array(absent)).otherwise(told)
+    return seen.select("scheme_code", F.explode(told).alias("f")).select("scheme_code", "f.*")
 
 
 def coverage(raw: DataFrame, today: datetime.date, config: EngineConfig = DEFAULT) -> DataFrame:

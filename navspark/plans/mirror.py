@@ -63,6 +63,9 @@ def batches(parts: list[Part], rows: int) -> Iterator[list[Part]]:
 def push(source: Store, mirror: Store, today: datetime.date, years: float = DEFAULT.mirror_years, batch_rows: int = BATCH_ROWS) -> PushResult:
     """All schemes and the NAVs of the last years.  The push and each of its batches are audited runs of the mirror; an error
     closes both as failed and goes on to the caller."""
+    if mirror.current("nav_history") and source.n_buckets != mirror.n_buckets:
+        raise ValueError(f"the mirror has {mirror.n_buckets} buckets, the source {source.n_buckets}")
+    mirror.n_buckets = source.n_buckets
     since, push_id = horizon(today, years), uuid.uuid4().hex
     with mirror.run("push", push_id, message=f"since {since}") as end:
         info = source.table("scheme_info")

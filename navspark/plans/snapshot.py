@@ -12,27 +12,33 @@ import re
 import tempfile
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..commits import Part
 from ..config import DEFAULT, EngineConfig
 from ..panel import clean_series
-from ..store import Store, bucket_of
+from ..store import Store
 from . import bundle
 
 NAME = "scheme_metrics"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read from there.  The folder is the cluster's (spark.checkpoint.dir); only where all
-    tasks run on one machine and none is set, a temporary one."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the cluster's (spark.checkpoint.dir); only where all tasks run on one machine and none is set, a
+    temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(base or tempfile.mkdtemp(prefix="navspark-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -60,7 +66,7 @@ def refresh(store: Store, config: EngineConfig = DEFAULT) -> int:
     parts = [p for p in store.log("nav_history").state().parts.values() if p.bucket in due]
     rows = bundle.scheme_metrics(clean_series(store.rows_of("nav_history", parts), "updated_at", "nav"), config=config)
     path = store.new_folder(NAME)
-    placed = rows.withColumns({"bucket": bucket_of(F.col("scheme_code")), "month": F.lit(0)})
+    placed = rows.withColumns({"bucket": store.bucket_of(F.col("scheme_code")), "month": F.lit(0)})
     placed.repartition("bucket").write.partitionBy("bucket", "month").parquet(path)
     written = store.spark.read.schema("bucket int, month int").parquet(path).groupBy("bucket").count().collect()
     made = {r.bucket: Part(r.bucket, 0, f"{path}/bucket={r.bucket}/month=0", r["count"], source=due[r.bucket]) for r in written}

@@ -6,6 +6,7 @@ Computed doubles are rounded on both sides, since sums run in different orders.
 from __future__ import annotations
 
 import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,10 @@ from .operators import benchmark as bm
 from .operators import catalogue, merge, peers, returns, risk, rolling, screener, sip, validation
 from .panel import clean_series, event_nav, load_panel, star_info, star_lines, star_nav
 from .plans import bundle, insights
-from .plans.snapshot import settled
+from .plans.analysis import Analysis
+from .plans.snapshot import settled, shared_folder
 from .sources import history, navall
+from .store import Store
 
 TODAY = datetime.date(2001, 11, 5)
 BENCHMARK = "1"
@@ -428,6 +431,27 @@ def _(spark, sf_dir):
     return merge.merge_counts(_upserted(spark, sf_dir))
 
 
+@query(
+    "store_upsert",
+    """SELECT scheme_code, date, nav, data_source, (SELECT count(*) FROM ups WHERE action = 'inserted') AS inserted,
+    (SELECT count(*) FROM ups WHERE action = 'updated') AS updated FROM ups""",
+)
+def _(spark, sf_dir):
+    """The same upsert through a store: partitions by month, commits, and counts observed in the write."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", buckets=2)
+    store.upsert_nav(star_nav(spark, sf_dir).where("date < date'2001-01-01' and data_source = 'amfi'"), "amfi")
+    store.upsert_nav(star_nav(spark, sf_dir).where("date < date'2001-01-01' and data_source = 'synthetic'"), "synthetic")
+    got = store.upsert_nav(star_lines(spark, sf_dir).where("date >= date'2000-07-01'"), "feed", "s1", "s2", "s3")
+    rows = store.table("nav_history").select("scheme_code", "date", "nav", "data_source")
+    return rows.withColumns({"inserted": F.lit(got.inserted).cast("long"), "updated": F.lit(got.updated).cast("long")})
+
+
+@query("ranked_by", _rounded("full_", "sharpe_ratio") + " WHERE sharpe_ratio IS NOT NULL")
+def _(spark, sf_dir):
+    rows = _metrics(spark, sf_dir).select("scheme_code", "sharpe_ratio")
+    return tidy(Analysis(rows, rows, rows, DEFAULT).ranked_by("sharpe_ratio"))
+
+
 @query(
     "dimension_upsert",
     """SELECT coalesce(o.scheme_code, n.scheme_code) AS scheme_code, coalesce(n.fund_house, o.fund_house) AS fund_house,

@@ -28,16 +28,6 @@ TABLES = {"nav_history": schemas.NAV_HISTORY, "scheme_info": schemas.SCHEME_INFO
 PLACE = "bucket int, month int"
 
 
-def bucket_of(scheme_code: Column) -> Column:
-    return F.pmod(F.xxhash64(scheme_code), F.lit(BUCKETS)).cast("int")
-
-
-def placed(df: DataFrame, name: str) -> DataFrame:
-    """df with the bucket and month of its rows."""
-    month = F.year("date") * 100 + F.month("date") if name == "nav_history" else F.lit(0)
-    return df.withColumns({"bucket": bucket_of(F.col("scheme_code")), "month": month})
-
-
 def tail(path: str) -> str:
     """A partition's folder under its table, however the file system spells the rest."""
     return "/".join(path.split("/")[-3:])
@@ -52,12 +42,23 @@ class MergeResult:
 class Store:
     """nav_history, scheme_info and the audit events of ingestion runs.
 
-    splits: files a partition is written in by as many tasks; the default suits partitions up to a few GB.
+    splits: files a partition is written in by as many tasks; the default suits partitions up to a few GB.  buckets: those of a
+    new store; an old one keeps the number that it was made with.
     """
 
-    def __init__(self, spark: SparkSession, root: str, splits: int = 1):
+    def __init__(self, spark: SparkSession, root: str, splits: int = 1, buckets: int = BUCKETS):
         self.spark, self.root, self.splits = spark, root.rstrip("/"), splits
         self.files = Files(spark)
+        made = f"{self.root}/_log/buckets"
+        self.n_buckets = int(self.files.read(made)) if self.files.exists(made) else buckets
+
+    def bucket_of(self, scheme_code: Column) -> Column:
+        return F.pmod(F.xxhash64(scheme_code), F.lit(self.n_buckets)).cast("int")
+
+    def placed(self, df: DataFrame, name: str) -> DataFrame:
+        """df with the bucket and month of its rows."""
+        month = F.year("date") * 100 + F.month("date") if name == "nav_history" else F.lit(0)
+        return df.withColumns({"bucket": self.bucket_of(F.col("scheme_code")), "month": month})
 
     def log(self, name: str) -> CommitLog:
         return CommitLog(self.files, f"{self.root}/_log/{name}")
@@ -71,7 +72,7 @@ class Store:
 
     def buckets(self, codes: Iterable[str]) -> set[int]:
         rows = self.spark.createDataFrame([(c,) for c in codes], "scheme_code string")
-        return {r[0] for r in rows.select(bucket_of(F.col("scheme_code"))).distinct().collect()}
+        return {r[0] for r in rows.select(self.bucket_of(F.col("scheme_code"))).distinct().collect()}
 
     def _read(self, name: str, parts: Iterable[Part]) -> DataFrame:
         paths = [p.path for p in parts]
@@ -141,11 +142,14 @@ class Store:
 
     def _merge_in(self, name: str, staged: DataFrame, combine, days: bool, sources: dict[tuple[int, int], str] | None = None) -> MergeResult:
         """Merge staged rows (with bucket and month) until no other writer changed their partitions meanwhile."""
+        made = f"{self.root}/_log/buckets"
+        if not self.files.exists(made) and not self.files.create(made, str(self.n_buckets)):
+            raise RuntimeError("the store was made by another writer meanwhile: open it again")
         touched = [tuple(r) for r in staged.select("bucket", "month").distinct().collect()]
         log = self.log(name)
         for _ in range(TRIES if touched else 0):
             base = log.state()
-            old = placed(self._read(name, [base.parts[k] for k in touched if k in base.parts]), name)
+            old = self.placed(self._read(name, [base.parts[k] for k in touched if k in base.parts]), name)
             path, parts, counts = self._write(combine(old, staged), name, days)
             if sources:
                 parts = [replace(p, source=sources.get(p.key, "")) for p in parts]
@@ -182,7 +186,7 @@ class Store:
         def combine(old: DataFrame, new: DataFrame) -> DataFrame:
             return merge.merged(self._spread(*merge.both_sides(old, new, *order)), source, *self.keys, stamped=True)
 
-        with self._staged(placed(rows, "nav_history")) as staged:
+        with self._staged(self.placed(rows, "nav_history")) as staged:
             return self._merge_in("nav_history", staged, combine, True)
 
     def upsert_info(self, batch: DataFrame, source: str, *order: str) -> int:
@@ -195,9 +199,9 @@ class Store:
         def combine(old: DataFrame, new: DataFrame) -> DataFrame:
             info = merge.merge_info(old.drop("bucket", "month"), new.drop("bucket", "month"), keep, ["scheme_name", "data_source", "updated_at"])
             mark = info.join(new.select("scheme_code", F.lit("updated").alias("action")), "scheme_code", "left")
-            return self._spread(placed(mark, "scheme_info"))
+            return self._spread(self.placed(mark, "scheme_info"))
 
-        with self._staged(placed(rows, "scheme_info")) as staged:
+        with self._staged(self.placed(rows, "scheme_info")) as staged:
             return self._merge_in("scheme_info", staged, combine, False).updated
 
     def rows_of(self, name: str, parts: Iterable[Part]) -> DataFrame:
@@ -211,9 +215,9 @@ class Store:
         def combine(old: DataFrame, new: DataFrame) -> DataFrame:
             rows = merge.merge_info(old, new, [], columns)
             mark = rows.join(new.select("scheme_code", F.lit("updated").alias("action")), "scheme_code", "left")
-            return self._spread(placed(mark, "scheme_info"))
+            return self._spread(self.placed(mark, "scheme_info"))
 
-        with self._staged(placed(schemas.conform(info, schemas.SCHEME_INFO), "scheme_info")) as staged:
+        with self._staged(self.placed(schemas.conform(info, schemas.SCHEME_INFO), "scheme_info")) as staged:
             return self._merge_in("scheme_info", staged, combine, False).updated
 
     def take(self, parts: list[Part], rows: DataFrame) -> int:
@@ -224,7 +228,7 @@ class Store:
             return merge.pushed(self._spread(*merge.both_sides(old, new, "data_source")), *self.keys, stamped=True)
 
         marks = {p.key: p.source for p in parts}
-        with self._staged(placed(rows, "nav_history")) as staged:
+        with self._staged(self.placed(rows, "nav_history")) as staged:
             counts = self._merge_in("nav_history", staged, combine, True, marks)
         return counts.inserted + counts.updated
 
