@@ -446,6 +446,12 @@ def _(spark, sf_dir):
     return rows.withColumns({"inserted": F.lit(got.inserted).cast("long"), "updated": F.lit(got.updated).cast("long")})
 
 
+@query("without_empty_columns", _rounded("full_", "sharpe_ratio max_drawdown_pct"))
+def _(spark, sf_dir):
+    rows = settled(_metrics(spark, sf_dir).select("scheme_code", "sharpe_ratio", "max_drawdown_pct", *bundle.BENCHMARK_COLUMNS))
+    return tidy(screener.without_empty(rows))
+
+
 @query("ranked_by", _rounded("full_", "sharpe_ratio") + " WHERE sharpe_ratio IS NOT NULL")
 def _(spark, sf_dir):
     rows = _metrics(spark, sf_dir).select("scheme_code", "sharpe_ratio")

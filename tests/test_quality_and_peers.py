@@ -139,6 +139,12 @@ def test_leaders_take_the_smallest_code_of_equals(spark):
     assert got == {"best_sharpe": "2", "worst_sharpe": "2", "highest_cagr_3y": "10", "deepest_drawdown": "10", "highest_volatility": "2"}
 
 
+def test_empty_columns_are_left_out(spark):
+    rows = spark.createDataFrame([("a", 1.0, None, None), ("b", None, None, 2)], "k string, x double, y double, z int")
+    assert screener.without_empty(rows).columns == ["k", "x", "z"]
+    assert screener.without_empty(rows.where("k = 'a'")).columns == ["k", "x"] and screener.without_empty(rows.limit(0)).columns == rows.columns
+
+
 @pytest.mark.parametrize("stripes", [500, 1])
 def test_ranks_equal_those_of_a_window(spark, monkeypatch, stripes):
     """Of a category with ties, equal values on both sides of zero, one value a stripe and all in one."""
