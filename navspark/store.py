@@ -22,7 +22,8 @@ from . import schemas
 from .commits import CommitLog, Files, Part
 from .operators import merge
 
-BUCKETS = 64
+#: Of a new store: a month of some million schemes in so many files; more for larger tables.
+BUCKETS = 16
 TRIES = 30
 TABLES = {"nav_history": schemas.NAV_HISTORY, "scheme_info": schemas.SCHEME_INFO}
 PLACE = "bucket int, month int"

@@ -188,7 +188,7 @@ def test_a_scan_opens_only_what_it_may_need(spark, tmp_path):
     rows = [(str(c), datetime.date(2024, m, 1), 1.0, 0) for c in range(60) for m in (1, 2, 3)]
     store.upsert_nav(spark.createDataFrame(rows, "scheme_code string, date date, nav double, seq int"), "amfi", "seq")
     opened = lambda df: {f.split("/bucket=")[1].rsplit("/", 1)[0] for f in df.inputFiles()}
-    assert len(opened(store.table("nav_history"))) > 60
+    assert len(opened(store.table("nav_history"))) > 40
     some = store.table("nav_history", ["3", "4", "50"])
     assert len({x.split("/")[0] for x in opened(some)}) <= 3 and some.count() == 9
     late = store.table("nav_history", ["3"], since=datetime.date(2024, 2, 1))
