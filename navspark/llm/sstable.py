@@ -14,8 +14,12 @@ that keys sort as bytes in the order of ids, nulls first.  Shards are ordered by
 Spark does the distribution: a range exchange orders documents over all tasks, each task cuts its sorted stream
 into shards, Spark's committing writer stores one file a shard, and reading is Spark's binaryFile source.  A task
 holds one block and one unfinished shard (``SHARD_BYTES``), never a partition.  After the write the footers are gathered
-in a manifest (a Parquet table): a file's first and last key and the ids before it, so that a lookup opens only files
-that may hold a key, and a scan opens each file once.
+in a manifest (a Parquet table): a file's first and last key and the ids before it.  A scan opens each file once.
+
+A lookup takes any number of keys as a table.  Joins with the manifest deal them to the files whose range holds them; a
+task then reads of a file the footer, the index with the Bloom filter, and the blocks that the search leads to, each by its
+place.  Where tasks can't open files by place (``ranged``; file systems that only Spark's readers know), files are read
+whole, with the same result.
 
 Defined cases: a null text has the end id only; repeated ids stay, each row as an entry of its own, ordered by the
 text's hash; an empty table gives no shard and no row; other columns are ignored.
@@ -23,15 +27,19 @@ text's hash; an empty table gives no shard and no row; other columns are ignored
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -106,22 +114,32 @@ class ShardWriter:
         return b"".join([bytes(self.data), *self.index, bloom, foot])
 
 
+def footer(fetch: Callable[[int, int], bytes], size: int) -> tuple:
+    foot = struct.unpack(FOOTER, fetch(size - FOOTER_SIZE - 1, FOOTER_SIZE))
+    if foot[-1] != MAGIC:
+        raise ValueError("not a shard of this format")
+    return foot
+
+
 class Shard:
-    """A shard's bytes for reading; only the footer and the index are parsed up front."""
+    """A shard for reading.  ``fetch(at, n)`` gives n of its ``size`` bytes: the footer and the index with the Bloom filter
+    are fetched up front, a block when it is asked for."""
 
-    def __init__(self, content: bytes):
-        foot = struct.unpack(FOOTER, content[-FOOTER_SIZE - 1 : -1])
-        if foot[-1] != MAGIC:
-            raise ValueError("not a shard of this format")
-        (self.part, self.seq, self.docs, self.n_ids, end, blocks, bloom, self.width, self.first, self.last, _) = foot
-        self.content, at = content, end + blocks * INDEX_SIZE
-        self.index = [struct.unpack_from(INDEX, content, end + i * INDEX_SIZE) for i in range(blocks)]
-        self.bloom = np.frombuffer(content, np.uint8, bloom, at)
+    def __init__(self, fetch: Callable[[int, int], bytes], size: int):
+        (self.part, self.seq, self.docs, self.n_ids, end, blocks, bloom, self.width, self.first, self.last, _) = footer(fetch, size)
+        self.fetch, at = fetch, blocks * INDEX_SIZE
+        tail = fetch(end, at + bloom)
+        self.index = list(struct.iter_unpack(INDEX, tail[:at]))
+        self.bloom = np.frombuffer(tail, np.uint8, bloom, at)
+
+    @classmethod
+    def of(cls, content: bytes) -> Shard:
+        return cls(lambda at, n: content[at : at + n], len(content))
 
     def block(self, i: int) -> Iterator[tuple[bytes, int, np.ndarray]]:
         """Keys, ids before them in the shard, and ids."""
         _, offset, size, start = self.index[i]
-        raw = zstandard.ZstdDecompressor().decompress(self.content[offset : offset + size])
+        raw = zstandard.ZstdDecompressor().decompress(self.fetch(offset, size))
         at, key = 0, b""
         while at < len(raw):
             shared, rest = raw[at], raw[at + 1]
@@ -185,26 +203,55 @@ def write(
     rows.mapInArrow(released(shards), "shard binary").select(F.col("shard").cast("string")).write.option(
         "maxRecordsPerFile", 1
     ).text(f"{path}/shards")
-    manifest_of(files(docs.sparkSession, f"{path}/shards")).write.parquet(f"{path}/manifest")
+    manifest_of(docs.sparkSession, path).write.parquet(f"{path}/manifest")
+
 
+def files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shards")
 
-def files(spark: SparkSession, *paths: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(paths))
 
+def opened(path: str) -> pa.NativeFile:
+    """A file of the shared folder for reads by place."""
+    uri = re.sub("^file:/+", "file:///", re.sub("^s3[an]://", "s3://", path))
+    system, name = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
+    return system.open_input_file(name)
 
-def manifest_of(found: DataFrame) -> DataFrame:
+
+def ranged(df: DataFrame) -> bool:
+    """Whether tasks can open the files of df (path) by place."""
+    some = df.select("path").take(1)
+    try:
+        for row in some:
+            opened(row.path).close()
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
+
+
+def manifest_of(spark: SparkSession, path: str) -> DataFrame:
     """path, part, seq, docs, ids, first, last (keys), start (ids of all shards before): a two-level prefix sum, within a
     part over its shards, and over the parts (one row a task of the write)."""
+    found = files(spark, path)
+    by_place = ranged(found)
 
     def feet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [struct.unpack(FOOTER, x[:-1]) for x in batch.column(1).to_pylist()]
+            rows = []
+            for name, foot in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if by_place:
+                    with opened(name) as f:
+                        rows.append(footer(lambda at, n: f.read_at(n, at), f.size()))  # noqa: B023
+                else:
+                    rows.append(footer(lambda at, n: foot[at : at + n], len(foot)))  # noqa: B023
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(4)]
             keys = [pa.array([r[i] for r in rows], pa.binary()) for i in (8, 9)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, *keys], ["path", "part", "seq", "docs", "ids", "first", "last"])
 
-    foot = F.expr(f"substring(content, -{FOOTER_SIZE + 1}, {FOOTER_SIZE + 1})")
-    shards = found.select("path", foot).mapInArrow(released(feet), "path string, part long, seq long, docs long, ids long, first binary, last binary")
+    # by place, the column of contents is not touched and Spark only lists
+    foot = F.lit(None).cast("binary") if by_place else F.expr(f"substring(content, -{FOOTER_SIZE + 1}, {FOOTER_SIZE + 1})")
+    shards = found.select("path", foot.alias("foot")).mapInArrow(
+        released(feet), "path string, part long, seq long, docs long, ids long, first binary, last binary"
+    )
     parts = shards.groupBy("part").agg(F.sum("ids").alias("part_ids"))
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("part_ids").over(running), F.lit(0)).alias("part_start"))
@@ -219,7 +266,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                shard = Shard(content.as_py())
+                shard = Shard.of(content.as_py())
                 rows = [
                     (id_of(k), s, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for k, s, ids in shard.entries()
                 ]
@@ -232,7 +279,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     manifest = spark.read.parquet(f"{path}/manifest").select("part", "seq", F.col("start").alias("at"))
     if manifest.count() <= BROADCAST_SHARDS:
         manifest = F.broadcast(manifest)
-    rows = files(spark, f"{path}/shards").select("content").mapInArrow(
+    rows = files(spark, path).select("content").mapInArrow(
         released(decode), "part long, seq long, doc_id long, before long, n_tokens long, ids_crc32 long"
     )
     return rows.join(manifest, ["part", "seq"]).select(
@@ -240,31 +287,50 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int | None]) -> DataFrame:
-    """doc_id and ids of the asked documents: of the files whose keys reach around one of them, the blocks that may hold
-    it."""
-    keys = sorted({key_of(x) for x in doc_ids})
+def key_column(doc_id: Column) -> Column:
+    """key_of for a column of longs."""
+    digits = F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.when(doc_id.isNull(), F.lit(bytes(9))).otherwise(F.unhex(F.concat(F.lit("01"), digits)))
 
-    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                shard = Shard(content.as_py())
-                hits = [e for k in keys for e in shard.find(k)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([id_of(k) for k, _, _ in hits], pa.int64()),
-                        pa.array([ids.astype(np.int64).tolist() for _, _, ids in hits], pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "ids"],
-                )
 
-    asked = F.array(*[F.lit(k) for k in keys])
-    around = F.exists(asked, lambda k: (k >= F.col("first")) & (k <= F.col("last")))
-    paths = [r.path for r in spark.read.parquet(f"{path}/manifest").where(around).select("path").collect()] if keys else []
+def lookup(spark: SparkSession, path: str, asked: DataFrame | list[int | None]) -> DataFrame:
+    """doc_id and ids of the asked documents (a list, or a table with a column doc_id): a row for each of their rows."""
+    if isinstance(asked, list):
+        asked = spark.createDataFrame([(x,) for x in asked], "doc_id long")
+    keys = asked.select(key_column(F.col("doc_id").cast("long")).alias("key")).distinct()
+    manifest = spark.read.parquet(f"{path}/manifest").select("part", "path", "first", "last")
+    # a row a task of the write; a key that repeats may lie on both sides of an edge
+    parts = manifest.groupBy("part").agg(F.min("first").alias("low"), F.max("last").alias("high"))
+    dealt = keys.join(F.broadcast(parts), F.col("key").between(F.col("low"), F.col("high"))).select("part", "key")
+    dealt = dealt.join(manifest, "part").where(F.col("key").between(F.col("first"), F.col("last"))).select("path", "key")
     schema = "doc_id long, ids array<long>"
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return files(spark, *paths).select("content").mapInArrow(released(search), schema)
+
+    def rows(hits: list[tuple[bytes, int, np.ndarray]]) -> pa.RecordBatch:
+        ids = pa.array([ids.astype(np.int64) for _, _, ids in hits], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([id_of(k) for k, _, _ in hits], pa.int64()), ids], ["doc_id", "ids"])
+
+    def by_place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for name, of_file in groupby(pairs, key=lambda x: x[0]):
+                with opened(name) as f:
+                    shard = Shard(lambda at, n: f.read_at(n, at), f.size())  # noqa: B023
+                    for _, key in of_file:
+                        yield rows(shard.find(key))
+
+    def in_content(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content, of_file in zip(batch.column(0), batch.column(1).to_pylist()):
+                shard = Shard.of(content.as_py())
+                for key in of_file:
+                    yield rows(shard.find(key))
+
+    found = files(spark, path)
+    if ranged(found):
+        dealt = dealt.repartition("path").sortWithinPartitions("path", "key")
+        return dealt.mapInArrow(released(by_place), schema)
+    dealt = dealt.groupBy("path").agg(F.collect_set("key").alias("keys"))  # at most the keys of a file
+    return found.join(dealt, "path").select("content", "keys").mapInArrow(released(in_content), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

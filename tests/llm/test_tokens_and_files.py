@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from navspark.llm import packing, sstable
 from navspark.llm.common import new_path
@@ -39,7 +40,7 @@ def test_shards_round_trip(spark, make, corpus, encoder, monkeypatch, shards):
     path = new_path(spark, "test-sst")
     sstable.write(make(corpus), path, shard_bytes=3000, block_bytes=600)
     got = sstable.read(spark, path).collect()
-    assert len(got) == len(corpus) and sstable.files(spark, f"{path}/shards").count() > 3
+    assert len(got) == len(corpus) and sstable.files(spark, path).count() > 3
     manifest = spark.read.parquet(f"{path}/manifest").orderBy("part", "seq").collect()
     assert sum(r.docs for r in manifest) == len(corpus) and all(a.last <= b.first for a, b in zip(manifest, manifest[1:]))
     expect = defaultdict(list)
@@ -52,19 +53,47 @@ def test_shards_round_trip(spark, make, corpus, encoder, monkeypatch, shards):
         start += r.n_tokens
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert order == sorted(order, key=lambda x: (x is not None, x or 0))
-    found = sstable.lookup(spark, path, [76, 0, None, 12345]).collect()
-    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in found) == [(False, 0), (True, 0), (True, 0), (True, 76)]
-    assert sstable.lookup(spark, path, [-5, 10**15]).count() == 0
-    for r in found:
-        raw = np.array(r.ids, "<u4").tobytes()
-        assert (len(r.ids), zlib.crc32(raw)) in expect[r.doc_id]
+    for by_place in (True, False):  # files opened by place, and whole
+        if not by_place:
+            monkeypatch.setattr(sstable, "ranged", lambda _: False)
+            again = sstable.manifest_of(spark, path).orderBy("part", "seq").collect()
+            assert again == manifest
+        found = sstable.lookup(spark, path, [76, 0, None, 12345]).collect()
+        assert sorted((r.doc_id is not None, r.doc_id or 0) for r in found) == [(False, 0), (True, 0), (True, 0), (True, 76)]
+        assert sstable.lookup(spark, path, [-5, 10**15]).count() == 0
+        for r in found:
+            raw = np.array(r.ids, "<u4").tobytes()
+            assert (len(r.ids), zlib.crc32(raw)) in expect[r.doc_id]
+        # a table of keys, repeated ones among them: every row once
+        asked = make(corpus).unionByName(make(corpus))
+        assert Counter(r.doc_id for r in sstable.lookup(spark, path, asked).collect()) == Counter(i for i, _ in corpus)
+        assert sstable.lookup(spark, path, []).count() == 0
+
+
+def test_keys_of_columns(spark):
+    ids = [None, 0, 1, -1, 2**63 - 1, -(2**63), 255, -256]
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", sstable.key_column(F.col("doc_id")).alias("key")).collect()
+    assert {r.doc_id: bytes(r.key) for r in got} == {i: sstable.key_of(i) for i in ids}
+
+
+def test_a_lookup_reads_the_footer_the_index_and_one_block():
+    w, read = sstable.ShardWriter(0, 0, 2, block_bytes=4000), []
+    rng = np.random.default_rng(1)
+    for i in range(2000):
+        w.add(sstable.key_of(i), rng.integers(0, 60000, 100))
+    content = w.finish() + b"\n"
+    shard = sstable.Shard(lambda at, n: read.append(n) or content[at : at + n], len(content))
+    up_front = sum(read)
+    assert len(read) == 2 and up_front == sstable.FOOTER_SIZE + len(shard.index) * sstable.INDEX_SIZE + len(shard.bloom)
+    assert [k for k, _, _ in shard.find(sstable.key_of(1234))] == [sstable.key_of(1234)]
+    assert len(read) - 2 <= 2 and sum(read) - up_front < 12000 < len(content) / 20
 
 
 def test_a_shard_finds_keys_by_search():
     w = sstable.ShardWriter(0, 0, 2)
     for i in range(0, 4000, 2):
         w.add(sstable.key_of(i - 2000), np.arange(i % 50))
-    shard = sstable.Shard(w.finish() + b"\n")
+    shard = sstable.Shard.of(w.finish() + b"\n")
     assert len(shard.index) > 1 and shard.docs == 2000
     assert [len(ids) for _, _, ids in shard.find(sstable.key_of(-2000 + 34))] == [34]
     assert shard.find(sstable.key_of(-1999)) == [] and shard.find(sstable.key_of(9999)) == []
