@@ -9,9 +9,11 @@ neighbours to be a pair of neighbours of some window.  This loses no occurrence,
 (``whole=True`` indexes all words).
 
 The benchmark is the stated query set.  Spark cuts it into different windows with their items.  Windows are dealt by
-hash into blocks of about ``BLOCK_WINDOWS``, the size bound of what is broadcast: one block is searched in all
-documents, its spans are written, and its broadcast goes before the next.  Windows that are found are joined with their
-items by key.
+hash into blocks of about ``BLOCK_WINDOWS``, the size bound of what is broadcast.  Where there are several, one pass over the
+documents first cuts out runs of words that may lie in an occurrence, by a bitmap of fixed size over the hashes of all
+windows' neighbouring pairs, which loses none; each block is searched in these runs only, its spans are written, and its
+broadcast goes before the next.  So texts are gone over twice, for the runs and for the result, at any number of windows.
+Windows that are found are joined with their items by key.
 
 Defined cases: null texts and texts without words are never contaminated; items without words are ignored; repeated
 items count once per item_id, a null item_id as the empty string; repeated document rows are each searched; an empty
@@ -31,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, carried, released, sliced, stored, table, text_bytes, with_text
+from .common import BITS, WORD_BYTES, bitmap, carried, forget, mix64, released, sliced, stored, table, text_bytes, top_bits, with_text
+from .neardup import word_hashes
 
 WINDOW, BLOCK_WINDOWS, SHARD_BYTES, SAMPLE, BITMAP_BITS = 10, 200_000, 4 << 20, 8, 22
 #: A word in UTF-8 bytes, see WORD_BYTES.
@@ -198,6 +201,74 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return stored(items.mapInArrow(released(cut), "window binary, item string").distinct(), "benchmark-windows")
 
 
+def neighbours(h: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of neighbouring words, from the words' hashes."""
+    return mix64(h[:-1] * np.uint64(3) + h[1:])
+
+
+def alone(h: np.ndarray) -> np.ndarray:
+    """Hashes of words as windows of one word."""
+    return mix64(h ^ np.uint64(0x9E3779B97F4A7C15))
+
+
+def runs_of(rows: DataFrame, different: DataFrame) -> DataFrame:
+    """row_id, at (the first word's place), text (words with spaces between) of the runs of words in rows (row_id, text) that
+    may lie in an occurrence of any of the windows (window): runs whose neighbours are all neighbours in some window, and
+    which are no shorter than the shortest window, and words that are windows."""
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            words = [w.split() for w in batch.column(0).to_pylist()]
+            hashes = [word_hashes(w, known) for w in words]
+            keys = np.concatenate([np.zeros(0, np.uint64), *[alone(h) if len(h) == 1 else neighbours(h) for h in hashes]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys).view(np.int64))], ["h"])
+
+    # of the windows of two words or more
+    length = F.size(F.split(F.col("window").cast("string"), " "))
+    shortest = different.agg(F.min(F.when(length > 1, length))).first()[0] or 0
+    keys = different.select("window").mapInArrow(released(hashed), "h long")
+    held = rows.sparkSession.sparkContext.broadcast(bitmap(keys, top_bits("h")))
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        bits = np.frombuffer(held.value, np.uint8)
+
+        def among(keys: np.ndarray) -> np.ndarray:
+            at = keys >> np.uint64(64 - BITS)
+            return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+        for whole_batch in batches:
+            for batch in sliced(whole_batch, "text", SHARD_BYTES):
+                ids, places, texts = [], [], []
+                for row_id, text in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist()):
+                    words = words_of(text)
+                    if not words:
+                        continue
+                    h = word_hashes(words, known)
+                    keep = among(alone(h))
+                    for first, last in stretches(among(neighbours(h))):
+                        if last - first + 1 >= shortest > 0:  # a pair more is a word more
+                            keep[first : last + 1] = True
+                    for first, last in stretches(keep):
+                        ids.append(row_id)
+                        places.append(first)
+                        texts.append(b" ".join(words[first:last]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(texts, pa.binary())], ["row_id", "at", "text"]
+                )
+
+    out = rows.select("row_id", "text").mapInArrow(released(cut), "row_id long, at long, text binary")
+    out.held = held
+    return out
+
+
+def stretches(mask: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs of true values as half-open ranges."""
+    turn = np.diff(np.r_[0, mask.view(np.int8), 0])
+    return list(zip(np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist()))
+
+
 SPAN = T.StructType([T.StructField("first", T.LongType()), T.StructField("words", T.LongType())])
 FOUND = [
     T.StructField("n_words", T.LongType()),
@@ -264,7 +335,7 @@ def united(rows: DataFrame, parts: list[DataFrame], remove: bool) -> DataFrame:
     for part in parts[1:]:
         both = both.unionByName(part)
     both = both.groupBy("row_id").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.flatten(F.collect_list("windows"))).alias("windows")
+        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("windows")))).alias("windows")
     )
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,11 +374,20 @@ def annotate(
         # at most block_windows rows
         return search(rows, Patterns([bytes(r[0]) for r in different.toLocalIterator()]), remove, whole)
     rows, parts = stored(rows, "decontamination-rows"), []
+    if whole:
+        runs = rows.select("row_id", F.lit(0).cast("long").alias("at"), "text")
+    else:
+        cut = runs_of(rows, different)
+        runs = stored(cut, "decontamination-runs")
+        cut.held.destroy()
+    place = F.transform("spans", lambda s: F.struct((s["first"] + F.col("at")).alias("first"), s["words"].alias("words")))
     for b in range(blocks):
         block = different.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        found = search(rows.select("row_id", "text"), Patterns([bytes(r[0]) for r in block.toLocalIterator()]), False, whole)
-        parts.append(stored(found.where("size(spans) > 0").select("row_id", "spans", "windows"), "decontamination-spans"))
+        found = search(runs, Patterns([bytes(r[0]) for r in block.toLocalIterator()]), False, whole)
+        parts.append(stored(found.where("size(spans) > 0").select("row_id", place.alias("spans"), "windows"), "decontamination-spans"))
         found.held.destroy()  # its matches are written
+    if not whole:
+        forget(runs)
     return united(rows, parts, remove)
 
 

@@ -121,6 +121,28 @@ def test_decontamination(spark, make, corpus, block):
     assert decontamination.annotate(docs, windows.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_runs_are_few_and_lose_no_occurrence(spark, make, corpus):
+    """What several blocks of windows search is cut out of the texts once; clean texts leave nothing."""
+    say = random.Random(9)
+    clean = [(1000 + i, " ".join(f"clean{say.randrange(500)}" for _ in range(200))) for i in range(20)]
+    items = [(1, " ".join(corpus[3][1].split()[5:30])), (2, "Kappa7"), (3, " ".join(corpus[7][1].split()[:12]))]
+    rows = [*corpus, *clean]
+    docs = spark.createDataFrame([(i, (t or "").encode()) for i, (_, t) in enumerate(rows)], "row_id long, text binary")
+    windows = decontamination.windows_of(spark.createDataFrame(items, "item_id long, text string"))
+    cut: dict[int, list[tuple[int, list[str]]]] = {}
+    for r in decontamination.runs_of(docs, windows.select("window").distinct()).collect():
+        cut.setdefault(r.row_id, []).append((r.at, words(bytes(r.text).decode())))
+    total = 0
+    for i, ((_, t), (n, _, _, hit)) in enumerate(zip(rows, brute_hits(rows, items))):
+        inside = [False] * n
+        for at, run in cut.get(i, []):
+            assert words(t)[at : at + len(run)] == run
+            inside[at : at + len(run)] = [True] * len(run)
+        assert all(inside[k] for k in range(n) if hit[k])
+        total += sum(inside) - sum(hit)
+    assert total < 30 and not any(i in cut for i in range(len(corpus), len(rows)))
+
+
 def test_decontamination_query(spark, corpus, tmp_path):
     rows = [(i, t) for i, t in dict(corpus).items() if i is not None]
     items = [(12, " ".join(corpus[3][1].split()[5:30])), (5, "one"), (7, " ".join(corpus[3][1].split()[8:25]))]
