@@ -158,6 +158,48 @@ def test_blocks_of_a_large_group(make, monkeypatch, centre):
     assert got == {i: min(m) for m in groups.values() for i in m}
 
 
+def test_a_large_group_without_a_main_class(spark, make, monkeypatch):
+    """A family of different texts with a passage in common, all in one bucket: every link between them is found, from
+    rows in proportion to those that are alike."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    sent, compared = [], neardup.compared
+
+    def counted(sets, dealt):
+        sent.append(dealt.count())
+        return compared(sets, dealt)
+
+    monkeypatch.setattr(neardup, "compared", counted)
+    rng = random.Random(3)
+    passage = [f"common{i}" for i in range(70)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(9000)}" for _ in range(60)])) for i in range(160)]
+    for i in range(24):  # copies with a word changed, some in chains
+        w = rows[i if i < 16 else 160 + i - 16][1].split()
+        w[75 + 2 * i] = "changed"
+        rows.append((160 + i, " ".join(w)))
+    docs = make(rows)
+    texts = neardup.signed(docs).selectExpr("key", "array(7L) AS bands").distinct()
+    got = {bytes(r.key): bytes(r["class"]) for r in neardup.classes_of(texts, docs).collect()}
+    groups, keys = brute_classes(rows)[0], [neardup.key_of(t.encode())[0] for _, t in rows]
+    want = {keys[i]: min(keys[j] for j in m) for m in groups.values() if len(m) > 1 for i in m}
+    assert got == want and len(want) > 36
+    # all members against all blocks would be 2 * 184 * 23 rows
+    assert sent[1] < 2500
+
+
+@pytest.mark.parametrize("kind", ["random", "hot"])
+def test_similar_sets_share_one_of_their_rarest(kind):
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        pool = rng.permutation(1000)[: 2 * n].astype(np.int64)
+        a = pool[:n]
+        b = np.unique(np.r_[rng.choice(a, int(rng.integers(0, n + 1)), replace=False), pool[n : n + int(rng.integers(0, n // 4 + 1))]])
+        common = len(np.intersect1d(a, b))
+        if len(b) and common >= neardup.SIMILARITY * (len(a) + len(b) - common):
+            often = (lambda x: x % 3) if kind == "hot" else (lambda x: x * 7919 % 1009)
+            assert np.intersect1d(neardup.rarest(a, often(a)), neardup.rarest(b, often(b))).size
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(2)
     ids = rng.integers(0, 2**63, 400).astype(np.uint64)
