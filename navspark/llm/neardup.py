@@ -10,7 +10,7 @@ is at least ``SIMILARITY``; classes are the connected components.
 3. A group of up to ``BLOCK`` texts is compared in one task.  A larger one is cut into blocks, each with the centre
    beside it.  Components of the links so far then tell which texts of a large group still stand outside its largest
    component; only these meet the group's other blocks, so a group of copies costs rows in proportion to its size.
-   A group with more than a block outside, one without a main class, is narrowed first: similar texts share an item
+   A group with more than ``WIDE`` blocks outside, one without a main class, is narrowed first: similar texts share an item
    among the first fifth of their items in any one order of all items, here rarest first (``narrowed``), so its members meet
    only where they share such an item.  Both ways are exact.  Every candidate pair in different components is compared; no pair is emitted but links of a spanning forest.
 4. Components of all links are the classes.
@@ -42,6 +42,9 @@ from .dart import signatures
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 32, 6, 512
 SLICE = 1 << 18
+#: A group with more than WIDE blocks outside its main class is narrowed; up to there all against all costs 2 * WIDE rows a
+#: member at most, about what narrowing costs.
+WIDE = 16
 #: Counts of items in large groups are kept in 2**COUNT_BITS places.
 COUNT_BITS = 20
 #: A key with 1 / HOT of all rows or more is joined by broadcast: there are at most HOT of them.
@@ -285,8 +288,8 @@ def classes_of(texts: DataFrame, docs: DataFrame) -> DataFrame:
     main = main.where("all > most").withColumn("parts", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
     left = labelled.join(main.select("centre", "main", "parts"), "centre").withColumn("outside", F.col("label") != F.col("main"))
     left = left.select("centre", "key", "outside", "block", "blocks", "parts")
-    hard = stored(left.where("parts > 1").select("centre", "key", "outside"), "neardup-hard")
-    late = crossed(left.where("parts = 1"))
+    hard = stored(left.where(F.col("parts") > WIDE).select("centre", "key", "outside"), "neardup-hard")
+    late = crossed(left.where(F.col("parts") <= WIDE))
     if not hard.isEmpty():
         late = late.unionByName(crossed(narrowed(sets, hard)))
     late = stored(compared(sets, late).where("a != b"), "neardup-links")

@@ -158,10 +158,12 @@ def test_blocks_of_a_large_group(make, monkeypatch, centre):
     assert got == {i: min(m) for m in groups.values() for i in m}
 
 
-def test_a_large_group_without_a_main_class(spark, make, monkeypatch):
-    """A family of different texts with a passage in common, all in one bucket: every link between them is found, from
-    rows in proportion to those that are alike."""
+@pytest.mark.parametrize("wide", [1, 100])
+def test_a_large_group_without_a_main_class(spark, make, monkeypatch, wide):
+    """A family of different texts with a passage in common, all in one bucket: every link between them is found; where the
+    group is narrowed, from rows in proportion to those that are alike."""
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "WIDE", wide)
     sent, compared = [], neardup.compared
 
     def counted(sets, dealt):
@@ -183,7 +185,7 @@ def test_a_large_group_without_a_main_class(spark, make, monkeypatch):
     want = {keys[i]: min(keys[j] for j in m) for m in groups.values() if len(m) > 1 for i in m}
     assert got == want and len(want) > 36
     # all members against all blocks would be 2 * 184 * 23 rows
-    assert sent[1] < 2500
+    assert (sent[1] < 2500) == (wide == 1)
 
 
 @pytest.mark.parametrize("kind", ["random", "hot"])
