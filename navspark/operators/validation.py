@@ -83,9 +83,19 @@ def findings(raw: DataFrame, today: datetime.date, config: EngineConfig = DEFAUL
 
 
 def coverage(raw: DataFrame, today: datetime.date, config: EngineConfig = DEFAULT) -> DataFrame:
-    return ingredients(raw, today, config).select(
-        "scheme_code", "scheme_name", "observations", "first_date", "last_date", "staleness_days",
-        F.bround("history_years", 2).alias("history_years"), "data_source",
+    """A row a scheme: its days, with the name and source of the last.  Tasks put rows that differ by their day alone together
+    before any is exchanged; texts are carried only by what is left, since an aggregate of texts has to sort its rows."""
+    spans = raw.groupBy("scheme_code", "scheme_name", "data_source").agg(
+        F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last")
+    )
+    found = spans.groupBy("scheme_code").agg(
+        F.max_by("scheme_name", "last").alias("scheme_name"), F.max_by("data_source", "last").alias("data_source"),
+        F.sum("n").alias("observations"), F.min("first").alias("first_date"), F.max("last").alias("last_date"),
+    )
+    years = F.datediff("last_date", "first_date") / DAYS_PER_YEAR
+    return found.select(
+        "scheme_code", "scheme_name", "observations", "first_date", "last_date",
+        F.datediff(F.lit(today), "last_date").alias("staleness_days"), F.bround(years, 2).alias("history_years"), "data_source",
     )
 
 

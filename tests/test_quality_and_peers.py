@@ -80,6 +80,19 @@ def test_thresholds_summary_and_exclusion(raw):
     assert validation.coverage(raw, TODAY).where("scheme_code = 'brief'").first().observations == 10
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coverage_puts_days_together_before_it_sorts(spark, raw):
+    day = datetime.date
+    rows = [("a", "Old", day(2022, 1, 3), 1.0, "amfi"), ("a", "New", day(2022, 1, 5), 1.0, "synthetic"), ("a", "Old", day(2022, 1, 4), 1.0, "amfi"), ("a", None, None, None, "amfi")]
+    one = validation.coverage(spark.createDataFrame(rows, "scheme_code string, scheme_name string, date date, nav double, data_source string"), TODAY).first()
+    assert (one.scheme_name, one.data_source, one.observations, one.first_date, one.last_date) == ("New", "synthetic", 4, day(2022, 1, 3), day(2022, 1, 5))
+    below = plan_of(validation.coverage(raw, TODAY)).rindex("Aggregate(key")
+    assert plan_of(validation.coverage(raw, TODAY))[below - 4 : below] == "Hash"
+
+
 def metric_rows(spark, values, category="C"):
     columns = peers.RANKED_METRICS
     rows = [(f"{category}{i}", f"Fund {i}", "House A" if i % 2 else "House B", category, 600, 6.0, *v) for i, v in enumerate(values)]
