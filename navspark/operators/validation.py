@@ -20,7 +20,8 @@ def ingredients(raw: DataFrame, today: datetime.date, config: EngineConfig = DEF
     prev, day = F.lag("nav").over(w), F.lag("date").over(w)
     # a move from zero is infinite, so extreme
     move = F.when(prev == 0, F.when(F.col("nav") != 0, float("inf"))).otherwise(F.abs(F.col("nav") / prev - 1) * 100)
-    rows = raw.withColumns({"_move": move, "_gap": business_gap(day, F.col("date"))})
+    # a day's rows are neighbours: each but the first repeats the one before it
+    rows = raw.withColumns({"_move": move, "_gap": business_gap(day, F.col("date")), "_again": day == F.col("date")})
     extreme = F.col("_move") > config.extreme_move_pct
     gap = F.col("_gap") > config.max_gap_business_days
     return rows.groupBy("scheme_code").agg(
@@ -30,7 +31,7 @@ def ingredients(raw: DataFrame, today: datetime.date, config: EngineConfig = DEF
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
         F.count_if(F.col("nav").isNull() | (F.col("nav") <= 0)).alias("bad_nav"),
-        (F.count("date") - F.count_distinct("date")).alias("duplicates"),
+        F.count_if("_again").alias("duplicates"),
         F.count_if(F.col("date") > F.lit(today)).alias("future"),
         F.count_if(extreme).alias("extreme"),
         F.max("_move").alias("worst_move"),

@@ -93,6 +93,11 @@ def test_coverage_puts_days_together_before_it_sorts(spark, raw):
     assert plan_of(validation.coverage(raw, TODAY))[below - 4 : below] == "Hash"
 
 
+def test_findings_sort_a_spread_panel_once(raw):
+    plan = plan_of(validation.findings(raw.repartition(8, "scheme_code"), TODAY))
+    assert (plan.count("Sort ["), plan.count("Exchange ")) == (1, 1)
+
+
 def metric_rows(spark, values, category="C"):
     columns = peers.RANKED_METRICS
     rows = [(f"{category}{i}", f"Fund {i}", "House A" if i % 2 else "House B", category, 600, 6.0, *v) for i, v in enumerate(values)]
