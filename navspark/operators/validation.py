@@ -121,4 +121,7 @@ def summary(found: DataFrame, schemes: DataFrame) -> DataFrame:
 
 def usable(raw: DataFrame, found: DataFrame) -> DataFrame:
     """The panel without schemes that have a critical finding."""
-    return raw.join(unusable(found), "scheme_code", "left_anti")
+    # a scheme has many rows, so its finding is what a task holds, and the rows are not sorted; not an anti join, which Spark
+    # moves into the parts of a union, where each part would work the findings out again
+    out = unusable(found).withColumn("_out", F.lit(True)).hint("shuffle_hash")
+    return raw.join(out, "scheme_code", "left").where("_out is null").drop("_out")

@@ -98,6 +98,11 @@ def test_findings_sort_a_spread_panel_once(raw):
     assert (plan.count("Sort ["), plan.count("Exchange ")) == (1, 1)
 
 
+def test_exclusion_from_a_union_works_out_findings_once(raw):
+    plan = plan_of(validation.usable(raw.where("nav > 0").union(raw.where("nav is null")), validation.findings(raw, TODAY)))
+    assert plan.count("Generate explode") == 1 and "SortMergeJoin" not in plan
+
+
 def metric_rows(spark, values, category="C"):
     columns = peers.RANKED_METRICS
     rows = [(f"{category}{i}", f"Fund {i}", "House A" if i % 2 else "House B", category, 600, 6.0, *v) for i, v in enumerate(values)]
