@@ -461,6 +461,13 @@ def test_queries_run_on_driver_tables(spark, name):
     assert queries.queries()[name](spark, "/root/testdata/sf0.001").count() >= 0
 
 
+def test_mirror_push_sorts_spread_sides_once(spark):
+    from navspark import queries
+
+    plan = queries.queries()["mirror_push"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Sort ["), plan.count("Exchange ")) == (1, 2)
+
+
 def test_asking_retries_and_stops_in_time():
     assert list(landing.waits(3, 2.0, lambda: 1.0)) == [0.0, 2.0, 4.0] and list(landing.waits(0, 2.0)) == [0.0]
     slept, calls = [], {"flaky": 0}
