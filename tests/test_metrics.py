@@ -197,3 +197,13 @@ def test_bundle_agrees_with_families(nav):
         assert got[code].max_drawdown_pct == pytest.approx(row.max_drawdown_pct)
     assert got["ten"].calmar_ratio is None and got["ten"].max_drawdown_pct == 0
     assert bundle.rounded(bundle.scheme_metrics(nav)).where("scheme_code = 'ten'").first().cagr_3y_pct == 10.0
+
+
+def test_bundle_sorts_a_spread_panel_once_and_averages_the_last_days_only(series):
+    days = business_days("2021-01-04", 260)
+    nav = series(**{f"n{n}": [(d, 100 + i % 7 + i / 9) for i, d in enumerate(days[:n])] for n in (49, 50, 199, 200, 260)})
+    last, got = by_code(returns.sma_signal(nav)), by_code(bundle.scheme_metrics(nav))
+    columns = ["latest_nav", "sma_50", "sma_200", "sma_signal", "nav_vs_sma50_pct"]
+    assert [[got[c][x] for x in columns if x in got[c]] for c in last] == [[last[c][x] for x in columns if x in got[c]] for c in last]
+    plan = bundle.scheme_metrics(nav.repartition(8, "scheme_code"))._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Sort ["), plan.count("Exchange "), plan.count("specifiedwindowframe(RowFrame, -199")) == (1, 1, 0)
