@@ -468,6 +468,15 @@ def test_mirror_push_sorts_spread_sides_once(spark):
     assert (plan.count("Sort ["), plan.count("Exchange ")) == (1, 2)
 
 
+def test_prices_are_spread_over_enough_tasks(spark, monkeypatch):
+    from navspark import panel
+
+    monkeypatch.setattr(panel, "TASK_ROWS", 1000, raising=False)
+    folder = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert panel.star_nav(spark, folder).rdd.getNumPartitions() == -(-lines // 1000) > 4
+
+
 def test_asking_retries_and_stops_in_time():
     assert list(landing.waits(3, 2.0, lambda: 1.0)) == [0.0, 2.0, 4.0] and list(landing.waits(0, 2.0)) == [0.0]
     slept, calls = [], {"flaky": 0}
