@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .common import BITS, WORD_BYTES, bitmap, carried, forget, mix64, released, sliced, stored, table, text_bytes, top_bits, with_text
 from .neardup import word_hashes
 
-WINDOW, BLOCK_WINDOWS, SHARD_BYTES, SAMPLE, BITMAP_BITS = 10, 200_000, 4 << 20, 8, 22
+WINDOW, BLOCK_WINDOWS, SHARD_BYTES, SAMPLE, BITMAP_BITS = 10, 200_000, 2 << 20, 8, 22
 #: A word in UTF-8 bytes, see WORD_BYTES.
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 

@@ -119,7 +119,7 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, items: sorted hashes of (shingle, number of its place), of one document for each wanted key.
+    """Stored key, items: sorted hashes of (shingle, number of its place), of one document for each wanted key.
 
     One pass over the texts: a bitmap of fixed size leaves out most keys that are not wanted, the join the others.
     """
@@ -148,7 +148,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     found = docs.select(text_bytes().alias("text")).mapInArrow(released(run), "key binary, items array<long>")
-    return found.join(wanted, "key").groupBy("key").agg(F.first("items").alias("items"))
+    out = stored(found.join(wanted, "key").groupBy("key").agg(F.first("items").alias("items")), "neardup-sets")
+    held.destroy()
+    return out
 
 
 def linked(group: pd.DataFrame) -> pd.DataFrame:
@@ -276,7 +278,7 @@ def classes_of(texts: DataFrame, docs: DataFrame) -> DataFrame:
         "centre", "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
     )
     dealt = first.unionByName(centres).withColumns({"j": F.col("i"), "side": F.lit(0)})
-    sets = stored(shingle_sets(docs, members.select("key").distinct()), "neardup-sets")
+    sets = shingle_sets(docs, members.select("key").distinct())
     links = stored(compared(sets, dealt), "neardup-links")
     classes = components(links)
     large = placed.where("blocks > 1")

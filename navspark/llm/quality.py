@@ -162,8 +162,10 @@ def fit(counted: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
 def judge(counted: DataFrame, own: list[str], rows: list[tuple]) -> DataFrame:
     """Adds base_failed and kept to row and COUNTS."""
     cuts = [("" if s is None else f"={s}", cut) for s, cut in rows]
-    rules = F.broadcast(counted.sparkSession.createDataFrame(cuts, "cuts_of string, cut int"))
-    known = F.broadcast(counted.sparkSession.createDataFrame([(s,) for s in own], "own string"))
+    # Arrow tables are rows of the plan; lists of Python rows would start Python workers of their own on every executor
+    names, bins = [s for s, _ in cuts], [cut for _, cut in cuts]
+    rules = pa.table({"cuts_of": pa.array(names, pa.string()), "cut": pa.array(bins, pa.int32())})
+    rules, known = (F.broadcast(counted.sparkSession.createDataFrame(t)) for t in (rules, pa.table({"own": pa.array(own, pa.string())})))
     marked = counted.join(known, stratum() == F.col("own"), "left")
     key = F.when(F.col("own").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), "own"))
     marked = marked.join(rules, key == F.col("cuts_of"), "left")

@@ -43,7 +43,8 @@ from pyspark.sql import types as T
 from .common import BITS, bitmap, carried, flat, forget, likely, mix64, released, sliced, stored, table, text_bytes, top_bits, with_text
 
 THRESHOLD, GRAM, CELLS = 200, 48, (40, 8, 2)
-SLICE = 1 << 18
+#: Bytes of text whose anchors are found at once: about 25 arrays of eight bytes each.
+SLICE = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: A pseudo-random odd number for each byte.
@@ -183,7 +184,9 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """The runs (see runs()), their repeated distances (gram, run, dlo, dhi), and the stored tables behind both."""
     context = docs.sparkSession.sparkContext
     twice = grams(docs).groupBy("gram").count().where("count > 1")
-    found = stored(runs(docs, context.broadcast(bitmap(twice, top_bits("gram")))), "repeat-runs")
+    held = context.broadcast(bitmap(twice, top_bits("gram")))
+    found = stored(runs(docs, held), "repeat-runs")
+    held.destroy()
     kinds = found.groupBy("gram", "run").agg(F.count("*").alias("m"), F.min("dlo").alias("dlo"), F.max("dhi").alias("dhi"))
     kinds = stored(kinds, "repeat-kinds")
     mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
@@ -191,12 +194,15 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     out = [kinds.where("m > 1").select("gram", "run", "dlo", "dhi")]
     tables = [found, kinds]
     open_ = stored(kinds.join(mixed, "gram"), "repeat-mixed")
-    wanted = texts(docs, context.broadcast(bitmap(open_, top_bits("run")))).groupBy("gram", "run").agg(F.first("text").alias("text"))
+    held = context.broadcast(bitmap(open_, top_bits("run")))
+    wanted = texts(docs, held).groupBy("gram", "run").agg(F.first("text").alias("text"))
     rows = open_.withColumn("done", F.col("m") > 1).join(wanted, ["gram", "run"])
     before = open_
     for size in CELLS:
         rows = stored(split(rows, size), "repeat-cells")
         forget(before)
+        if size == CELLS[0]:  # the texts are stored
+            held.destroy()
         before = rows
         ranks = rows.select("gram", "run", "cell", "dlo", "dhi", "m", "done", "common", "whole")
         by_common = ranks.groupBy("gram", "cell", "common").agg(

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from navspark.llm import chat, neardup, repeats
-from navspark.llm.common import WORD_BYTES
+from navspark.llm.common import WORD_BYTES, flat, sliced
 from navspark.llm.components import components
 from navspark.llm.dart import signatures
 from navspark.llm.tokens import WordEncoder, default_tokenizer
@@ -55,6 +58,27 @@ def test_repeats_match_brute_force(make, corpus, which):
     assert any(np.frombuffer(k[2], bool).any() for k in want)
 
 
+def test_anchors_of_a_slice_take_little_memory():
+    rng = np.random.default_rng(3)
+    text = pa.array([rng.integers(97, 123, 4000, np.uint8).tobytes() for _ in range(500)], pa.binary())
+    repeats.powers(repeats._BASE, 2), repeats.powers(repeats._INVERSE, 2)
+    tracemalloc.start()
+    for part in sliced(pa.RecordBatch.from_arrays([text], ["text"]), "text", repeats.SLICE):
+        repeats.anchors(*flat(part.column("text")))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6
+
+
+def test_broadcasts_go_when_their_rows_are_stored(spark, make, corpus, monkeypatch):
+    made, real = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: made.append(real(x)) or made[-1])
+    docs = make(corpus)
+    repeats.spans(docs)
+    neardup.shingle_sets(docs, spark.createDataFrame([(neardup.key_of(corpus[0][1].encode())[0],)], "key binary")).collect()
+    assert len(made) == 3 and not any(os.path.exists(b._path) for b in made)
+
+
 def test_removal_keeps_characters_whole(make):
     rows = [(1, "é" * 300), (2, "x" + "é" * 300), (3, None), (4, "short")]
     out = repeats.remove(make(rows))

@@ -237,6 +237,14 @@ def test_quality_counts(make, corpus):
         assert tuple(r[c] for c in quality.COUNTS[:5]) == want
 
 
+@pytest.mark.parametrize("own", [["en"], []])
+def test_cutoffs_start_no_python_workers(make, corpus, own):
+    counted = quality.counts(make(corpus))
+    judged = quality.judge(counted, own, [(s, 5) for s in own])
+    python_rows = [df._jdf.queryExecution().executedPlan().toString().count("ExistingRDD") for df in (counted, judged)]
+    assert python_rows[0] == python_rows[1] and judged.count() == len(corpus)
+
+
 def test_quality_cutoffs_hold_their_risk(spark, make):
     rng = random.Random(6)
     good = [" ".join(rng.choice(("plain", "words", "here", "again", "now")) + str(rng.randrange(99)) for _ in range(40)) for _ in range(3000)]
